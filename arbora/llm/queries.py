@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from arbora.llm import decontaminate
+from arbora.llm import bpe, decontaminate
 
 
 def queries() -> dict:
     return {
+        "op9_byte_bpe": bpe.query,
         "op10_decontaminate": decontaminate.query,
     }
 
