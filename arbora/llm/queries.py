@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from arbora.llm import bpe, decontaminate, minhash
+from arbora.llm import bpe, decontaminate, minhash, passages
 
 
 def queries() -> dict:
     return {
+        "op2_repeated_passages": passages.query,
         "op3_probminhash": minhash.query,
         "op9_byte_bpe": bpe.query,
         "op10_decontaminate": decontaminate.query,
