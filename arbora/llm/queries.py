@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from arbora.llm import bpe, decontaminate, minhash, passages
+from arbora.llm import bpe, decontaminate, language, minhash, passages, quality
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.query,
+        "op7_language_ppm": language.query,
         "op2_repeated_passages": passages.query,
         "op3_probminhash": minhash.query,
         "op9_byte_bpe": bpe.query,
