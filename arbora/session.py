@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,30 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python this package, once for each Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_arbora_shipped", False) is not True:
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="arbora-"), "arbora.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(os.path.join(top, "arbora")):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, top))
+        context.addPyFile(target)
+        context._arbora_shipped = True
+    return spark
+
+
+def shipped(query):
+    """The query, run after ship()."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **kwargs):
+        return query(ship(spark), *args, **kwargs)
+
+    return run
