@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from arbora.llm import bpe, decontaminate, language, minhash, passages, quality
+from arbora.llm import bpe, ctw, decontaminate, language, minhash, passages, quality
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.query,
+        "op6_context_tree": ctw.query,
         "op7_language_ppm": language.query,
         "op2_repeated_passages": passages.query,
         "op3_probminhash": minhash.query,
