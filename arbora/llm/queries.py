@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbora.llm import bpe, ctw, decontaminate, language, minhash, passages, quality
+from arbora.llm import boilerplate, bpe, ctw, decontaminate, language, minhash, passages, quality
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op7_language_ppm": language.query,
         "op2_repeated_passages": passages.query,
         "op3_probminhash": minhash.query,
+        "op8_main_text": boilerplate.query,
         "op9_byte_bpe": bpe.query,
         "op10_decontaminate": decontaminate.query,
     }
