@@ -191,6 +191,41 @@ def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return i, table[i] == values
 
 
+class Bloom:
+    """A set of ids in `words` 64-bit words: has() holds for every id of the set, and for few others.
+
+    It spares moving texts that the exact join after it would drop, at any size of the set.
+    """
+
+    def __init__(self, ids: DataFrame, words: int = 1 << 20):
+        """ids: one bigint column without nulls."""
+        bits = ids.mapInArrow(_bloom_bits(words), "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        table = np.zeros(words, np.uint64)
+        table[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+        self.table = ids.sparkSession.sparkContext.broadcast(table)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        table, found = self.table.value, np.ones(len(ids), bool)
+        for at, bit in _bloom_places(ids, len(table)):
+            found &= (table[at] & bit) != 0
+        return found
+
+
+def _bloom_places(ids: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for seed in (1, 2):
+        h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+        yield (h % np.uint64(words)).astype(np.int64), np.uint64(1) << (h >> np.uint64(58))
+
+
+def _bloom_bits(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, bit in _bloom_places(batch.column(0).to_numpy(), words):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bit.view(np.int64))], names=["at", "bits"])
+
+    return run
+
+
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and all other columns in one struct `rest`, so that no name of theirs can clash with ours."""
     rest = [c for c in df.columns if c not in (id_col, text_col)]
