@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from arbora.llm import boilerplate, bpe, ctw, decontaminate, language, minhash, passages, quality
+from arbora.llm import boilerplate, bpe, ctw, decontaminate, embeddings, language, minhash, passages, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.query,
+        "op4_product_quantisation": embeddings.query,
+        "op5_sampled_splitters": sharding.query,
         "op6_context_tree": ctw.query,
         "op7_language_ppm": language.query,
         "op2_repeated_passages": passages.query,
