@@ -130,7 +130,7 @@ def grams(w: Words, n: int, where: np.ndarray | None = None) -> np.ndarray:
         out = np.zeros(len(h), np.uint64)
         for j in range(n):
             out *= np.uint64(0xD1342543DE82EF95)
-            out[: len(h) - j] += h[j:]
+            out[: max(0, len(h) - j)] += h[j:]
     else:
         out = np.zeros(len(where), np.uint64)
         for j in range(n):
