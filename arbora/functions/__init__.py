@@ -1 +1 @@
-
+"""Column functions: bases, genomes, k-mers and likelihoods."""

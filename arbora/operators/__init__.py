@@ -1 +1 @@
-
+"""Operators on history DAGs: each takes and returns DataFrames."""

@@ -1 +1 @@
-
+"""Incremental operators on streams of trees."""
