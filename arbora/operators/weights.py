@@ -30,19 +30,26 @@ def product(w: Column) -> Column:
     return F.aggregate(F.collect_list(w), F.lit(1).cast(COUNT), lambda a, b: (a * b).cast(COUNT))
 
 
-@F.pandas_udf("string")
-def big_sum(w: pd.Series) -> str:
+def _sum(w: pd.Series) -> str:
     return str(sum(map(int, w)))
 
 
-@F.pandas_udf("string")
-def big_product(w: pd.Series) -> str:
+def _product(w: pd.Series) -> str:
     out = 1
     for x in w:
         out *= int(x)
     return str(out)
 
 
+def big_sum(w: Column) -> Column:
+    """Exact sum of whole numbers of any size, carried as text."""
+    return F.pandas_udf(_sum, "string")(w)
+
+
+def big_product(w: Column) -> Column:
+    return F.pandas_udf(_product, "string")(w)
+
+
 def fold(dag: Dag, leaf: Column, within: Fold, between: Fold, above: Callable[[Column, Column], Column] | None = None, edge_weights: DataFrame | None = None, heights: DataFrame | None = None) -> DataFrame:
     """dag_id, node_id, weight.
 
