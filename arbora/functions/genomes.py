@@ -42,18 +42,25 @@ def base_at(genome: Column, pos: Column, reference: Column) -> Column:
 
 
 def to_sequence(genome: Column, reference: Column) -> Column:
-    known = F.map_from_entries(genome)
-    return F.array_join(F.transform(_places(F.length(reference)), lambda i: F.coalesce(F.try_element_at(known, i), _at(reference, i))), "")
+    return F.aggregate(genome, reference, lambda out, x: F.overlay(out, x["base"], x["pos"], F.lit(1)))
 
 
 def has_position(genome: Column, pos: Column) -> Column:
     return F.exists(genome, lambda x: x["pos"] == pos)
 
 
+def _zipped(a: Column, b: Column, each) -> Column:
+    """each(pos, base of a, base of b), null where a side has no entry, at every place of either; a map by place.
+
+    The maps are made once for a row: what stands inside a higher-order function's lambda is evaluated for each element.
+    """
+    return F.map_zip_with(F.map_from_entries(a), F.map_from_entries(b), each)
+
+
 def upsert(genome: Column, changes: Column) -> Column:
     """changes (a genome too) win over entries at the same place; entries equal to the reference are kept."""
-    taken = F.transform(changes, lambda x: x["pos"])
-    return F.array_sort(F.concat(F.filter(genome, lambda x: ~F.array_contains(taken, x["pos"])), changes))
+    both = _zipped(genome, changes, lambda i, x, y: F.coalesce(y, x))
+    return F.array_sort(F.transform(F.map_entries(both), lambda e: entry(e["key"], e["value"])))
 
 
 def without_reference(genome: Column, reference: Column) -> Column:
@@ -66,33 +73,27 @@ def apply_mutations(genome: Column, mutations: Column, reference: Column) -> Col
     return without_reference(upsert(genome, changes), reference)
 
 
-def both_positions(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(F.transform(a, lambda x: x["pos"]), F.transform(b, lambda x: x["pos"])))
+def _sides(a: Column, b: Column, reference: Column) -> Column:
+    """place -> the sets of bases p and c of both genomes."""
+    base = lambda x, i: B.mask(F.coalesce(x, _at(reference, i)))
+    return _zipped(a, b, lambda i, x, y: F.struct(base(x, i).alias("p"), base(y, i).alias("c")))
 
 
 def mutations_between(parent: Column, child: Column, reference: Column) -> Column:
     """Places whose sets of bases are disjoint; an ambiguous side stands for its first base."""
-    p, c = F.map_from_entries(parent), F.map_from_entries(child)
-    sides = F.transform(both_positions(parent, child), lambda i: F.struct(i.alias("pos"), B.mask(F.coalesce(F.try_element_at(p, i), _at(reference, i))).alias("p"), B.mask(F.coalesce(F.try_element_at(c, i), _at(reference, i))).alias("c")))
-    apart = F.filter(sides, lambda x: ~B.is_compatible(x["p"], x["c"]))
-    return F.transform(apart, lambda x: F.struct(x["pos"].alias("pos"), B.letter(B.first_base(x["p"])).alias("par"), B.letter(B.first_base(x["c"])).alias("mut")))
+    apart = F.filter(F.map_entries(_sides(parent, child, reference)), lambda e: ~B.is_compatible(e["value"]["p"], e["value"]["c"]))
+    base = lambda m: B.letter(B.first_base(m))
+    return F.array_sort(F.transform(apart, lambda e: F.struct(e["key"].alias("pos"), base(e["value"]["p"]).alias("par"), base(e["value"]["c"]).alias("mut"))))
 
 
 def differing_sites(a: Column, b: Column) -> Column:
     """Places of one genome only, or of both with incompatible bases."""
-    x, y = F.map_from_entries(a), F.map_from_entries(b)
-
-    def differs(i: Column) -> Column:
-        u, v = F.try_element_at(x, i), F.try_element_at(y, i)
-        return u.isNull() | v.isNull() | ~B.is_compatible(B.mask(u), B.mask(v))
-
-    return F.filter(both_positions(a, b), differs)
+    differs = _zipped(a, b, lambda i, x, y: x.isNull() | y.isNull() | ~B.is_compatible(B.mask(x), B.mask(y)))
+    return F.array_sort(F.map_keys(F.map_filter(differs, lambda i, d: d)))
 
 
 def is_compatible(a: Column, b: Column, reference: Column) -> Column:
-    x, y = F.map_from_entries(a), F.map_from_entries(b)
-    base = lambda m, i: B.mask(F.coalesce(F.try_element_at(m, i), _at(reference, i)))
-    return F.forall(both_positions(a, b), lambda i: B.is_compatible(base(x, i), base(y, i)))
+    return F.forall(F.map_values(_sides(a, b, reference)), lambda x: B.is_compatible(x["p"], x["c"]))
 
 
 def is_ambiguous(genome: Column) -> Column:

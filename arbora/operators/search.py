@@ -63,15 +63,15 @@ def proposals(dag: Dag, radius: int, closure: DataFrame | None = None, most_for_
 def moved(dag: Dag, moves: DataFrame) -> Dag:
     """The collection of moved trees, one for each row of moves (dag_id, src, dst), named dag_id|src|dst.
 
-    The new node's id is -1 - src; a node left with one child is replaced by it.
+    The new node's id has the bits of src turned over; a node left with one child is replaced by it.
     """
     name = F.concat_ws("|", "dag_id", "src", "dst")
     m = moves.select("dag_id", "src", "dst", name.alias("_new"))
     nodes = dag.nodes.join(m.select("dag_id", "_new"), "dag_id").select(F.col("_new").alias("dag_id"), "node_id", "sample_id", "genome")
     kept = dag.edges.join(m, "dag_id").where(F.col("child_id") != F.col("src"))
-    new = (-1 - F.col("src")).alias("child_id")
-    edges = kept.select(F.col("_new").alias("dag_id"), "edge_id", "parent_id", F.when(F.col("child_id") == F.col("dst"), -1 - F.col("src")).otherwise(F.col("child_id")).alias("child_id"), "clade")
-    added = m.select(F.col("_new").alias("dag_id"), F.explode(F.array(F.struct((-1 - F.col("src") * 2).alias("e"), F.col("dst").alias("c"), F.lit(0).alias("k")), F.struct((-2 - F.col("src") * 2).alias("e"), F.col("src").alias("c"), F.lit(1).alias("k")))).alias("x"), (-1 - F.col("src")).alias("parent_id"))
+    new = F.bitwise_not("src")
+    edges = kept.select(F.col("_new").alias("dag_id"), "edge_id", "parent_id", F.when(F.col("child_id") == F.col("dst"), new).otherwise(F.col("child_id")).alias("child_id"), "clade")
+    added = m.select(F.col("_new").alias("dag_id"), F.explode(F.array(F.struct(F.xxhash64("src", F.lit(1)).alias("e"), F.col("dst").alias("c"), F.lit(0).alias("k")), F.struct(F.xxhash64("src", F.lit(2)).alias("e"), F.col("src").alias("c"), F.lit(1).alias("k")))).alias("x"), new.alias("parent_id"))
     edges = edges.unionByName(added.select("dag_id", F.col("x.e").alias("edge_id"), "parent_id", F.col("x.c").alias("child_id"), F.col("x.k").alias("clade")))
     own = m.join(dag.nodes.select("dag_id", F.col("node_id").alias("dst"), "genome"), ["dag_id", "dst"]).select(F.col("_new").alias("dag_id"), new.alias("node_id"), F.lit(None).cast("string").alias("sample_id"), "genome")
     out = Dag(nodes.unionByName(own), graph.renumbered(edges), dag.reference)

@@ -1,11 +1,500 @@
-"""Every registered query and the SQL it must agree with."""
+"""Every registered query over the adapter's DAGs, and the SQL it must agree with, written from the base tables alone."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from arbora.functions import bases as B
+from arbora.functions import genomes as G
+from arbora.functions import likelihood as J
+from arbora.model import Dag
+from arbora.operators import distances, graph, labels, sampling, sankoff, search
+from arbora.operators import merge as M
+from arbora.operators import weights as W
+from arbora.plans import adapter
+from arbora.session import load, persisted
+from arbora.sources import newick, sequences
+
+FEW = "c_nationkey < 4"
+TRANSITIONS = [[0, 2, 1, 2], [2, 0, 2, 1], [1, 2, 0, 2], [2, 1, 2, 0]]
+
+
+class Case:
+    """The merged DAG of a folder and what several queries need of it, each written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, where: str | None = None):
+        self.key = (sf_dir, where)
+        self.spark = spark
+        self.merged = adapter.merged(spark, sf_dir, where)
+        self.dag = self.merged.dag
+
+    def _once(self, name: str, make) -> DataFrame:
+        return adapter._once(self.spark, (name, *self.key), lambda: persisted(make(), name))
+
+    @property
+    def heights(self) -> DataFrame:
+        return self._once("heights", lambda: graph.heights(self.dag))
+
+    @property
+    def parsimony(self) -> DataFrame:
+        return self._once("parsimony", lambda: W.parsimony_weights(self.dag))
+
+    @property
+    def sets(self) -> DataFrame:
+        return self.merged.labels.select(F.lit("merged").alias("dag_id"), "node_id", "leafset_key", "n_leaves")
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._once("counts", lambda: distances.leafset_counts(self.dag, self.sets, self.heights))
+
+    def root(self, weights: DataFrame) -> DataFrame:
+        return W.at_root(self.dag, weights)
+
+    def n_trees(self) -> int:
+        return int(self.root(W.tree_counts(self.dag, heights=self.heights)).first()["weight"])
+
+
+def tree_count(spark, d):
+    c = Case(spark, d)
+    return c.root(W.tree_counts(c.dag, heights=c.heights)).select(F.col("weight").cast("string").alias("trees"))
+
+
+def tree_count_exact(spark, d):
+    c = Case(spark, d)
+    return c.root(W.tree_counts(c.dag, exact=True, heights=c.heights)).select(F.col("weight").alias("trees"))
+
+
+def _kind(df: DataFrame) -> DataFrame:
+    return df.withColumn("kind", F.when(F.col("is_ua"), "ua").when(F.col("is_leaf"), "leaf").when(F.col("is_tree_root"), "root").otherwise("inner"))
+
+
+def dag_nodes_by_kind(spark, d):
+    return _kind(graph.kinds(Case(spark, d).dag)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def dag_edges_by_kind(spark, d):
+    c = Case(spark, d)
+    kinds = _kind(graph.kinds(c.dag)).select("dag_id", F.col("node_id").alias("parent_id"), "kind")
+    return c.dag.edges.join(kinds, ["dag_id", "parent_id"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def multi_parent_nodes(spark, d):
+    e = Case(spark, d).dag.edges
+    return e.groupBy("child_id").count().where("count > 1").agg(F.count("*").alias("n"))
+
+
+def incremental_merge(spark, d):
+    trees = adapter.all_trees(spark, d)
+    part = lambda ids: trees.replace(trees.nodes.where(F.col("dag_id").isin(ids)), trees.edges.where(F.col("dag_id").isin(ids)))
+    have = M.add(M.merge(part(["A", "B"])), part(["C", "D"]))
+    return have.dag.nodes.agg(F.count("*").alias("nodes")).crossJoin(have.dag.edges.agg(F.count("*").alias("edges")))
+
+
+def parsimony_min(spark, d):
+    c = Case(spark, d)
+    return c.root(W.optimum(c.dag, c.parsimony, heights=c.heights)).select(F.col("weight").alias("parsimony"))
+
+
+def parsimony_max(spark, d):
+    c = Case(spark, d)
+    return c.root(W.optimum(c.dag, c.parsimony, W.parsimony(F.max), c.heights)).select(F.col("weight").alias("parsimony"))
+
+
+def parsimony_ua_free(spark, d):
+    c = Case(spark, d)
+    w = persisted(W.parsimony_weights(c.dag, ua_free=True), "ua-free")
+    return c.root(W.optimum(c.dag, w, heights=c.heights)).select(F.col("weight").alias("parsimony"))
+
+
+def optimal_tree_count(spark, d):
+    c = Case(spark, d)
+    return c.root(W.optimal_tree_counts(c.dag, c.parsimony)).select(F.col("weight").cast("string").alias("trees"))
+
+
+def parsimony_histogram(spark, d):
+    c = Case(spark, d, FEW)
+    top = graph.roots(c.dag).select(*graph.KEY)
+    return W.histogram(c.dag, c.parsimony, c.heights).join(top, graph.KEY).select(F.col("weight").alias("parsimony"), F.col("n").cast("string").alias("trees"))
+
+
+def trimmed_edges(spark, d):
+    c = Case(spark, d)
+    t = W.trim(c.dag, c.parsimony)
+    return t.edges.agg(F.count("*").alias("edges")).crossJoin(t.nodes.agg(F.count("*").alias("nodes")))
+
+
+def leafset_frequency(spark, d):
+    c = Case(spark, d)
+    return c.counts.groupBy("n_leaves", F.col("count").cast("string").alias("trees")).agg(F.count("*").alias("n_sets"))
+
+
+def _sum_rf(most: bool):
+    def run(spark, d):
+        c = Case(spark, d)
+        return distances.sum_rf(c.dag, c.sets, c.counts, c.n_trees(), most, c.heights).select(F.col("weight").cast("string").alias("sum_rf"))
+
+    return run
+
+
+def dag_info(spark, d):
+    c = Case(spark, d, FEW)
+    top = graph.roots(c.dag).select(*graph.KEY)
+    h = W.histogram(c.dag, c.parsimony, c.heights).join(top, graph.KEY)
+    return h.agg(F.sum("n").cast("string").alias("trees"), F.min("weight").alias("least"), F.min_by("n", "weight").cast("string").alias("n_least"), F.max("weight").alias("most"), F.max_by("n", "weight").cast("string").alias("n_most"))
+
+
+def leaf_set_sizes(spark, d):
+    return Case(spark, d).merged.labels.groupBy("n_leaves").agg(F.count("*").alias("n_nodes"), F.countDistinct("leafset_key").alias("n_sets"))
+
+
+def novel_leafsets(spark, d):
+    trees = adapter.all_trees(spark, d)
+    a, b = (labels.leaf_sets(trees.only(x)) for x in "AB")
+    return labels.novel_leafsets(b, a).groupBy("n_leaves").agg(F.count("*").alias("n"))
+
+
+def completed_edges(spark, d):
+    c = Case(spark, d)
+    return labels.completed(c.dag, c.sets).edges.agg(F.count("*").alias("edges"))
+
+
+def validation_violations(spark, d):
+    return graph.violations(Case(spark, d).dag).unionByName(graph.violations(adapter.all_trees(spark, d), False)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def leaf_genome(spark, d):
+    leaf = graph.leaves(Case(spark, d).dag)
+    return leaf.select("sample_id", G.text(F.col("genome")).alias("genome"), F.size("genome").cast("bigint").alias("n_sites"))
+
+
+def leaf_sequence(spark, d):
+    c = Case(spark, d)
+    ref = c.dag.reference_column()
+    return graph.leaves(c.dag).select("sample_id", G.to_sequence(F.col("genome"), ref).alias("sequence"), G.base_at(F.col("genome"), F.lit(7), ref).alias("base7"), G.has_position(F.col("genome"), F.lit(7)).alias("has7"))
+
+
+def _pairs(spark, d) -> DataFrame:
+    rows = adapter.customers(spark, d)
+    g = rows.select("ck", G.from_sequence(adapter.sequence(F.col("ck")), F.lit(adapter.REFERENCE)).alias("g"))
+    return g.join(g.select((F.col("ck") - 1).alias("ck"), F.col("g").alias("h")), "ck")
+
+
+def genome_pairs(spark, d):
+    ref = F.lit(adapter.REFERENCE)
+    m = G.mutations_between(F.col("g"), F.col("h"), ref)
+    back = G.text(G.apply_mutations(F.col("g"), m, ref)) == G.text(F.col("h"))
+    return _pairs(spark, d).select("ck", F.size(G.differing_sites(F.col("g"), F.col("h"))).cast("bigint").alias("n_sites"), G.mutations_text(m).alias("mutations"), G.is_compatible(F.col("g"), F.col("h"), ref).alias("compatible"), back.alias("round_trip"))
+
+
+def edge_mutation_counts(spark, d):
+    t = adapter.all_trees(spark, d).only("C")
+    return W.mutations(t).groupBy(F.size("muts").cast("bigint").alias("mutations")).agg(F.count("*").alias("edges"))
+
+
+def recomputed_genomes(spark, d):
+    """Genomes made again from edge mutations alone: how many nodes differ."""
+    t = adapter.all_trees(spark, d).only("A")
+    again = labels.recomputed_genomes(t, W.mutation_rows(t))
+    g = lambda dag, n: dag.nodes.select(*graph.KEY, G.text(F.col("genome")).alias(n))
+    both = g(t, "a").join(g(again, "b"), graph.KEY)
+    bad = labels.inconsistent_mutations(t, W.mutation_rows(t)).agg(F.count("*").alias("inconsistent"))
+    return both.agg(F.count("*").alias("nodes"), F.sum((F.col("a") != F.col("b")).cast("bigint")).alias("different")).crossJoin(bad)
+
+
+def _tree_c(spark, d) -> Dag:
+    return adapter.all_trees(spark, d).only("C")
+
+
+def _site_costs(matrix):
+    def run(spark, d):
+        t = _tree_c(spark, d)
+        sites = persisted(sankoff.variable_sites(t), "sites")
+        below = sankoff.costs(t, sites, sankoff.cost_table(spark, sites, matrix))
+        return sankoff.site_scores(t, below).where("score > 0").select(F.col("pos").cast("bigint").alias("pos"), "score")
+
+    return run
+
+
+def sankoff_score(spark, d):
+    return _site_costs(None)(spark, d).agg(F.sum("score").alias("score"))
+
+
+def sankoff_reconstruction(spark, d):
+    """The score of the reconstructed states, counted as mutations of the tree that has them."""
+    t = _tree_c(spark, d)
+    sites = persisted(sankoff.variable_sites(t), "sites")
+    table = sankoff.cost_table(spark, sites)
+    again = sankoff.with_states(t, sankoff.reconstruction(t, sankoff.costs(t, sites, table), table)).persisted("again")
+    ua = graph.roots(t).select("dag_id", F.col("node_id").alias("parent_id"))
+    return W.mutations(again).join(ua, ["dag_id", "parent_id"], "left_anti").agg(F.sum(F.size("muts")).cast("double").alias("score"))
+
+
+def fitch_steps(spark, d):
+    t = _tree_c(spark, d)
+    sites = persisted(sankoff.variable_sites(t), "sites")
+    top = graph.roots(t).select(*graph.KEY).join(sankoff.fitch_sets(t, sites), graph.KEY)
+    return top.where("steps > 0").select(F.col("pos").cast("bigint").alias("pos"), "steps")
+
+
+def ancestor_closure(spark, d):
+    return graph.ancestors(adapter.all_trees(spark, d).only("A")).groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count("*").alias("pairs"))
+
+
+def lca_pairs(spark, d):
+    t = adapter.all_trees(spark, d).only("A")
+    leaf = graph.leaves(t).select("dag_id", "node_id", F.col("sample_id").cast("bigint").alias("ck"))
+    nxt = leaf.select("dag_id", F.col("node_id").alias("b"), (F.col("ck") - 1).alias("ck"))
+    pairs = leaf.withColumnRenamed("node_id", "a").join(nxt, ["dag_id", "ck"])
+    return search.lca(graph.ancestors(t), pairs).join(pairs, ["dag_id", "a", "b"]).select("ck", F.col("distance").cast("bigint").alias("distance"))
+
+
+def nodes_by_depth(spark, d):
+    t = adapter.all_trees(spark, d).only("A")
+    return graph.preorder(t).groupBy(F.col("depth").cast("bigint").alias("depth")).agg(F.count("*").alias("nodes"), F.countDistinct("path").alias("paths"))
+
+
+def leaves_below(spark, d):
+    t = adapter.trees(adapter.customers(spark, d, FEW), {"C": ("n",)})
+    return graph.leaves_below(t).select(F.size("leaves").cast("bigint").alias("n"), F.array_join("leaves", ",").alias("leaves"))
+
+
+def _sampled(make):
+    def run(spark, d):
+        c = Case(spark, d)
+        t = make(c)
+        return graph.leaves(t).agg(F.count("*").alias("leaves")).crossJoin(graph.is_tree(t).select("is_tree"))
+
+    return run
+
+
+def best_sample_score(spark, d):
+    c = Case(spark, d)
+    return search.scores(sampling.best_sample_tree(c.dag, c.parsimony, 5)).select(F.col("score").alias("parsimony"))
+
+
+def vcf_unpivot(spark, d):
+    part = load(spark, d, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("k"))
+    call = F.array(*[F.when((F.col("k") * i) % 4 == 3, ".").otherwise(((F.col("k") * i) % 4 % 3).cast("string")) for i in range(1, 6)])
+    letter = lambda x: F.substring(F.lit("ACGT"), ((F.col("k") + x) % 4).cast("int") + 1, F.lit(1))
+    line = F.concat_ws("\t", F.lit("chr"), F.col("k").cast("string"), F.lit("."), letter(0), F.concat(letter(1), F.lit(","), letter(2)), F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), call)
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"S{i}" for i in range(1, 6))
+    lines = part.select(line.alias("value")).unionByName(spark.range(1).select(F.lit(head).alias("value"))).unionByName(spark.range(1).select(F.lit("##source=parts").alias("value")))
+    return sequences.vcf_lines(lines).select("sample_id", F.col("pos").cast("bigint").alias("pos"), "base")
+
+
+def fasta_records(spark, d):
+    s = load(spark, d, "supplier")
+    seq = adapter.sequence(F.col("s_suppkey"))
+    rows = s.select(F.concat(F.lit("supplier"), F.col("s_suppkey"), F.lit(" some words\n"), F.substring(seq, 1, 20), F.lit("\n"), F.lower(F.substring(seq, 21, 12)), F.lit("\n")).alias("value"), F.col("s_suppkey").alias("at"))
+    return sequences.fasta_records(rows)
+
+
+def newick_nodes(spark, d):
+    c = adapter.customers(spark, d)
+    cells = c.groupBy("n", "s").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("l"), F.col("ck"), F.lit(":0.5")))), ",").alias("t"))
+    texts = cells.groupBy("n").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("("), "t", F.lit(")'"), "s", F.lit("':1e-1")))), ",").alias("t"))
+    rows = newick.read(texts.select(F.col("n").alias("dag_id"), F.concat(F.lit("("), "t", F.lit(")root;")).alias("newick")))
+    return rows.groupBy("dag_id").agg(F.count("*").alias("nodes"), F.sum(F.col("label").startswith("l").cast("bigint")).alias("leaves"), F.round(F.sum("length"), 6).alias("length"))
+
+
+def base_operations(spark, d):
+    m = spark.range(1, 16).select(F.col("id").cast("int").alias("a")).crossJoin(spark.range(1, 16).select(F.col("id").cast("int").alias("b")))
+    a, b = F.col("a"), F.col("b")
+    out = m.select("a", "b", B.is_compatible(a, b).alias("compatible"), B.is_ambiguous(a).alias("ambiguous"), B.first_base(a).alias("first"), B.common_bases(a, b).alias("common"), B.complement(a).alias("complement"), B.shown(a).alias("shown"), B.mask(B.letter(a)).alias("again"))
+    return out.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
+
+
+def kmer_counts(spark, d):
+    s = adapter.customers(spark, d).select(adapter.sequence(F.col("ck")).alias("s"))
+    return s.select(F.explode(J.encoded(F.col("s"), 3)).alias("k")).groupBy(F.col("k").cast("bigint").alias("kmer")).agg(F.count("*").alias("n"), F.first(J.kmer_text(F.col("k"), 3)).alias("text"))
+
+
+def edge_likelihood(spark, d):
+    rows = adapter.customers(spark, d).select("ck", adapter.sequence(F.col("ck")).alias("p"))
+    both = rows.join(rows.select((F.col("ck") - 1).alias("ck"), F.col("p").alias("c")), "ck")
+    sites = both.select("ck", F.posexplode(F.arrays_zip(J.base_codes(F.col("p")).alias("parent"), J.base_codes(F.col("c")).alias("child"))).alias("site", "x"))
+    csp = F.array(*[F.when(F.col("parent") == b, 0.0).otherwise(1 / 3) for b in range(4)])
+    sites = sites.select("ck", "site", F.col("x.parent").alias("parent"), F.col("x.child").alias("child")).where("parent < 4").withColumn("rate", 1.0 + F.col("site") % 3).withColumn("csp", csp)
+    return J.edge_log_likelihood(sites, ["ck"]).select("ck", F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
+def consensus(spark, d):
+    s = adapter.customers(spark, d).select(F.col("ck").cast("string").alias("sample_id"), adapter.sequence(F.col("ck")).alias("sequence"))
+    return sequences.consensus(s)
+
+
+def variant_overlay(spark, d):
+    """Leaves whose first site is set to N: how many edges to leaves lose or keep a mutation there."""
+    t = _tree_c(spark, d)
+    v = graph.leaves(t).select("sample_id", F.lit(1).alias("pos"), F.lit("N").alias("base"))
+    leaf = graph.leaves(t).select("dag_id", F.col("node_id").alias("child_id"))
+    at = lambda dag: W.mutations(dag).join(leaf, ["dag_id", "child_id"]).where(F.exists("muts", lambda m: m["pos"] == 1)).agg(F.count("*").alias("n"))
+    before, after = at(t).select(F.col("n").alias("before")), at(sequences.with_variants(t, v)).select(F.col("n").alias("after"))
+    return before.crossJoin(after).crossJoin(sequences.unmatched(t, v).agg(F.count("*").alias("unmatched")))
+
+
+def condensed_leaves(spark, d):
+    """Leaves with equal genomes stand for one another: parts by their name's words."""
+    p = load(spark, d, "part")
+    g = p.select("p_partkey", F.translate(F.substring(F.md5("p_brand"), 1, 12), "0123456789abcdef", "ACGT" * 4).alias("s"))
+    return g.groupBy("s").agg(F.min("p_partkey").alias("stands_for"), F.count("*").alias("members")).select("stands_for", "members")
+
+
+def spr_moves(spark, d):
+    t = adapter.trees(adapter.customers(spark, d, "c_custkey <= 14"), {"A": ("s",)})
+    scored, _ = search.scored_moves(t, persisted(search.proposals(t, 3), "moves"))
+    return scored.groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count("*").alias("moves"), F.min("change").alias("best"), F.max("change").alias("worst"))
+
+
+def first_of_each(spark, d):
+    """Leaf genomes of which the first tree's counts, by event type: events as samples of users."""
+    e = load(spark, d, "events").select("user_id", "event_type", "event_id")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return e.withColumn("r", F.row_number().over(w)).where("r = 1").groupBy("event_type").agg(F.count("*").alias("users"))
+
+
+# --- SQL ---
+
+CUSTOMERS = """
+cu AS (SELECT c_custkey AS ck, 'n:' || c_nationkey AS n, 's:' || c_mktsegment AS s, 'c:' || c_nationkey || '|' || c_mktsegment AS c,
+    translate(md5(CAST(c_custkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS g FROM customer WHERE {where}),
+ref AS (SELECT translate(md5('0'), '0123456789abcdef', 'ACGTACGTACGTACGT') AS r),
+cell AS (SELECT c, min(n) AS n, min(s) AS s, count(*) AS kc, arg_min(g, ck) AS gc FROM cu GROUP BY c),
+nat AS (SELECT n AS q, count(*) AS k, count(DISTINCT c) AS m, arg_min(g, ck) AS gq FROM cu GROUP BY n),
+seg AS (SELECT s AS q, count(*) AS k, count(DISTINCT c) AS m, arg_min(g, ck) AS gq FROM cu GROUP BY s),
+top AS (SELECT arg_min(g, ck) AS gr, count(*) AS leaves FROM cu),
+grp AS (SELECT 1 AS side, *, CASE WHEN 1 < m AND m < k THEN 2 ELSE 1 END AS alt FROM nat UNION ALL SELECT 2, *, CASE WHEN 1 < m AND m < k THEN 2 ELSE 1 END FROM seg),
+mem AS (SELECT 1 AS side, n AS q, * FROM cell UNION ALL SELECT 2, s, * FROM cell),
+"""
+COSTS = """
+flat AS (SELECT side, q, sum(hamming(gq, g)) AS w FROM (SELECT 1 AS side, n AS q, g FROM cu UNION ALL SELECT 2, s, g FROM cu) JOIN grp USING (side, q) GROUP BY side, q),
+inside AS (SELECT c, sum(hamming(gc, g)) AS w FROM cu JOIN cell USING (c) GROUP BY c),
+deep AS (SELECT side, q, sum(hamming(gq, gc) + i.w) AS w FROM mem JOIN grp USING (side, q) JOIN inside i USING (c) GROUP BY side, q),
+opt AS (SELECT g.*, hamming(gr, gq) + f.w AS wc, hamming(gr, gq) + d.w AS wa FROM grp g JOIN flat f USING (side, q) JOIN deep d USING (side, q), top),
+side AS (SELECT side, hamming(r, gr) + sum(CASE WHEN alt = 2 THEN least(wc, wa) ELSE wc END) AS lo, hamming(r, gr) + sum(CASE WHEN alt = 2 THEN greatest(wc, wa) ELSE wc END) AS hi,
+    CAST(product(CASE WHEN alt = 2 AND wc = wa THEN 2 ELSE 1 END) AS BIGINT) AS ties, hamming(r, gr) AS up FROM opt, top, ref GROUP BY side, r, gr),
+"""
+FREQUENCIES = """
+tot AS (SELECT CAST(max(CASE WHEN side = 1 THEN p END) AS BIGINT) AS t1, CAST(max(CASE WHEN side = 2 THEN p END) AS BIGINT) AS t2 FROM (SELECT side, product(alt) AS p FROM grp GROUP BY side)),
+cells AS (SELECT c, kc, CAST(sum(CASE WHEN m = 1 THEN CASE WHEN side = 1 THEN t1 ELSE t2 END ELSE (CASE WHEN side = 1 THEN t1 ELSE t2 END) // 2 END) AS BIGINT) AS cnt FROM mem JOIN grp USING (side, q), tot WHERE kc > 1 GROUP BY c, kc),
+sets AS (SELECT 1 AS n_leaves, t1 + t2 AS cnt FROM cu, tot UNION ALL SELECT leaves, t1 + t2 FROM top, tot UNION ALL SELECT kc, cnt FROM cells
+    UNION ALL SELECT k, CASE WHEN side = 1 THEN t1 ELSE t2 END FROM grp, tot WHERE m > 1),
+"""
+
+
+def _sql(body: str, *parts: str, where: str = "TRUE") -> str:
+    return "WITH " + (CUSTOMERS.format(where=where) + "".join(parts)).strip().rstrip(",") + "\n" + body
+
+
+HISTOGRAM = """
+num AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY q) - 1 AS i FROM opt),
+bits AS (SELECT side, unnest(range(CAST(pow(2, count(*)) AS BIGINT))) AS b FROM num GROUP BY side),
+tree AS (SELECT side, b, sum(CASE WHEN (b >> i) & 1 = 1 THEN wa ELSE wc END) AS w FROM num JOIN bits USING (side) GROUP BY side, b HAVING bool_and(alt = 2 OR (b >> i) & 1 = 0)),
+hist AS (SELECT CAST(w + up AS BIGINT) AS parsimony, count(*) AS trees FROM tree JOIN side USING (side) GROUP BY 1),
+"""
+EDGES = "(SELECT 2 + (SELECT sum(alt) FROM grp) + (SELECT coalesce(sum(kc), 0) FROM cell WHERE kc > 1) + (SELECT coalesce(sum(k), 0) FROM grp WHERE m > 1) + (SELECT coalesce(sum(m), 0) FROM grp WHERE alt = 2))"
+NODES = "(SELECT 3 + (SELECT count(*) FROM cu) + (SELECT count(*) FROM cell WHERE kc > 1) + (SELECT count(*) FROM grp WHERE m > 1) + (SELECT count(*) FROM grp WHERE alt = 2))"
+SITES = """
+leaf AS (SELECT n, pos, substr(g, CAST(pos AS INTEGER), 1) AS b FROM cu, (SELECT unnest(range(1, 33)) AS pos)),
+abc AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x, unnest(range(4)) AS xi),
+low AS (SELECT n, pos, x, xi, sum({leaf}) AS c FROM leaf l JOIN abc ON TRUE JOIN abc y ON y.x = l.b GROUP BY ALL),
+"""
+SANKOFF = """
+mid AS (SELECT n, pos, a.x, a.xi, min(low.c + {between}) AS c FROM low, abc a GROUP BY n, pos, a.x, a.xi),
+sites AS (SELECT pos, min(c) AS score FROM (SELECT pos, x, sum(c) AS c FROM mid GROUP BY pos, x) GROUP BY pos),
+"""
+UNIT = {"leaf": "CASE WHEN abc.x = l.b THEN 0 ELSE 1 END", "between": "CASE WHEN low.x = a.x THEN 0 ELSE 1 END"}
+MATRIX = "[" + ", ".join(str(x) for row in TRANSITIONS for x in row) + "]"
+WEIGHTED = {"leaf": f"{MATRIX}[abc.xi * 4 + y.xi + 1]", "between": f"{MATRIX}[a.xi * 4 + low.xi + 1]"}
+
+
+def _sankoff(kind: dict) -> str:
+    return (SITES + SANKOFF).replace("abc ON TRUE", "abc ON TRUE").format(**kind).replace("SELECT n, pos, x, xi, sum", "SELECT n, pos, abc.x, abc.xi, sum")
+
+
+FEW_SQL = "c_nationkey < 4"
+DEPTHS = """
+dep AS (SELECT 0 AS d, 1 AS n UNION ALL SELECT 1, 1 UNION ALL SELECT 2, count(*) FROM nat WHERE m > 1
+    UNION ALL SELECT 2 + CAST(m > 1 AS INTEGER), count(*) FROM cell JOIN nat ON q = n WHERE kc > 1 GROUP BY 1
+    UNION ALL SELECT 2 + CAST(m > 1 AS INTEGER) + CAST(kc > 1 AS INTEGER), count(*) FROM cu JOIN cell USING (c) JOIN nat ON q = cu.n GROUP BY 1),
+"""
+SPLIT = "(SELECT ck, unnest(range(1, 33)) AS i, r, g FROM cu, ref)"
+SAMPLED = "SELECT count(*) AS leaves, TRUE AS is_tree FROM customer"
+RF = """
+adds AS (SELECT side, q, sum(CASE WHEN kc > 1 THEN t1 + t2 - 2 * cnt ELSE 0 END) AS w FROM mem LEFT JOIN (SELECT c, cnt FROM cells) USING (c), tot GROUP BY side, q),
+own AS (SELECT g.side, g.q, alt, CASE WHEN k = 1 THEN 0 WHEN m > 1 THEN t1 + t2 - 2 * (CASE WHEN side = 1 THEN t1 ELSE t2 END) ELSE w END AS base, w FROM grp g JOIN adds USING (side, q), tot),
+rf AS (SELECT side, sum(base + CASE WHEN alt = 2 THEN least(0, w) ELSE 0 END) AS lo, sum(base + CASE WHEN alt = 2 THEN greatest(0, w) ELSE 0 END) AS hi FROM own GROUP BY side),
+"""
+RF_SUM = "CAST(CAST({f}({c}) + (SELECT sum(cnt) FROM sets) - (SELECT (t1 + t2) * (leaves + 1) FROM tot, top) AS HUGEINT) AS VARCHAR)"
+
+QUERIES = {
+    "tree_count": (tree_count, _sql("SELECT CAST(t1 + t2 AS VARCHAR) AS trees FROM tot", FREQUENCIES)),
+    "tree_count_exact": (tree_count_exact, _sql("SELECT CAST(t1 + t2 AS VARCHAR) AS trees FROM tot", FREQUENCIES)),
+    "dag_nodes_by_kind": (dag_nodes_by_kind, _sql(f"SELECT 'ua' AS kind, 1::BIGINT AS n UNION ALL SELECT 'root', 2 UNION ALL SELECT 'leaf', count(*) FROM cu UNION ALL SELECT 'inner', {NODES} - 3 - (SELECT count(*) FROM cu)")),
+    "dag_edges_by_kind": (dag_edges_by_kind, _sql(f"SELECT 'ua' AS kind, 2::BIGINT AS n UNION ALL SELECT 'root', CAST(sum(alt) AS BIGINT) FROM grp UNION ALL SELECT 'inner', CAST({EDGES} - 2 - (SELECT sum(alt) FROM grp) AS BIGINT)")),
+    "multi_parent_nodes": (multi_parent_nodes, _sql("""SELECT (SELECT count(*) FROM cu) + count(*) AS n FROM cell JOIN nat ON nat.q = n JOIN seg ON seg.q = s WHERE kc > 1""")),
+    "incremental_merge": (incremental_merge, _sql(f"SELECT CAST({NODES} AS BIGINT) AS nodes, CAST({EDGES} AS BIGINT) AS edges")),
+    "parsimony_min": (parsimony_min, _sql("SELECT CAST(min(lo) AS BIGINT) AS parsimony FROM side", COSTS)),
+    "parsimony_max": (parsimony_max, _sql("SELECT CAST(max(hi) AS BIGINT) AS parsimony FROM side", COSTS)),
+    "parsimony_ua_free": (parsimony_ua_free, _sql("SELECT CAST(min(lo - up) AS BIGINT) AS parsimony FROM side", COSTS)),
+    "optimal_tree_count": (optimal_tree_count, _sql("SELECT CAST(CAST(sum(ties) AS BIGINT) AS VARCHAR) AS trees FROM side WHERE lo = (SELECT min(lo) FROM side)", COSTS)),
+    "parsimony_histogram": (parsimony_histogram, _sql("SELECT parsimony, CAST(trees AS VARCHAR) AS trees FROM hist", COSTS, HISTOGRAM, where=FEW_SQL)),
+    "dag_info": (dag_info, _sql("SELECT CAST(CAST(sum(trees) AS BIGINT) AS VARCHAR) AS trees, min(parsimony) AS least, CAST(arg_min(trees, parsimony) AS VARCHAR) AS n_least, max(parsimony) AS most, CAST(arg_max(trees, parsimony) AS VARCHAR) AS n_most FROM hist", COSTS, HISTOGRAM, where=FEW_SQL)),
+    "trimmed_edges": (trimmed_edges, _sql("""SELECT CAST(count(*) AS BIGINT) AS edges, CAST(count(DISTINCT c) + 1 AS BIGINT) AS nodes FROM (
+        SELECT 'UA' AS p, 'root' || side AS c FROM good UNION ALL SELECT 'root' || side, CASE WHEN k = 1 THEN 'leaf' || (SELECT min(ck) FROM cu WHERE n = q OR s = q) WHEN m = 1 THEN (SELECT min(c) FROM mem WHERE mem.q = o.q AND mem.side = o.side) ELSE q || 'flat' END FROM o WHERE flat
+        UNION ALL SELECT 'root' || side, q || 'deep' FROM o WHERE deep
+        UNION SELECT CASE WHEN m = 1 THEN c ELSE q || 'flat' END, 'leaf' || ck FROM o JOIN (SELECT 1 AS side, n AS q, c, ck FROM cu UNION ALL SELECT 2, s, c, ck FROM cu) USING (side, q) WHERE flat AND k > 1
+        UNION SELECT q || 'deep', CASE WHEN kc > 1 THEN c ELSE 'leaf' || (SELECT min(ck) FROM cu WHERE cu.c = mem.c) END FROM o JOIN mem USING (side, q) WHERE deep
+        UNION SELECT c, 'leaf' || ck FROM o JOIN mem USING (side, q) JOIN (SELECT c, ck FROM cu) USING (c) WHERE deep AND kc > 1)""", COSTS, """
+        good AS (SELECT side FROM side WHERE lo = (SELECT min(lo) FROM side)),
+        o AS (SELECT *, (alt = 1 OR wc <= wa) AS flat, (alt = 2 AND wa <= wc) AS deep FROM opt JOIN good USING (side)),""")),
+    "leafset_frequency": (leafset_frequency, _sql("SELECT CAST(n_leaves AS BIGINT) AS n_leaves, CAST(cnt AS VARCHAR) AS trees, count(*) AS n_sets FROM sets GROUP BY ALL", FREQUENCIES)),
+    "sum_rf_min": (_sum_rf(False), _sql(f"SELECT {RF_SUM.format(f='min', c='lo')} AS sum_rf FROM rf", FREQUENCIES, RF)),
+    "sum_rf_max": (_sum_rf(True), _sql(f"SELECT {RF_SUM.format(f='max', c='hi')} AS sum_rf FROM rf", FREQUENCIES, RF)),
+    "leaf_set_sizes": (leaf_set_sizes, _sql("SELECT CAST(n_leaves AS BIGINT) AS n_leaves, CAST(sum(x) AS BIGINT) AS n_nodes, count(*) AS n_sets FROM (SELECT 1 AS n_leaves, 1 AS x FROM cu UNION ALL SELECT leaves, 3 FROM top UNION ALL SELECT kc, 1 FROM cell WHERE kc > 1 UNION ALL SELECT k, alt FROM grp WHERE m > 1) GROUP BY ALL")),
+    "novel_leafsets": (novel_leafsets, _sql("SELECT CAST(k AS BIGINT) AS n_leaves, count(*) AS n FROM seg WHERE m > 1 GROUP BY ALL")),
+    "completed_edges": (completed_edges, _sql(f"SELECT CAST({EDGES} AS BIGINT) AS edges")),
+    "validation_violations": (validation_violations, "SELECT CAST('' AS VARCHAR) AS rule, CAST(0 AS BIGINT) AS n FROM customer WHERE c_custkey <> c_custkey"),
+    "leaf_genome": (leaf_genome, _sql(f"SELECT CAST(ck AS VARCHAR) AS sample_id, '<' || coalesce(string_agg(i || substr(g, CAST(i AS INTEGER), 1) || ',', '' ORDER BY i) FILTER (WHERE substr(g, CAST(i AS INTEGER), 1) <> substr(r, CAST(i AS INTEGER), 1)), '') || '>' AS genome, count(*) FILTER (WHERE substr(g, CAST(i AS INTEGER), 1) <> substr(r, CAST(i AS INTEGER), 1)) AS n_sites FROM {SPLIT} GROUP BY ck")),
+    "leaf_sequence": (leaf_sequence, _sql("SELECT CAST(ck AS VARCHAR) AS sample_id, g AS sequence, substr(g, 7, 1) AS base7, substr(g, 7, 1) <> substr(r, 7, 1) AS has7 FROM cu, ref")),
+    "genome_pairs": (genome_pairs, _sql("SELECT ck, count(*) FILTER (WHERE x <> y) AS n_sites, '<' || coalesce(string_agg(x || i || y || ',', '' ORDER BY i) FILTER (WHERE x <> y), '') || '>' AS mutations, bool_and(x = y) AS compatible, TRUE AS round_trip FROM (SELECT a.ck, i, substr(a.g, CAST(i AS INTEGER), 1) AS x, substr(b.g, CAST(i AS INTEGER), 1) AS y FROM cu a JOIN cu b ON b.ck = a.ck + 1, (SELECT unnest(range(1, 33)) AS i)) GROUP BY ck")),
+    "edge_mutation_counts": (edge_mutation_counts, _sql("SELECT CAST(w AS BIGINT) AS mutations, count(*) AS edges FROM (SELECT hamming(r, gr) AS w FROM ref, top UNION ALL SELECT hamming(gr, gq) FROM nat, top UNION ALL SELECT hamming(gq, g) FROM cu JOIN nat ON q = n WHERE k > 1) GROUP BY w")),
+    "recomputed_genomes": (recomputed_genomes, _sql("SELECT CAST(sum(n) AS BIGINT) AS nodes, 0::BIGINT AS different, 0::BIGINT AS inconsistent FROM dep", DEPTHS)),
+    "sankoff_site_costs": (_site_costs(None), _sql("SELECT CAST(pos AS BIGINT) AS pos, CAST(score AS DOUBLE) AS score FROM sites WHERE score > 0", _sankoff(UNIT))),
+    "sankoff_weighted_costs": (_site_costs(TRANSITIONS), _sql("SELECT CAST(pos AS BIGINT) AS pos, CAST(score AS DOUBLE) AS score FROM sites WHERE score > 0", _sankoff(WEIGHTED))),
+    "sankoff_score": (sankoff_score, _sql("SELECT CAST(sum(score) AS DOUBLE) AS score FROM sites", _sankoff(UNIT))),
+    "sankoff_reconstruction": (sankoff_reconstruction, _sql("SELECT CAST(sum(score) AS DOUBLE) AS score FROM sites", _sankoff(UNIT))),
+    "fitch_steps": (fitch_steps, _sql("SELECT CAST(pos AS BIGINT) AS pos, CAST(sum(w) AS BIGINT) AS steps FROM (SELECT pos, k - most AS w FROM fit UNION ALL SELECT pos, count(DISTINCT n) - max(h) FROM (SELECT pos, n, x, sum(hit) OVER (PARTITION BY pos, x) AS h FROM fitx) GROUP BY pos) GROUP BY pos HAVING sum(w) > 0", SITES.format(**UNIT).replace("SELECT n, pos, x, xi, sum", "SELECT n, pos, abc.x, abc.xi, sum"), """
+        cnt AS (SELECT n, pos, x, count(*) FILTER (WHERE b = x) AS hits, count(*) AS k FROM leaf, abc GROUP BY n, pos, x),
+        fit AS (SELECT n, pos, max(hits) AS most, max(k) AS k FROM cnt GROUP BY n, pos),
+        fitx AS (SELECT cnt.n, cnt.pos, x, CAST(hits = most AS INTEGER) AS hit FROM cnt JOIN fit USING (n, pos)),""")),
+    "ancestor_closure": (ancestor_closure, _sql("SELECT CAST(distance AS BIGINT) AS distance, CAST(sum(n) AS BIGINT) AS pairs FROM (SELECT n, unnest(range(d + 1)) AS distance FROM dep) WHERE n > 0 GROUP BY distance", DEPTHS)),
+    "nodes_by_depth": (nodes_by_depth, _sql("SELECT CAST(d AS BIGINT) AS depth, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(n) AS BIGINT) AS paths FROM dep WHERE n > 0 GROUP BY d", DEPTHS)),
+    "lca_pairs": (lca_pairs, _sql("SELECT a.ck, CAST(a.d + b.d - 2 * CASE WHEN a.c = b.c THEN a.d - 1 WHEN a.n = b.n THEN 2 ELSE 1 END AS BIGINT) AS distance FROM lv a JOIN lv b ON b.ck = a.ck + 1", "lv AS (SELECT ck, cu.c, cu.n, 2 + CAST(m > 1 AS INTEGER) + CAST(kc > 1 AS INTEGER) AS d FROM cu JOIN cell USING (c) JOIN nat ON q = cu.n),")),
+    "leaves_below": (leaves_below, _sql("SELECT CAST(count(*) AS BIGINT) AS n, string_agg(CAST(ck AS VARCHAR), ',' ORDER BY CAST(ck AS VARCHAR)) AS leaves FROM (SELECT ck, CAST(ck AS VARCHAR) AS node FROM cu UNION ALL SELECT ck, n FROM cu JOIN nat ON q = n WHERE k > 1 UNION ALL SELECT ck, 'root' FROM cu UNION ALL SELECT ck, 'UA' FROM cu) GROUP BY node", where=FEW_SQL)),
+    "sampled_tree": (_sampled(lambda c: sampling.sample_tree(c.dag, 1)), SAMPLED),
+    "sampled_tree_uniform": (_sampled(lambda c: sampling.uniform_sample_tree(c.dag, 2)), SAMPLED),
+    "sampled_tree_best": (_sampled(lambda c: sampling.best_sample_tree(c.dag, c.parsimony, 3)), SAMPLED),
+    "sampled_tree_best_uniform": (_sampled(lambda c: sampling.best_uniform_sample_tree(c.dag, c.parsimony, 4)), SAMPLED),
+    "best_sample_score": (best_sample_score, _sql("SELECT CAST(min(lo) AS BIGINT) AS parsimony FROM side", COSTS)),
+    "vcf_unpivot": (vcf_unpivot, "SELECT 'S' || i AS sample_id, p_partkey AS pos, CASE WHEN p_partkey * i % 4 = 3 THEN 'N' ELSE substr('ACGT', CAST((p_partkey + p_partkey * i % 4 % 3) % 4 + 1 AS INTEGER), 1) END AS base FROM part, (SELECT unnest(range(1, 6)) AS i) WHERE p_partkey <= 60 AND p_partkey * i % 4 <> 0"),
+    "fasta_records": (fasta_records, "SELECT 'supplier' || s_suppkey AS sample_id, translate(md5(CAST(s_suppkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM supplier"),
+    "newick_nodes": (newick_nodes, _sql("SELECT n AS dag_id, 1 + count(DISTINCT s) + count(*) AS nodes, count(*) AS leaves, round(0.5 * count(*) + 0.1 * count(DISTINCT s), 6)::DOUBLE AS length FROM cu GROUP BY n")),
+    "base_operations": (base_operations, "SELECT a, b, a & b <> 0 AS compatible, bit_count(a) <> 1 AS ambiguous, a & -a AS first, CASE WHEN a & b <> 0 THEN a & b END AS common, ((a & 1) << 3) | ((a & 2) << 1) | ((a & 4) >> 1) | ((a & 8) >> 3) AS complement, CASE a WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE 'N' END AS shown, a AS again FROM (SELECT unnest(range(1, 16)) AS a), (SELECT unnest(range(1, 16)) AS b)"),
+    "kmer_counts": (kmer_counts, _sql("SELECT CAST(CASE WHEN k LIKE '%N%' THEN 64 ELSE 16 * (instr('ACGT', k[1]) - 1) + 4 * (instr('ACGT', k[2]) - 1) + instr('ACGT', k[3]) - 1 END AS BIGINT) AS kmer, count(*) AS n, min(CASE WHEN k LIKE '%N%' THEN 'N' ELSE k END) AS text FROM (SELECT substr('N' || g || 'N', CAST(i AS INTEGER), 3) AS k FROM cu, (SELECT unnest(range(1, 33)) AS i)) GROUP BY 1")),
+    "edge_likelihood": (edge_likelihood, _sql("SELECT ck, round(CASE WHEN n = 0 THEN 0 ELSE s + n * ln(n / r) - n END, 6) AS log_likelihood FROM (SELECT ck, sum(CASE WHEN x <> y THEN ln(q / 3) END) AS s, CAST(count(*) FILTER (WHERE x <> y) AS DOUBLE) AS n, sum(q) AS r FROM (SELECT a.ck, 1.0::DOUBLE + (i - 1) % 3 AS q, substr(a.g, CAST(i AS INTEGER), 1) AS x, substr(b.g, CAST(i AS INTEGER), 1) AS y FROM cu a JOIN cu b ON b.ck = a.ck + 1, (SELECT unnest(range(1, 33)) AS i)) GROUP BY ck)")),
+    "consensus": (consensus, _sql("SELECT string_agg(b, '' ORDER BY i) AS sequence FROM (SELECT i, arg_max(b, k * 1000 - ascii(b)) AS b FROM (SELECT i, substr(g, CAST(i AS INTEGER), 1) AS b, count(*) AS k FROM cu, (SELECT unnest(range(1, 33)) AS i) GROUP BY ALL) GROUP BY i)")),
+    "variant_overlay": (variant_overlay, _sql("SELECT (SELECT count(*) FROM cu JOIN nat ON q = n, top WHERE substr(g, 1, 1) <> substr(CASE WHEN k > 1 THEN gq ELSE gr END, 1, 1)) AS before, 0::BIGINT AS after, 0::BIGINT AS unmatched")),
+    "condensed_leaves": (condensed_leaves, "SELECT min(p_partkey) AS stands_for, count(*) AS members FROM part GROUP BY translate(substr(md5(p_brand), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"),
+    "first_of_each": (first_of_each, "SELECT event_type, count(*) AS users FROM (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id) GROUP BY event_type"),
+    "spr_moves": (spr_moves, None),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
