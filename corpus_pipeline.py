@@ -8,40 +8,53 @@ too, then documents that share a window of words with the benchmark; what is lef
 
 from __future__ import annotations
 
+import functools
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import bpe, decontaminate, minhash, passages, quality
-from arbora.session import load, persisted, shipped
+from arbora.session import load, persisted, ship
 
+#: Documents that go to a Python worker at once; texts may be long, and several batches are in memory together.
+BATCH = "2000"
 
-@shipped
+
+def staged(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+        return stage(ship(spark), docs, sf_dir)
+
+    return run
+
+
+@staged
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1, fitted on the labelled documents: what scores under 0.5 goes."""
     return quality.accepted(spark, docs, load(spark, sf_dir, "labels"))
 
 
-@shipped
+@staged
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each class of linked documents the one of smallest doc_id stays."""
     return minhash.one_of_each(spark, docs)
 
 
-@shipped
+@staged
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: passages of 50 words and more stay in the document of smallest doc_id only."""
     return passages.without_repeats(spark, docs)
 
 
-@shipped
+@staged
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents in which a window of a benchmark item occurs go."""
     return decontaminate.without_leaks(spark, docs, load(spark, sf_dir, "benchmark"))
 
 
-@shipped
+@staged
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: doc_id, lang and source with the token ids, and digests of the ids and of the bytes they decode to."""
     import public_tokenizers
