@@ -6,9 +6,11 @@ by Fitch parsimony of the moved trees, and applied as deltas of the edge table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +164,134 @@ def scored_moves(dag: Dag, moves: DataFrame, known: DataFrame | None = None, sco
     return persisted(out.select("dag_id", "src", "dst", "distance", F.col("_id").alias("moved_id"), "change", "novel"), "scored"), trees
 
 
+BITS = np.arange(4, dtype=np.uint8)
+#: Moves that are scored side by side.
+TOGETHER = 4_096
+
+
+def _bits(mask: np.ndarray) -> np.ndarray:
+    return ((mask[..., None] >> BITS) & 1).astype(np.int32)
+
+
+def _majority(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bases that most children hold, and how many hold them."""
+    most = n.max(-1)
+    return ((n == most[..., None]) << BITS).sum(-1).astype(np.uint8), most
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fitch set of a node of two children, and its changes."""
+    both = a & b
+    return np.where(both, both, a | b), (both == 0).sum(1)
+
+
+class FitchTree:
+    """Fitch sets of one tree and how many children of each inner node hold each base, by site."""
+
+    def __init__(self, ids: np.ndarray, parent: np.ndarray, child: np.ndarray, mask: np.ndarray, reference: np.ndarray, score: int):
+        """ids: sorted; parent, child: places of each edge's ends in ids; mask: ids x sites; score: of the tree as it is."""
+        self.ids, self.mask, self.reference = ids, mask, reference
+        self.up = np.full(len(ids), -1)
+        self.up[child] = parent
+        self.depth, at = np.zeros(len(ids), np.int64), self.up.copy()
+        while (at >= 0).any():
+            self.depth += at >= 0
+            at = np.where(at >= 0, self.up[at], -1)
+        inner, own = np.unique(parent, return_inverse=True)
+        self.inner = np.full(len(ids), -1)
+        self.inner[inner] = np.arange(len(inner))
+        self.n = np.zeros((len(inner), mask.shape[1], 4), np.int32)
+        np.add.at(self.n, own, _bits(mask[child]))
+        self.k = np.bincount(own, minlength=len(inner))
+        self.own = (self.k[:, None] - self.n.max(-1)).sum(1)
+        self.base = int(self.own.sum()) - score
+
+    def changes(self, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+        """Of the score, by each move: only the sets of src's and dst's ancestors are made again, from the lowest to the UA."""
+        total, moving = np.full(len(src), self.base), self.mask[src]
+        above, at = np.zeros(len(src), bool), self.up[src]
+        while (at >= 0).any():
+            above |= at == dst
+            at = np.where(at >= 0, self.up[at], -1)
+        # p, q: the next nodes to change above src and above dst; their child's set goes from out to into.
+        p, p_out, p_into, gone = self.up[src], moving.copy(), np.zeros_like(moving), np.ones(len(src), np.int64)
+        q_out = self.mask[dst]
+        q_into, steps = _pair(moving, q_out)
+        q = np.where(above, -1, self.up[dst])
+        total += np.where(above, 0, steps)
+
+        def made(i, node, *swaps):
+            n = self.n[self.inner[node]]
+            for out, into in swaps:
+                n = n + _bits(into) - _bits(out)
+            new, most = _majority(n)
+            return new, most
+
+        for d in range(int(self.depth.max()), -1, -1):
+            on_p, on_q = (p >= 0) & (self.depth[p] == d), (q >= 0) & (self.depth[q] == d)
+            met = on_p & on_q & (p == q)
+            for chosen, swap_p, swap_q in ((met, True, True), (on_p & ~met, True, False), (on_q & ~met, False, True)):
+                i = np.flatnonzero(chosen)
+                if not len(i):
+                    continue
+                node = (p if swap_p else q)[i]
+                new, most = made(i, node, *[(o[i], t[i]) for o, t, used in ((p_out, p_into, swap_p), (q_out, q_into, swap_q)) if used])
+                k = self.k[self.inner[node]] - (gone[i] if swap_p else 0)
+                total[i] += (k[:, None] - most).sum(1) - self.own[self.inner[node]]
+                if d == 0:
+                    total[i] += ((new & self.reference) == 0).sum(1)
+                if swap_p:
+                    here = above[i] & (node == dst[i])  # dst is above src: its new set is known now
+                    joined, steps = _pair(moving[i], new)
+                    total[i] += np.where(here, steps, 0)
+                    p_out[i], p_into[i], gone[i], p[i] = self.mask[node], np.where(here[:, None], joined, new), 0, self.up[node]
+                    if swap_q:
+                        q[i] = -1
+                else:
+                    q_out[i], q_into[i], q[i] = self.mask[node], new, self.up[node]
+        return total
+
+
+def move_changes(dag: Dag, moves: DataFrame) -> DataFrame:
+    """moves (dag_id, src, dst, distance) with change, as scored_moves gives it, without the moved trees.
+
+    A row is a move: the sets of the nodes above src and dst are made again from how many of their children hold each base. What every
+    executor holds is the Fitch sets of the trees: a byte for each node and variable site, 16 for each inner one. The trees have no
+    node of one child but the UA. Where a leaf has an ambiguous base other than N, whose mutations do not count, the moved trees are made.
+    """
+    spark = moves.sparkSession
+    sites = persisted(sankoff.variable_sites(dag), "sites")
+    sets = persisted(sankoff.fitch_sets(dag, sites), "sets")
+    if sets.join(graph.leaves(dag).select(*KEY), KEY, "left_semi").where(B.is_ambiguous(F.col("mask")) & (F.col("mask") != 15)).take(1):
+        return scored_moves(dag, moves)[0].select("dag_id", "src", "dst", "distance", "change")
+    column = lambda table, name: table.column(name).to_numpy()
+    trees, old = {}, {r.dag_id: int(r.score) for r in scores(dag).collect()}
+    reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
+    for name in old:
+        of = lambda df: df.where(F.col("dag_id") == name)  # noqa: B023, E731
+        ids = np.sort(column(of(dag.nodes).select("node_id").toArrow(), "node_id"))
+        edge = of(dag.edges).select("parent_id", "child_id").toArrow()
+        own = of(sites).select("pos", reference.alias("mask")).orderBy("pos").toArrow()
+        cell = of(sets).select("node_id", "pos", "mask").toArrow()
+        mask = np.zeros((len(ids), len(own)), np.uint8)
+        mask[np.searchsorted(ids, column(cell, "node_id")), np.searchsorted(column(own, "pos"), column(cell, "pos"))] = column(cell, "mask")
+        trees[name] = FitchTree(ids, np.searchsorted(ids, column(edge, "parent_id")), np.searchsorted(ids, column(edge, "child_id")), mask, column(own, "mask").astype(np.uint8), old[name])
+    known = spark.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                name, change = np.array(part.column("dag_id").to_pylist()), np.zeros(len(part), np.int64)
+                src, dst = (part.column(c).to_numpy() for c in ("src", "dst"))
+                for one in np.unique(name):
+                    tree, i = known.value[str(one)], np.flatnonzero(name == one)
+                    change[i] = tree.changes(np.searchsorted(tree.ids, src[i]), np.searchsorted(tree.ids, dst[i]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("dag_id", "src", "dst", "distance")], pa.array(change)], names=["dag_id", "src", "dst", "distance", "change"])
+
+    return moves.select("dag_id", "src", "dst", "distance").mapInArrow(run, "dag_id string, src bigint, dst bigint, distance int, change bigint")
+
+
 def optimise(dag: Dag, rounds: int = 3, radius: int = 4, seed: int = 0, policy: Policy | None = None, moves_for_each: int | None = 4, patience: int = 2, trim_at_end: bool = False, on_round: Callable[[dict], None] | None = None) -> tuple[merge.Merged, list[dict]]:
     """Sample a best tree, propose and score moves, merge those accepted, again and again. Returns the DAG and a row of statistics for each round.
 

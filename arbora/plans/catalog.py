@@ -112,10 +112,13 @@ def optimal_tree_count(spark, d):
     return c.root(W.optimal_tree_counts(c.dag, c.parsimony)).select(F.col("weight").cast("string").alias("trees"))
 
 
-def parsimony_histogram(spark, d):
-    c = Case(spark, d, FEW)
-    top = graph.roots(c.dag).select(*graph.KEY)
-    return W.histogram(c.dag, c.parsimony, c.heights).join(top, graph.KEY).select(F.col("weight").alias("parsimony"), F.col("n").cast("string").alias("trees"))
+def _parsimony_histogram(where: str | None):
+    def run(spark, d):
+        c = Case(spark, d, where)
+        top = graph.roots(c.dag).select(*graph.KEY)
+        return W.histogram(c.dag, c.parsimony, c.heights).join(top, graph.KEY).select(F.col("weight").alias("parsimony"), F.col("n").cast("string").alias("trees"))
+
+    return run
 
 
 def trimmed_edges(spark, d):
@@ -137,11 +140,14 @@ def _sum_rf(most: bool):
     return run
 
 
-def dag_info(spark, d):
-    c = Case(spark, d, FEW)
-    top = graph.roots(c.dag).select(*graph.KEY)
-    h = W.histogram(c.dag, c.parsimony, c.heights).join(top, graph.KEY)
-    return h.agg(F.sum("n").cast("string").alias("trees"), F.min("weight").alias("least"), F.min_by("n", "weight").cast("string").alias("n_least"), F.max("weight").alias("most"), F.max_by("n", "weight").cast("string").alias("n_most"))
+def _dag_info(where: str | None):
+    def run(spark, d):
+        c = Case(spark, d, where)
+        top = graph.roots(c.dag).select(*graph.KEY)
+        h = W.histogram(c.dag, c.parsimony, c.heights).join(top, graph.KEY)
+        return h.agg(F.sum("n").cast("string").alias("trees"), F.min("weight").alias("least"), F.min_by("n", "weight").cast("string").alias("n_least"), F.max("weight").alias("most"), F.max_by("n", "weight").cast("string").alias("n_most"))
+
+    return run
 
 
 def leaf_set_sizes(spark, d):
@@ -254,9 +260,12 @@ def nodes_by_depth(spark, d):
     return graph.preorder(t).groupBy(F.col("depth").cast("bigint").alias("depth")).agg(F.count("*").alias("nodes"), F.countDistinct("path").alias("paths"))
 
 
-def leaves_below(spark, d):
-    t = adapter.trees(adapter.customers(spark, d, FEW), {"C": ("n",)})
-    return graph.leaves_below(t).select(F.size("leaves").cast("bigint").alias("n"), F.array_join("leaves", ",").alias("leaves"))
+def _leaves_below(where: str | None):
+    def run(spark, d):
+        t = adapter.trees(adapter.customers(spark, d, where), {"C": ("n",)})
+        return graph.leaves_below(t).select(F.size("leaves").cast("bigint").alias("n"), F.array_join("leaves", ",").alias("leaves"))
+
+    return run
 
 
 def _sampled(make):
@@ -273,14 +282,17 @@ def best_sample_score(spark, d):
     return search.scores(sampling.best_sample_tree(c.dag, c.parsimony, 5)).select(F.col("score").alias("parsimony"))
 
 
-def vcf_unpivot(spark, d):
-    part = load(spark, d, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("k"))
-    call = F.array(*[F.when((F.col("k") * i) % 4 == 3, ".").otherwise(((F.col("k") * i) % 4 % 3).cast("string")) for i in range(1, 6)])
-    letter = lambda x: F.substring(F.lit("ACGT"), ((F.col("k") + x) % 4).cast("int") + 1, F.lit(1))
-    line = F.concat_ws("\t", F.lit("chr"), F.col("k").cast("string"), F.lit("."), letter(0), F.concat(letter(1), F.lit(","), letter(2)), F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), call)
-    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"S{i}" for i in range(1, 6))
-    lines = part.select(line.alias("value")).unionByName(spark.range(1).select(F.lit(head).alias("value"))).unionByName(spark.range(1).select(F.lit("##source=parts").alias("value")))
-    return sequences.vcf_lines(lines).select("sample_id", F.col("pos").cast("bigint").alias("pos"), "base")
+def _vcf_unpivot(where: str):
+    def run(spark, d):
+        part = load(spark, d, "part").where(where).select(F.col("p_partkey").alias("k"))
+        call = F.array(*[F.when((F.col("k") * i) % 4 == 3, ".").otherwise(((F.col("k") * i) % 4 % 3).cast("string")) for i in range(1, 6)])
+        letter = lambda x: F.substring(F.lit("ACGT"), ((F.col("k") + x) % 4).cast("int") + 1, F.lit(1))
+        line = F.concat_ws("\t", F.lit("chr"), F.col("k").cast("string"), F.lit("."), letter(0), F.concat(letter(1), F.lit(","), letter(2)), F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), call)
+        head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"S{i}" for i in range(1, 6))
+        lines = part.select(line.alias("value")).unionByName(spark.range(1).select(F.lit(head).alias("value"))).unionByName(spark.range(1).select(F.lit("##source=parts").alias("value")))
+        return sequences.vcf_lines(lines).select("sample_id", F.col("pos").cast("bigint").alias("pos"), "base")
+
+    return run
 
 
 def fasta_records(spark, d):
@@ -342,8 +354,8 @@ def condensed_leaves(spark, d):
 
 
 def spr_moves(spark, d):
-    t = adapter.trees(adapter.customers(spark, d, "c_custkey <= 14"), {"A": ("s",)})
-    scored, _ = search.scored_moves(t, persisted(search.proposals(t, 3), "moves"))
+    t = adapter.trees(adapter.customers(spark, d), {"A": ("s",)})
+    scored = search.move_changes(t, search.proposals(t, 3))
     return scored.groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count("*").alias("moves"), F.min("change").alias("best"), F.max("change").alias("worst"))
 
 
@@ -439,8 +451,8 @@ QUERIES = {
     "parsimony_max": (parsimony_max, _sql("SELECT CAST(max(hi) AS BIGINT) AS parsimony FROM side", COSTS)),
     "parsimony_ua_free": (parsimony_ua_free, _sql("SELECT CAST(min(lo - up) AS BIGINT) AS parsimony FROM side", COSTS)),
     "optimal_tree_count": (optimal_tree_count, _sql("SELECT CAST(CAST(sum(ties) AS BIGINT) AS VARCHAR) AS trees FROM side WHERE lo = (SELECT min(lo) FROM side)", COSTS)),
-    "parsimony_histogram": (parsimony_histogram, _sql("SELECT parsimony, CAST(trees AS VARCHAR) AS trees FROM hist", COSTS, HISTOGRAM, where=FEW_SQL)),
-    "dag_info": (dag_info, _sql("SELECT CAST(CAST(sum(trees) AS BIGINT) AS VARCHAR) AS trees, min(parsimony) AS least, CAST(arg_min(trees, parsimony) AS VARCHAR) AS n_least, max(parsimony) AS most, CAST(arg_max(trees, parsimony) AS VARCHAR) AS n_most FROM hist", COSTS, HISTOGRAM, where=FEW_SQL)),
+    "parsimony_histogram": (_parsimony_histogram(FEW), _sql("SELECT parsimony, CAST(trees AS VARCHAR) AS trees FROM hist", COSTS, HISTOGRAM, where=FEW_SQL)),
+    "dag_info": (_dag_info(FEW), _sql("SELECT CAST(CAST(sum(trees) AS BIGINT) AS VARCHAR) AS trees, min(parsimony) AS least, CAST(arg_min(trees, parsimony) AS VARCHAR) AS n_least, max(parsimony) AS most, CAST(arg_max(trees, parsimony) AS VARCHAR) AS n_most FROM hist", COSTS, HISTOGRAM, where=FEW_SQL)),
     "trimmed_edges": (trimmed_edges, _sql("""SELECT CAST(count(*) AS BIGINT) AS edges, CAST(count(DISTINCT c) + 1 AS BIGINT) AS nodes FROM (
         SELECT 'UA' AS p, 'root' || side AS c FROM good UNION ALL SELECT 'root' || side, CASE WHEN k = 1 THEN 'leaf' || (SELECT min(ck) FROM cu WHERE n = q OR s = q) WHEN m = 1 THEN (SELECT min(c) FROM mem WHERE mem.q = o.q AND mem.side = o.side) ELSE q || 'flat' END FROM o WHERE flat
         UNION ALL SELECT 'root' || side, q || 'deep' FROM o WHERE deep
@@ -472,13 +484,13 @@ QUERIES = {
     "ancestor_closure": (ancestor_closure, _sql("SELECT CAST(distance AS BIGINT) AS distance, CAST(sum(n) AS BIGINT) AS pairs FROM (SELECT n, unnest(range(d + 1)) AS distance FROM dep) WHERE n > 0 GROUP BY distance", DEPTHS)),
     "nodes_by_depth": (nodes_by_depth, _sql("SELECT CAST(d AS BIGINT) AS depth, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(n) AS BIGINT) AS paths FROM dep WHERE n > 0 GROUP BY d", DEPTHS)),
     "lca_pairs": (lca_pairs, _sql("SELECT a.ck, CAST(a.d + b.d - 2 * CASE WHEN a.c = b.c THEN a.d - 1 WHEN a.n = b.n THEN 2 ELSE 1 END AS BIGINT) AS distance FROM lv a JOIN lv b ON b.ck = a.ck + 1", "lv AS (SELECT ck, cu.c, cu.n, 2 + CAST(m > 1 AS INTEGER) + CAST(kc > 1 AS INTEGER) AS d FROM cu JOIN cell USING (c) JOIN nat ON q = cu.n),")),
-    "leaves_below": (leaves_below, _sql("SELECT CAST(count(*) AS BIGINT) AS n, string_agg(CAST(ck AS VARCHAR), ',' ORDER BY CAST(ck AS VARCHAR)) AS leaves FROM (SELECT ck, CAST(ck AS VARCHAR) AS node FROM cu UNION ALL SELECT ck, n FROM cu JOIN nat ON q = n WHERE k > 1 UNION ALL SELECT ck, 'root' FROM cu UNION ALL SELECT ck, 'UA' FROM cu) GROUP BY node", where=FEW_SQL)),
+    "leaves_below": (_leaves_below(FEW), _sql("SELECT CAST(count(*) AS BIGINT) AS n, string_agg(CAST(ck AS VARCHAR), ',' ORDER BY CAST(ck AS VARCHAR)) AS leaves FROM (SELECT ck, CAST(ck AS VARCHAR) AS node FROM cu UNION ALL SELECT ck, n FROM cu JOIN nat ON q = n WHERE k > 1 UNION ALL SELECT ck, 'root' FROM cu UNION ALL SELECT ck, 'UA' FROM cu) GROUP BY node", where=FEW_SQL)),
     "sampled_tree": (_sampled(lambda c: sampling.sample_tree(c.dag, 1)), SAMPLED),
     "sampled_tree_uniform": (_sampled(lambda c: sampling.uniform_sample_tree(c.dag, 2)), SAMPLED),
     "sampled_tree_best": (_sampled(lambda c: sampling.best_sample_tree(c.dag, c.parsimony, 3)), SAMPLED),
     "sampled_tree_best_uniform": (_sampled(lambda c: sampling.best_uniform_sample_tree(c.dag, c.parsimony, 4)), SAMPLED),
     "best_sample_score": (best_sample_score, _sql("SELECT CAST(min(lo) AS BIGINT) AS parsimony FROM side", COSTS)),
-    "vcf_unpivot": (vcf_unpivot, "SELECT 'S' || i AS sample_id, p_partkey AS pos, CASE WHEN p_partkey * i % 4 = 3 THEN 'N' ELSE substr('ACGT', CAST((p_partkey + p_partkey * i % 4 % 3) % 4 + 1 AS INTEGER), 1) END AS base FROM part, (SELECT unnest(range(1, 6)) AS i) WHERE p_partkey <= 60 AND p_partkey * i % 4 <> 0"),
+    "vcf_unpivot": (_vcf_unpivot("p_partkey <= 60"), "SELECT 'S' || i AS sample_id, p_partkey AS pos, CASE WHEN p_partkey * i % 4 = 3 THEN 'N' ELSE substr('ACGT', CAST((p_partkey + p_partkey * i % 4 % 3) % 4 + 1 AS INTEGER), 1) END AS base FROM part, (SELECT unnest(range(1, 6)) AS i) WHERE p_partkey <= 60 AND p_partkey * i % 4 <> 0"),
     "fasta_records": (fasta_records, "SELECT 'supplier' || s_suppkey AS sample_id, translate(md5(CAST(s_suppkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM supplier"),
     "newick_nodes": (newick_nodes, _sql("SELECT n AS dag_id, 1 + count(DISTINCT s) + count(*) AS nodes, count(*) AS leaves, round(0.5 * count(*) + 0.1 * count(DISTINCT s), 6)::DOUBLE AS length FROM cu GROUP BY n")),
     "base_operations": (base_operations, "SELECT a, b, a & b <> 0 AS compatible, bit_count(a) <> 1 AS ambiguous, a & -a AS first, CASE WHEN a & b <> 0 THEN a & b END AS common, ((a & 1) << 3) | ((a & 2) << 1) | ((a & 4) >> 1) | ((a & 8) >> 3) AS complement, CASE a WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE 'N' END AS shown, a AS again FROM (SELECT unnest(range(1, 16)) AS a), (SELECT unnest(range(1, 16)) AS b)"),
@@ -489,6 +501,11 @@ QUERIES = {
     "condensed_leaves": (condensed_leaves, "SELECT min(p_partkey) AS stands_for, count(*) AS members FROM part GROUP BY translate(substr(md5(p_brand), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"),
     "first_of_each": (first_of_each, "SELECT event_type, count(*) AS users FROM (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id) GROUP BY event_type"),
     "spr_moves": (spr_moves, None),
+    # The whole tables, of which the SQL of the same name takes a part.
+    "parsimony_histogram_all": (_parsimony_histogram(None), None),
+    "dag_info_all": (_dag_info(None), None),
+    "leaves_below_all": (_leaves_below(None), None),
+    "vcf_unpivot_all": (_vcf_unpivot("true"), None),
 }
 
 
