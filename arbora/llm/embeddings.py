@@ -1,11 +1,12 @@
 """Near-duplicate vectors by product quantisation with inverted lists.
 
 Vectors are compared by cosine, so by their unit vectors x. Coarse centroids deal all vectors into inverted lists; the residual
-to the list's centroid is coded by its nearest codeword in each of PARTS subspaces. A vector probes the PROBES lists
-nearest to it: a table of its residual's distances to all codewords gives its distance to every coded member. A
-pair at cosine c is sqrt(2 - 2c) apart, so a member further away than that and its own coding error, which is kept
-with it, cannot be a link; the others are computed again from the vectors, in double precision. A pair counts if
-either vector probes the other's list, and counts once.
+to the list's centroid is coded by its nearest codeword in each of PARTS subspaces. A pair at cosine c is
+sqrt(2 - 2c) apart, and a list's members lie on its side of the plane midway between its centroid and any other, so
+a vector probes every list but those whose plane to its own list is further away than that: no link is missed, and each
+is met from both sides. A table of the vector's residual's distances to all codewords gives its distance to every
+coded member. A member further away than a link can be and its own coding error, which is kept with it, cannot be a
+link; the others are computed again from the vectors, in double precision.
 
 Equal vectors of a label are one class and enter once. Members and queries of a list meet in blocks, so that no task
 holds a list whole, and a block gives back counts and a spanning forest of its links, never the pairs. Centroids and codewords are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from arbora.llm.components import components
 from arbora.session import persisted
 
-COSINE, PROBES, PARTS, CODES = 0.93, 16, 8, 256
+COSINE, PARTS, CODES = 0.93, 8, 256
 SAMPLE, MOST_LISTS, LIST_SIZE = 20_000, 1_024, 400
 #: Queries and members that meet in one block at most, on average.
 BLOCK = 1_024
@@ -76,13 +77,12 @@ class Index:
         near = np.hstack([w[codes[:, j]] for j, w in enumerate(self.words)])
         return at, codes, np.sqrt(((rest - near) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest lists of each, its own first."""
-        n = min(n, len(self.lists))
+    def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row of x, list) of every list that can hold a vector at most `reach` away from x, whose own list is `at`; rows in order."""
         d = squared(x, self.lists)
-        d[np.arange(len(x)), at] = -1
-        some = np.argpartition(d, n - 1, 1)[:, :n]
-        return np.take_along_axis(some, np.take_along_axis(d, some, 1).argsort(1), 1)
+        apart = np.sqrt(squared(self.lists, self.lists))
+        own = np.take_along_axis(d, at[:, None], 1)
+        return np.nonzero(d - own <= 2 * (reach + 1e-6) * apart[at] + 1e-9)
 
     def distances(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Of each x to each coded member of list `at`, by table look-up."""
@@ -102,7 +102,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _coded(known, probes: int):
+def _coded(known, cosine: float):
+    reach = np.sqrt(2 - 2 * cosine)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = known.value
         for batch in batches:
@@ -110,10 +112,10 @@ def _coded(known, probes: int):
                 continue
             x = _unit(_matrix(batch.column("embedding")))
             at, codes, error = index.coded(x)
-            tried = index.probes(x, at, probes)
-            offsets = pa.array((np.arange(len(x) + 1) * tried.shape[1]).astype(np.int32))
+            row, tried = index.probes(x, at, reach)
+            offsets = pa.array(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("vec_id", "label", "embedding", "copies")] + [pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.ListArray.from_arrays(offsets, pa.array(tried.ravel().astype(np.int32)))],
+                [batch.column(c) for c in ("vec_id", "label", "embedding", "copies")] + [pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.ListArray.from_arrays(offsets, pa.array(tried.astype(np.int32)))],
                 names=["vec_id", "label", "embedding", "copies", "list", "codes", "error", "tried"],
             )
 
@@ -150,12 +152,7 @@ def _met(known, cosine: float):
             dot = np.concatenate([(q[i[k : k + 65536]] * m[j[k : k + 65536]]).sum(1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
             ok = dot / (np.sqrt((q * q).sum(1))[i] * np.sqrt((m * m).sum(1))[j]) >= cosine
             i, j = i[ok], j[ok]
-            # The pair is met again, the other way round, if the member probes the query's list; else it counts for both here.
-            tried, own = np.stack(members["tried"].combine_chunks().flatten().to_numpy().reshape(len(members), -1)), queries["list"].to_numpy()
-            again = (tried[j] == own[i][:, None]).any(1)
-            copies_m, copies_q = members["copies"].to_numpy(), queries["copies"].to_numpy()
-            who = np.concatenate([q_id[i], m_id[j[~again]]])
-            n = np.concatenate([copies_m[j], copies_q[i[~again]]])
+            who, n = q_id[i], members["copies"].to_numpy()[j]  # the pair is met again, the other way round
             ids, which = np.unique(who, return_inverse=True)
             total = np.bincount(which, weights=n, minlength=len(ids)).astype(np.int64)
             tree, low = forest(q_id[i], m_id[j])
@@ -165,7 +162,7 @@ def _met(known, cosine: float):
     return run
 
 
-def links(spark: SparkSession, classes: DataFrame, cosine: float, probes: int) -> DataFrame:
+def links(spark: SparkSession, classes: DataFrame, cosine: float) -> DataFrame:
     """classes: vec_id, label, embedding (all of one length), copies. Returns vec_id, links, low in parts."""
     count = classes.count()
     share = min(1.0, SAMPLE / max(1, count))
@@ -174,20 +171,20 @@ def links(spark: SparkSession, classes: DataFrame, cosine: float, probes: int) -
         drawn = classes.limit(1).select("embedding").toArrow()["embedding"]
     index = Index.fit(_unit(_matrix(drawn)), int(np.clip(count // LIST_SIZE, 1, MOST_LISTS)))
     known = spark.sparkContext.broadcast(index)
-    coded = persisted(classes.mapInArrow(_coded(known, probes), "vec_id bigint, label int, embedding array<float>, copies bigint, list int, codes binary, error double, tried array<int>"), "coded")
+    coded = persisted(classes.mapInArrow(_coded(known, cosine), "vec_id bigint, label int, embedding array<float>, copies bigint, list int, codes binary, error double, tried array<int>"), "coded")
     asked = coded.select(*[F.col(c).alias(c) for c in ("vec_id", "label", "embedding", "copies", "list")], F.explode("tried").alias("at"))
     held = coded.groupBy("label", F.col("list").alias("at")).agg(F.count("*").alias("n"))
     asks = asked.groupBy("label", "at").agg(F.count("*").alias("k"))
     blocks = persisted(held.join(asks, ["label", "at"]).select("label", "at", F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("k") / BLOCK).cast("int").alias("columns")), "blocks")
     spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = coded.withColumn("at", F.col("list")).join(blocks, ["label", "at"]).withColumn("row", spread("rows")).withColumn("column", each("columns")).drop("rows", "columns")
+    members = coded.withColumn("at", F.col("list")).join(blocks, ["label", "at"]).withColumn("row", spread("rows")).withColumn("column", each("columns")).drop("rows", "columns", "tried")
     queries = asked.join(blocks, ["label", "at"]).withColumn("column", spread("columns")).withColumn("row", each("rows")).drop("rows", "columns")
     keys = ["label", "at", "row", "column"]
     return members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_met(known, cosine), "vec_id bigint, links bigint, low bigint")
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
+def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
@@ -199,7 +196,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     heads = persisted(heads, "heads")
     found = None
     for (size,) in heads.select(F.size("embedding").alias("size")).distinct().collect():
-        part = persisted(links(spark, heads.where(F.size("embedding") == size), cosine, probes), "met")
+        part = persisted(links(spark, heads.where(F.size("embedding") == size), cosine), "met")
         found = part if found is None else found.unionAll(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

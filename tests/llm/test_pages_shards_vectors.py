@@ -77,3 +77,28 @@ def test_vectors_agree_with_brute_force(spark):
         assert (got[i].n_links, got[i].component_id) == (near[k].sum(), ids[low[k]]) and got[i].kept == (ids[low[k]] == i)
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904, 905, 906, None))
     assert embeddings.near_vectors(spark, spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).collect() == []
+
+
+@pytest.mark.parametrize("width, spread", [(4, 0.2), (12, 0.35), (32, 1.0)])
+def test_every_list_that_can_hold_a_partner_is_probed(width, spread):
+    """200 lists: without any bound on their number, the lists of all pairs near each other are probed from either side."""
+    draw = np.random.default_rng(width)
+    x = embeddings._unit(draw.normal(size=(40, width))[draw.integers(40, size=3000)] + spread * draw.normal(size=(3000, width)))
+    x[1500:] = embeddings._unit(x[:1500] + 0.25 * draw.normal(size=(1500, width)) / np.sqrt(width))
+    index = embeddings.Index.fit(x, 200)
+    at = index.coded(x)[0]
+    row, lists = index.probes(x, at, np.sqrt(2 - 2 * embeddings.COSINE))
+    tried = np.zeros((len(x), 200), bool)
+    tried[row, lists] = True
+    i, j = np.nonzero(x @ x.T >= embeddings.COSINE)
+    assert tried[i, at[j]].all() and (at[i] != at[j]).any() and tried[np.arange(len(x)), at].all()
+
+
+def test_vectors_of_many_lists_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LIST_SIZE", 2)
+    draw = np.random.default_rng(9)
+    x = (np.eye(16)[0] + 0.27 * draw.normal(size=(900, 16)) / 4).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark, spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    v = embeddings._unit(x.astype(float))
+    assert [got[i] for i in range(900)] == ((v @ v.T >= 0.93).sum(1) - 1).tolist()
