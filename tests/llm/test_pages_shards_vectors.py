@@ -34,9 +34,10 @@ def test_pages(spark):
     assert boilerplate.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
-@pytest.mark.parametrize("hot", [0, 400])
-def test_shards_are_even_and_slots_have_no_gaps(spark, hot):
-    texts = [words(i % 500, 5 + i % 80) for i in range(800)] + ["the same text again"] * hot + [None, "", ""]
+@pytest.mark.parametrize("hot, text", [(0, ""), (400, "the same text again"), (60, words(1, 300)), (300, words(1, 300)), (400, "")])
+def test_shards_are_even_and_slots_have_no_gaps(spark, hot, text):
+    """A group lies in one shard, or in as few as its size needs."""
+    texts = [words(i % 500, 5 + i % 80) for i in range(800)] + [text] * hot + [None, "", ""]
     rows = [(i, t) for i, t in enumerate(texts)]
     got = sharding.shard(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), ranges=64).collect()
     size, slots, where = [0] * 8, [[] for _ in range(8)], {}
@@ -48,7 +49,14 @@ def test_shards_are_even_and_slots_have_no_gaps(spark, hot):
         where.setdefault(t, set()).add(r.shard)
     assert len(got) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots)
     assert max(size) - min(size) < 0.1 * sum(size) / 8
-    assert all(len(s) == 1 for t, s in where.items() if t != "the same text again")
+    assert all(len(s) == 1 for t, s in where.items() if t != text) and len(where[text]) <= max(1, -(-8 * hot * len(text) // sum(size)))
+
+
+@pytest.mark.parametrize("sizes, total", [([], 80), ([20, 5], 80), ([10] * 8, 80), ([9] * 8, 80), ([30, 30, 20], 80), ([7, 7, 7], 25)])
+def test_large_groups_are_dealt_whole_where_they_fit(sizes, total):
+    pieces, room = sharding.dealt(sizes, 8, total)
+    assert [sum(n for _, n in own) for own in pieces] == sizes and sum(room) == total - sum(sizes)
+    assert all(len(own) <= -(-size * 8 // total) + 1 for size, own in zip(sizes, pieces, strict=True))
 
 
 def test_shards_of_odd_rows(spark, odd, none):
