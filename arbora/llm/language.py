@@ -5,7 +5,8 @@ For each language a tree of byte contexts of up to ORDER bytes holds how often e
 has not (escape method C: n bytes, u of them different), and 8 bits below order 0. The statistics are frozen after learning,
 so that the code length of a text is a sum over its bytes; the language with the shortest code wins.
 
-A model is fitted on a bounded sample: texts drawn by their hash, SAMPLE_BYTES for each language on average. Its tables
+A model is fitted on a bounded sample: pieces of PIECE characters of the texts drawn by a hash, SAMPLE_BYTES for each language on
+average, and the piece of smallest hash in any case, so that each language is learnt. Its tables
 are bounded by the sample, so they are broadcast. Distinct values of lang are taken to be few.
 
 Defined cases: null texts and texts without a letter are `und`, score 0, and so is all when there is nothing to
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from arbora.llm import textops as T
 
 ORDER = 3
-SAMPLE_BYTES = 4 << 20
+SAMPLE_BYTES, PIECE = 4 << 20, 4_096
 _PAD = 0x0A
 
 
@@ -95,13 +96,15 @@ class Model:
         return total
 
 
-def learn(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def learn(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES, piece: int = PIECE) -> Model | None:
     """rows: text, lang."""
-    rows = rows.where("lang is not null and length(text) > 0")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.col("bytes")).alias("share"))
-    drawn = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    counts = drawn.select("lang", "text").mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    turns = F.expr(f"transform(sequence(0, cast((length(text) - 1) div {int(piece)} as int)), k -> pmod(xxhash64(text, k), 1000003))")
+    rows = rows.where("lang is not null and length(text) > 0").select("lang", "text", turns.alias("turns"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(F.array_min("turns")).alias("first"))
+    bound = sizes.select("lang", F.greatest(F.col("first"), F.floor(F.lit(1_000_003.0 * sample_bytes) / F.col("bytes")) - 1).alias("bound"))
+    kept = F.expr(f"filter(transform(turns, (t, k) -> if(t <= bound, substring(text, k * {int(piece)} + 1, {int(piece)}), null)), p -> p is not null)")
+    drawn = rows.join(F.broadcast(bound), "lang").where("array_min(turns) <= bound").select("lang", F.explode(kept).alias("text"))
+    counts = drawn.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model(counts["lang"].to_numpy(object), counts["gram"].to_numpy(), counts["n"].to_numpy()) if len(counts) else None
 
 

@@ -85,6 +85,13 @@ def test_code_lengths_are_the_definition(spark, odd, none):
     assert {r.lang_pred for r in language.identify(spark, odd, language.learn(rows.limit(0))).collect()} == {"und"}
 
 
+def test_every_language_is_learnt_from_a_small_sample(spark):
+    """A language of one long text, and one of a single word, among others of many texts."""
+    rows = [("xx", " ".join(f"ab{k % 7}" for k in range(4000))), ("yy", "zu")] + [("zz", f"qrs tuv {k}") for k in range(500)]
+    model = language.learn(spark.createDataFrame(rows, "lang string, text string"), sample_bytes=1_000, piece=200)
+    assert model.langs == ["xx", "yy", "zz"]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = language.query(spark, SF).join(docs, "doc_id").where("held_out")
