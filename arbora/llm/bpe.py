@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import textops as T
+from arbora.session import persisted
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pre-tokens that a worker remembers at most; then it starts anew.
@@ -192,7 +193,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str,
     for field in spark.createDataFrame([], OUT).schema:
         kind = kind.add(field)
     short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(_whole(ranks, pattern, with_ids), kind)
-    long = rows.where(F.length("text") > chunk).withColumn("key", F.monotonically_increasing_id())
+    long = persisted(rows.where(F.length("text") > chunk).withColumn("key", F.monotonically_increasing_id()), "long")  # so that a key stays with its text
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         codec = _codec(ranks.value, pattern)
