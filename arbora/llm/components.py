@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.session import persisted
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links a - b between ids: each id, and the smallest id it is connected with."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, low = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = np.minimum(new, new[new])
+        if (new == low).all():
+            return ids, ids[low]
+        low = new
+
+
 def components(pairs: DataFrame, name: str) -> DataFrame:
     """pairs: a, b (bigint). Returns node, component (its smallest node) for every node but the smallest of each component.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.components import components
+from arbora.llm.components import components, forest
 from arbora.session import persisted
 
 COSINE, PARTS, CODES = 0.93, 8, 256
@@ -122,20 +122,6 @@ def _coded(known, cosine: float):
     return run
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For links a - b between ids: each id, and the smallest id it is connected with."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b, low = at[: len(a)], at[len(a) :], np.arange(len(ids))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = np.minimum(new, new[new])
-        if (new == low).all():
-            return ids, ids[low]
-        low = new
-
-
 def _met(known, cosine: float):
     reach = np.sqrt(2 - 2 * cosine)
 

@@ -6,12 +6,15 @@ as its next arrival comes later than the latest of all registers. Two texts agre
 probability Jaccard similarity of their weights. Bands of registers find candidates; the similarity of each
 candidate is then computed exactly from the weights, and pairs of `threshold` or more are links.
 
-Texts with the same shingles in the same order are one class and enter the search once. Where more than
-ALL_PAIRS classes meet in a band, those beyond are compared with LEADERS of them only, others in each band, and
-find the rest of their group through links.
+Texts with the same shingles in the same order are one class and enter the search once. Where few classes meet in a band they are
+joined with each other; the pairs are gathered over all bands and verified once each. Where more than ALL_PAIRS meet they
+are dealt into blocks, and every two blocks of a band key meet in a task of its own, which verifies all their pairs by products of
+matrices and gives back how many links each class has and a spanning forest of these, never the pairs. A
+pair that shares several bands counts in the first of them. So all pairs that share a band are compared, however many meet.
 
 Defined cases: null texts and texts without words link to nothing; a text of one to four words is one shingle;
-rows with a null doc_id come back as they are, kept; repeated rows are copies of each other.
+rows with a null doc_id come back as they are, kept; repeated rows are copies of each other; different texts that share a doc_id
+are compared like any others, and both stay if they aren't linked.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import textops as T
-from arbora.llm.components import components
+from arbora.llm.components import components, forest
 from arbora.session import persisted
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 shares a band with a chance of 1 - (1 - 0.8**5)**24 > 0.9999.
 BANDS, ROWS = 24, 5
-ALL_PAIRS, LEADERS = 24, 4
+#: A band key of more classes than these is compared in blocks, of so many classes and shingles at most on average.
+ALL_PAIRS, BLOCK, BLOCK_SHINGLES = 24, 1_024, 4 << 20
+#: Columns of the matrices that are multiplied at once.
+COLUMNS = 8_192
 
 
 def weighted(texts: T.Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,6 +99,55 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def products(left: tuple, right: tuple, by: tuple[np.ndarray, np.ndarray], rows: tuple[int, int], *values) -> list[np.ndarray]:
+    """For each (x, y) of `values` the matrix of sums of x * y over the elements that a left and a right text have in common.
+
+    left, right: row of each element; by: its key on either side, once a row; x, y: a number for each element.
+    """
+    common = np.intersect1d(*by)
+    out = [np.zeros(rows) for _ in values]
+    found = [T.member(k, common) for k in by]
+    at = [np.where(ok, i, -1) for i, ok in found]
+    for c in range(0, len(common), COLUMNS):
+        own = [np.flatnonzero((i >= c) & (i < c + COLUMNS)) for i in at]
+        for k, v in enumerate(values):
+            both = []
+            for side, o, i, n, x in zip((left, right), own, at, rows, v, strict=True):
+                m = np.zeros((n, min(COLUMNS, len(common) - c)), np.float32)
+                m[side[o], i[o] - c] = x[o]
+                both.append(m)
+            out[k] += both[0] @ both[1].T
+    return out
+
+
+def linked(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs of a left and a right text, each (shingles, weights), whose similarity is `threshold` or more.
+
+    Where all weights are 1 the products give the similarity. Else they bound it: the weight of common shingles bounds it from above,
+    and what has the same weight in both from below (by the weighted Jaccard of the shares); between the two it is computed.
+    """
+    sides = []
+    for texts in (left, right):
+        row = np.repeat(np.arange(len(texts)), [len(h) for h, _ in texts])
+        h, w = (np.concatenate([t[k] for t in texts]) for k in (0, 1))
+        sides.append((row, h, w, np.bincount(row, weights=w, minlength=len(texts)), np.bincount(row, weights=w != 1, minlength=len(texts)) == 0))
+    (row, h, w, total, unit), (orow, oh, ow, ototal, ounit) = sides
+    size = len(left), len(right)
+    keys = [T.mix(x + T.mix(y.astype(np.uint64))) for x, y in ((h, w), (oh, ow))]
+    (same,) = products(row, orow, keys, size, (w, np.ones(len(ow))))
+    plain = unit[:, None] & ounit[None]
+    least = threshold - 1e-12
+    ok = np.where(plain, same / (total[:, None] + ototal[None] - same) >= least, False)
+    if not plain.all():
+        share = same / np.maximum(total[:, None], ototal[None])
+        ok |= ~plain & (share / (2 - share) >= threshold)
+        open_ = ~plain & ~ok
+        mine, theirs = products(row, orow, [h, oh], size, (w, np.ones(len(ow))), (np.ones(len(w)), ow))
+        for i, j in zip(*np.nonzero(open_ & (np.minimum(mine / total[:, None], theirs / ototal[None]) >= least)), strict=True):
+            ok[i, j] = probability_jaccard(*left[i], *right[j]) >= least
+    return np.nonzero(ok)
+
+
 def _signatures(bands: int, rows: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,102 +160,131 @@ def _signatures(bands: int, rows: int, n: int):
                 size = np.bincount(row, weights=weight, minlength=len(t)).astype(np.int64)
                 offsets = pa.array(np.arange(len(t) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(t.lo, len(t)), pa.array(size), _signed(sequence), pa.ListArray.from_arrays(offsets, _signed(key.ravel()))], names=["doc_id", "size", "sequence", "bands"]
+                    [*(batch.column(c).slice(t.lo, len(t)) for c in ("doc_id", "text_hash")), pa.array(size), _signed(sequence), pa.ListArray.from_arrays(offsets, _signed(key.ravel()))], names=["doc_id", "text_hash", "size", "node", "bands"]
                 )
 
     return run
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key: pairs of the first ALL_PAIRS of each key, and of each later one with the first LEADERS."""
-    old_key, old, total = None, np.zeros(0, np.int64), 0
-    for batch in batches:
-        key, doc = (batch.column(n).to_numpy() for n in ("key", "doc_id"))
-        if not len(key):
-            continue
-        goes_on = old_key is not None and key[0] == old_key
-        held = len(old) if goes_on else 0
-        keys, docs = np.concatenate([np.full(held, key[0]), key]), np.concatenate([old[:held], doc])
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        head = np.repeat(begin, np.diff(np.append(begin, len(keys))))
-        rank = np.arange(len(keys)) - head
-        if goes_on:
-            end = begin[1] if len(begin) > 1 else len(keys)
-            rank[held:end] += total - held
-        fresh = np.arange(len(keys)) >= held
-        left, right = [], []
-        for j in range(1, ALL_PAIRS):
-            i = np.flatnonzero(fresh & (rank >= j) & (rank < ALL_PAIRS))
-            left.append(docs[i - j])
-            right.append(docs[i])
-        late = np.flatnonzero(fresh & (rank >= ALL_PAIRS))
-        for j in range(LEADERS):
-            left.append(docs[head[late] + j])
-            right.append(docs[late])
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-        old_key, total = keys[-1], int(rank[-1]) + 1
-        old = docs[begin[-1] : begin[-1] + ALL_PAIRS]
-
-
 def _weights(n: int, wanted: T.Bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.has(batch.column("doc_id").to_numpy()), pa.bool_()))
+            batch = batch.filter(pa.array(wanted.has(batch.column("turn").to_numpy()), pa.bool_()))
             for t in T.slices(batch.column("text")):
-                row, h, weight, _ = weighted(t, n)
+                row, h, weight, sequence = weighted(t, n)
                 offsets = pa.array(np.searchsorted(row, np.arange(len(t) + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(t.lo, len(t)), pa.ListArray.from_arrays(offsets, _signed(h)), pa.ListArray.from_arrays(offsets, pa.array(weight.astype(np.int32)))], names=["doc_id", "h", "w"]
-                )
+                yield pa.RecordBatch.from_arrays([_signed(sequence), pa.ListArray.from_arrays(offsets, _signed(h)), pa.ListArray.from_arrays(offsets, pa.array(weight.astype(np.int32)))], names=["node", "h", "w"])
 
     return run
 
 
+def _cells(table, *columns: str) -> list[list[np.ndarray]]:
+    """The lists of each column as arrays; of shingles without a sign."""
+    out = []
+    for c in columns:
+        column = table.column(c)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        flat, at = column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+        flat = flat.view(np.uint64) if c[0] == "h" else flat
+        out.append([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+    return out
+
+
 def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = {c: (batch.column(c).flatten().to_numpy(), np.append(0, np.cumsum(batch.column(c).value_lengths().to_numpy()))) for c in ("ha", "wa", "hb", "wb")}
-            cell = lambda c, i: flat[c][0][flat[c][1][i] : flat[c][1][i + 1]]
-            sim = np.array([probability_jaccard(cell("ha", i).view(np.uint64), cell("wa", i), cell("hb", i).view(np.uint64), cell("wb", i)) for i in range(len(batch))])
-            keep = pa.array(sim >= threshold - 1e-12, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
+            if len(batch):
+                sim = np.array([probability_jaccard(*x) for x in zip(*_cells(batch, "ha", "wa", "hb", "wb"), strict=True)])
+                keep = pa.array(sim >= threshold - 1e-12, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
 
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, size (shingles), copy_of (smallest doc_id with the same shingles), class_id (smallest doc_id reachable by links), n_links (other texts linked directly), kept."""
-    texts = T.packed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = persisted(texts.mapInArrow(_signatures(bands, rows, n), "doc_id bigint, size bigint, sequence bigint, bands array<bigint>"), "signatures")
+def _blocks(threshold: float):
+    """Two blocks of a band key: node, links, low (a node that it is linked with by way of others)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64)] * 3
+        if len(left) and len(right):
+            a, b = left["node"].to_numpy(), right["node"].to_numpy()
+            band = left["band"][0].as_py()
+            i, j = linked(list(zip(*_cells(left, "h", "w"), strict=True)), list(zip(*_cells(right, "h", "w"), strict=True)), threshold)
+            if left["i"][0].as_py() == left["j"][0].as_py():
+                i, j = i[a[i] < b[j]], j[a[i] < b[j]]
+            keys, okeys = (np.stack(_cells(x, "bands")[0]) for x in (left, right))
+            large = (left["large"].to_numpy()[:, None] >> np.arange(keys.shape[1])) & 1 == 1
+            for lo in range(0, max(1, len(i)), 1 << 18):
+                ii, jj = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+                shared = keys[ii] == okeys[jj]
+                # Counted here unless in an earlier band, or among the pairs of a smaller meeting.
+                ok = ~(shared & ~large[ii]).any(1) & (shared.argmax(1) == band)
+                ids, which = np.unique(np.concatenate([a[ii[ok]], b[jj[ok]]]), return_inverse=True)
+                node, low = forest(a[ii[ok]], b[jj[ok]])
+                more = ids, np.bincount(which, minlength=len(ids)).astype(np.int64), ids
+                tree = node, np.zeros(len(node), np.int64), low
+                out = [np.concatenate(x) for x in zip(out, more, tree, strict=True)]
+        return pa.table(dict(zip(("node", "links", "low"), map(pa.array, out), strict=True)))
+
+    return run
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, all_pairs: int = ALL_PAIRS, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, size (shingles), copy_of (smallest doc_id with the same shingles), class_id (smallest doc_id reachable by links), n_links (other texts linked directly), kept, text_hash.
+
+    One document of each class is kept, of rows that share its doc_id those that have its text.
+    """
+    texts = T.packed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    signed = persisted(texts.mapInArrow(_signatures(bands, rows, n), "doc_id bigint, text_hash bigint, size bigint, node bigint, bands array<bigint>"), "signatures")
     found = signed.where("doc_id is not null and size > 0")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    heads = persisted(found.groupBy("sequence", "size").agg(F.min("doc_id").alias("head")), "heads")
-    single = found.join(heads.select(F.col("head").alias("doc_id"), "sequence", "size"), ["doc_id", "sequence", "size"], "left_semi").dropDuplicates(["doc_id"])
-    met = single.select("doc_id", F.posexplode("bands").alias("band", "key")).select("key", "doc_id", F.xxhash64("doc_id", "band").alias("turn"))
-    pairs = persisted(met.repartition("key").sortWithinPartitions("key", "turn", "doc_id").select("key", "doc_id").mapInArrow(_meetings, "a bigint, b bigint").distinct(), "candidates")
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    weights = persisted(texts.where("doc_id is not null").mapInArrow(_weights(n, T.Bloom(named)), "doc_id bigint, h array<bigint>, w array<int>"), "weights")
-    if repeated:
-        weights = weights.dropDuplicates(["doc_id"])
-    left, right = (weights.select(F.col("doc_id").alias(c), F.col("h").alias(f"h{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
+    # A class, known by a hash of its sequence of shingles, and the row that stands for it.
+    heads = persisted(found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "size", "bands")).alias("head")).select("node", "head.*"), "heads")
+    met = heads.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    meeting = met.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    met = persisted(met.join(meeting, "key"), "met")
+    few = met.where(F.col("n") <= all_pairs).select("key", "node")
+    pairs = persisted(few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct(), "candidates")
+    many = met.where(F.col("n") > all_pairs)
+
+    turn = F.xxhash64("doc_id", "text_hash")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node")).distinct()
+    wanted = T.Bloom(heads.join(named, "node", "left_semi").select(turn.alias("turn")))
+    weights = texts.where("doc_id is not null").select("text", turn.alias("turn")).mapInArrow(_weights(n, wanted), "node bigint, h array<bigint>, w array<int>")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        weights = weights.dropDuplicates(["node"])
+    weights = persisted(weights, "weights")
+    left, right = (weights.select(F.col("node").alias(c), F.col("h").alias(f"h{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
     links = persisted(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_similar(threshold), "a bigint, b bigint, similarity double"), "links")
-    group = components(links.select("a", "b"), "near").withColumnRenamed("node", "head")
-    degree = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n_links"))
-    classes = heads.join(group, "head", "left").join(degree, "head", "left").select("sequence", "size", "head", F.coalesce("component", "head").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+    large = many.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("large"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    facts = weights.join(large, "node").join(heads.select("node", "bands"), "node")
+    dealt = many.select("key", "band", "node", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    keys = ["key", "i", "j"]
+    lefts = dealt.withColumnRenamed("own", "i").withColumn("j", F.explode(F.expr("sequence(i, blocks - 1)"))).drop("blocks").join(facts, "node")
+    rights = dealt.withColumnRenamed("own", "j").withColumn("i", F.explode(F.expr("sequence(0, j)"))).drop("blocks").join(facts, "node")
+    rights = rights.toDF(*rights.columns)
+    told = persisted(lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(_blocks(threshold), "node bigint, links bigint, low bigint"), "blocks")
+
+    group = components(links.select("a", "b").union(told.where("low <> node").select("node", "low")), "near")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("bigint").alias("links")).union(told.select("node", "links")).groupBy("node").agg(F.sum("links").alias("n_links"))
+    classes = heads.select("node", "doc_id", "text_hash").join(group, "node", "left").join(degree, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.struct("doc_id", "node", "text_hash").alias("head"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    first = classes.groupBy("component").agg(F.min("head").alias("first"))
+    classes = classes.join(first, "component").select("node", F.col("head.doc_id").alias("head"), F.col("first.doc_id").alias("class_id"), F.col("first").alias("stays"), "n_links", F.lit(True).alias("joins"))
     by = signed.withColumn("joins", (F.col("size") > 0) & F.col("doc_id").isNotNull())
-    out = by.join(classes.withColumn("joins", F.lit(True)), ["joins", "sequence", "size"], "left")
-    return out.select("doc_id", "size", F.coalesce("head", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = by.join(classes, ["joins", "node"], "left")
+    kept = F.coalesce(F.col("stays") == F.struct("doc_id", "node", "text_hash"), F.lit(True))
+    return out.select("doc_id", "size", F.coalesce("head", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), kept.alias("kept"), "text_hash")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that are the first of their class; a row that repeats another's doc_id goes too."""
-    dup = near_duplicates(spark, docs, **options).where("not kept").select(F.col("doc_id").alias("__gone"))
+    """The documents, all columns, that are the first of their class; of repeated rows (same doc_id and text) one stays, whether or not the text has words."""
+    found = near_duplicates(spark, docs, **options)
+    gone = persisted(found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "gone")
     rows = T.packed(docs)
-    rest = rows.join(dup, rows["doc_id"].cast("bigint") == dup["__gone"], "left_anti")
-    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rest = rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    rest = rows.join(gone, (rows["doc_id"].cast("bigint") == gone["__gone"]) & (F.xxhash64(rows["text"]) == gone["__text"]), "left_anti")
+    if rows.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").limit(1).count():
+        rest = rest.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(rest.where("doc_id is null"))
     return T.unpacked(rest, docs.columns)
 
 
