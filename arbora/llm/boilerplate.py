@@ -1,21 +1,23 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks of text at the tags that break lines. First pass: a block inside navigation, headers, footers,
-sidebars, forms, notices, adverts or comments, by its tags, classes, ids or roles, is bad, and so is one that is mostly links;
-of the others, a block within the article proper is good if it is long, and a block elsewhere is good, near-good or bad by its
-length and the density of stop words. What is short is ambiguous. Second pass: ambiguous and
+A page is cut into blocks of text at the tags that break lines. First pass: a block that is mostly links is bad; of the
+others a long one is good, near-good or bad by its length and the density of stop words, and a short one is ambiguous. What the page says itself is further
+evidence: a block inside navigation, headers, footers, sidebars, forms, notices, adverts or comments, by its tags, classes, ids or roles, is
+bad, and one of few stop words within the article proper is ambiguous (a table, code or a quotation) instead of bad. Second pass: ambiguous and
 near-good blocks take the label of the nearest decided neighbours: good if both agree on it, and where they
 differ, good for near-good blocks and for all within the article proper. The good blocks are the text. Neighbours
-within the article proper are those of the article proper.
+within the article proper are those of the article proper, whose edges count as good.
 
 Stop words come in lists for some languages; a page uses the list of its lang attribute, and all lists together if it has
-none of them. Defined cases: null and empty pages, and pages without a good block, have empty texts; unclosed and
+none of them. A tag whose quotes never close ends at its first `>`; of open elements the outermost MOST_OPEN are kept track of, so
+a page takes time in proportion to its length. Defined cases: null and empty pages, and pages without a good block, have empty texts; unclosed and
 misnested tags close with their parents; repeated rows are extracted each; other columns are kept apart in a struct.
 """
 
 from __future__ import annotations
 
 import html
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,14 +48,16 @@ STOP_WORDS = {
     "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich wenn kann".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien".split(),
 }
-LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.30, 0.32, 0.4
-#: Within the article proper only what is mostly links is bad.
+LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.12, 0.20, 0.4
+#: Within the article proper only what is mostly links is bad by them.
 LINKS_INNER = 0.8
+MOST_OPEN = 512
 
-TAG = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", regex.DOTALL)
+NAME = regex.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
+STOPS = regex.compile(r"[>\"']")
 NAMES = regex.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.IGNORECASE)
-LANG = regex.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", regex.IGNORECASE)
-SPACES = regex.compile(r"\s+")
+LANG = regex.compile(r"(?:^|\s)lang\s*=\s*[\"']?([A-Za-z]+)", regex.IGNORECASE)
+SPACES, WORDS = regex.compile(r"\s+"), regex.compile(r"\p{L}+")
 GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
 
 
@@ -62,66 +66,105 @@ def _boilerplate(attributes: str) -> bool:
     return any(MARKED.search(a or b or c or "") for a, b, c in NAMES.findall(attributes))
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, characters of it in links, inside boilerplate, inside the article proper) of each block with text."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, in boilerplate, in the article, in a link
-    outer = inner = link = False
+def tags(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(text before the tag, its name, its attributes, whether it is an end tag); at the end the name is empty. Comments and what raw elements hold are left out."""
+    at, begin, quoted = 0, 0, True  # begin: of the text that no tag has followed yet
     text: list[str] = []
-    linked: list[str] = []
-    state = (False, False)
-
-    def closed() -> Iterator[tuple[str, int, bool, bool]]:
-        if text:
-            out = SPACES.sub(" ", html.unescape("".join(text))).strip()
-            if out:
-                yield out, len(SPACES.sub(" ", html.unescape("".join(linked))).strip()), *state
-            text.clear()
-            linked.clear()
-
-    at = 0
-    end = len(page)
-    while at < end:
-        tag = TAG.search(page, at)
-        here = page[at : tag.start()] if tag else page[at:]
-        if here:
-            state = (outer, inner)
-            text.append(here)
-            if link:
-                linked.append(here)
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or "").lower()
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at) or page[at + 1 : at + 2] in ("!", "?"):
+            close = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            end = page.find(close, at)
+            text.append(page[begin:at])
+            if close == "]]>":
+                text.append(html.escape(page[at + 9 : end if end >= 0 else None], False))
+            at = begin = len(page) if end < 0 else end + len(close)
+            continue
+        name = NAME.match(page, at + 1)
         if not name:
-            if tag[0].startswith("<![CDATA["):
-                state = (outer, inner)
-                text.append(html.escape(tag[0][9:].removesuffix("]]>"), False))
+            at += 1
             continue
+        end = name.end()
+        while quoted:
+            stop = STOPS.search(page, end)
+            if stop and stop[0] == ">":
+                end = stop.start()
+                break
+            end = page.find(stop[0], stop.end()) + 1 if stop else 0
+            if not end:
+                quoted = False  # and so are all quotes behind
+        if not quoted:
+            end = page.find(">", name.end())
+        if end < 0:
+            break
+        text.append(page[begin:at])
+        low = name[1].lower()
+        yield "".join(text), low, page[name.end() : end], page[at + 1] == "/"
+        text.clear()
+        at = begin = end + 1
+        if low in RAW and page[name.start()] != "/":
+            close = regex.compile(rf"</{regex.escape(low)}\s*>", regex.IGNORECASE).search(page, at)
+            at = begin = close.end() if close else len(page)
+    yield "".join(text) + page[begin:], "", "", False
+
+
+def blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], str]:
+    """(text, characters of it in links, inside boilerplate, inside the article proper) of each block with text; and the page's language.
+
+    What an inline element that is marked as boilerplate holds is a block of its own, before that of the text around it.
+    """
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, in boilerplate, in the article, in a link
+    names: Counter[str] = Counter()
+    out: list[tuple[str, int, bool, bool]] = []
+    lang = ""
+    pieces: dict[bool, tuple[list[str], list[str]]] = {True: ([], []), False: ([], [])}  # by boilerplate: all, and those in links
+    inside = False
+
+    def close() -> None:
+        for outer, (text, linked) in pieces.items():
+            if text:
+                whole = SPACES.sub(" ", html.unescape("".join(text))).strip()
+                if whole:
+                    out.append((whole, len(SPACES.sub(" ", html.unescape("".join(linked))).strip()), outer, inside))
+                text.clear()
+                linked.clear()
+
+    def pop(k: int) -> None:
+        for gone in stack[k:]:
+            names[gone[0]] -= 1
+        del stack[k:]
+
+    for text, name, attributes, ends in tags(page):
+        _, outer, inner, link = stack[-1] if stack else ("", False, False, False)
+        if text:
+            inside = inner
+            pieces[outer][0].append(text)
+            if link:
+                pieces[outer][1].append(text)
         if name not in INLINE:
-            yield from closed()
-        if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break  # an inline end tag closes nothing beyond its block
-        elif name in RAW:
-            close = regex.compile(rf"</{name}\s*>", regex.IGNORECASE).search(page, at)
-            at = close.end() if close else end
-            continue
-        elif name not in VOID and not tag[3].endswith("/"):
+            close()
+        if ends:
+            if names[name]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        pop(i)
+                        break
+                    if name in INLINE and stack[i][0] not in INLINE:
+                        break  # an inline end tag closes nothing beyond its block
+        elif name and name not in RAW and name not in VOID and not attributes.endswith("/"):
+            if name == "html" and not lang and (told := LANG.search(attributes)):
+                lang = told[1].lower()
             if name not in INLINE:
                 while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p"):  # a block ends open paragraphs and what they hold
-                    stack.pop()
+                    pop(len(stack) - 1)
                 if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
                     while stack and stack[-1][0] == name:
-                        stack.pop()
-            above = stack[-1] if stack else ("", False, False, False)
-            bad = above[1] or name in OUTER or (name not in ("html", "body", "article", "main") and _boilerplate(tag[3]))
-            stack.append((name, bad, above[2] or name in INNER, above[3] or name == "a"))
-        _, outer, inner, link = stack[-1] if stack else ("", False, False, False)
-    yield from closed()
+                        pop(len(stack) - 1)
+            if len(stack) < MOST_OPEN:
+                above = stack[-1] if stack else ("", False, False, False)
+                bad = above[1] or name in OUTER or (name not in ("html", "body", "article", "main") and _boilerplate(attributes))
+                stack.append((name, bad, above[2] or name in INNER, above[3] or name == "a"))
+                names[name] += 1
+    return out, lang
 
 
 def labels(found: list[tuple[str, int, bool, bool]], stop: frozenset[str]) -> list[str]:
@@ -132,12 +175,13 @@ def labels(found: list[tuple[str, int, bool, bool]], stop: frozenset[str]) -> li
             first.append(BAD)
         elif n < LENGTH_LOW:
             first.append(SHORT)
-        elif inner:
-            first.append(GOOD)
         else:
-            words = text.lower().split()
-            density = sum(w.strip(".,;:!?()\"'") in stop for w in words) / max(1, len(words))
-            first.append((GOOD if n > LENGTH_HIGH else NEAR) if density >= STOP_HIGH else NEAR if density >= STOP_LOW else BAD)
+            words = WORDS.findall(text.lower())
+            density = sum(w in stop for w in words) / max(1, len(words))
+            if density >= STOP_HIGH:
+                first.append(GOOD if n > LENGTH_HIGH else NEAR)
+            else:
+                first.append(NEAR if density >= STOP_LOW else SHORT if inner else BAD)
 
     def nearest(order: range) -> dict[int, tuple[str, str]]:
         """The last decided label before each block: of all blocks, and of those of the article proper (none: good)."""
@@ -146,7 +190,10 @@ def labels(found: list[tuple[str, int, bool, bool]], stop: frozenset[str]) -> li
             told[i] = last, within
             if first[i] in (GOOD, BAD):
                 last = first[i]
-                within = within if found[i][2] else last
+                if found[i][3] and not found[i][2]:
+                    within = last
+            elif not found[i][3]:
+                within = GOOD  # out of the article proper: its next block is at an edge
         return told
 
     before, after = nearest(range(len(first))), nearest(range(len(first) - 1, -1, -1))
@@ -166,10 +213,9 @@ ALL_STOP = frozenset(w for words in STOP_WORDS.values() for w in words)
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lang = LANG.search(page[:2048])
-    stop = frozenset(STOP_WORDS.get(lang[1].lower(), ())) if lang else frozenset()
-    found = list(blocks(page))
-    return "\n".join(b[0] for b, label in zip(found, labels(found, stop or ALL_STOP), strict=True) if label == GOOD)
+    found, lang = blocks(page)
+    stop = frozenset(STOP_WORDS.get(lang, ())) or ALL_STOP
+    return "\n".join(b[0] for b, label in zip(found, labels(found, stop), strict=True) if label == GOOD)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

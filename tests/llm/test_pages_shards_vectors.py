@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -110,3 +111,35 @@ def test_vectors_of_many_lists_agree_with_brute_force(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark, spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
     v = embeddings._unit(x.astype(float))
     assert [got[i] for i in range(900)] == ((v @ v.T >= 0.93).sum(1) - 1).tolist()
+
+
+def test_density_and_length_decide(monkeypatch):
+    """Without any tag or class that is known, dense blocks stay and others go; short ones follow what stands around them."""
+    for name in ("OUTER", "INNER"):
+        monkeypatch.setattr(boilerplate, name, frozenset())
+    codes = "xk7 qq0 zv19 " * 20
+    page = f"<ul><li><a href=a>Home</a><li><a href=b>All of the things</a></ul><div><p>{LONG} {LONG} {LONG}</p><p>Short.</p><p>{LONG} {LONG} {LONG}</p></div><div>{codes}</div><p>Short too.</p><div>{codes}</div>"
+    assert boilerplate.main_text(page) == f"{LONG} {LONG} {LONG}\nShort.\n{LONG} {LONG} {LONG}"
+    monkeypatch.setattr(boilerplate, "ALL_STOP", frozenset())
+    assert boilerplate.main_text(page) == ""
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>{LONG} <span class=ad>buy</span>and on</p></article>", f"{LONG} and on"),
+        (f"<article><p><span class=ad>buy</span>{LONG}</p></article>", LONG),
+        (f"<html data-x='{'y' * 5000}' lang=de><p>{LONG * 4}</p>", ""),  # of few words that are frequent in German
+        (f"<article><p title='a > b'>{LONG}</p><p title=\"never closed>Here.</p></article>", f"{LONG}\nHere."),
+        (f"<article><![CDATA[a < b]]><p>1 < 2 <3</p><!-- <p>no</p> --><p>{LONG}</article>", f"a < b\n1 < 2 <3\n{LONG}"),
+    ],
+)
+def test_pieces_and_broken_tags(page, text):
+    assert boilerplate.main_text(page) == text
+
+
+@pytest.mark.parametrize("bad", ['<p title="x ', "<b><i><div>", "</span><div>", "<!-- ", "<a href='\"'", "<", "<html lang="])
+def test_time_follows_the_length_of_a_page(bad):
+    began = time.process_time()
+    boilerplate.main_text(bad * (500_000 // len(bad)))
+    assert time.process_time() - began < 5
