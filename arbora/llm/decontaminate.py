@@ -2,8 +2,11 @@
 
 The smallest k-gram hash of every sliding window of w grams is a fingerprint; a span of w + k - 1 words
 that two texts share holds a fingerprint of both, so joining fingerprints finds every shared window.
-Hits are extended to the whole windows of `window` = w + k - 1 words around them and compared there.
-An item of fewer words than a window is fingerprinted by all its words (k = its length, w = 1).
+Around a document's fingerprint that a Bloom filter of the benchmark's fingerprints does not rule out, it is extended to the whole
+windows of `window` = w + k - 1 words that hold it; these are joined with the windows of the items, each known by two
+64-bit hashes of its words. An item of fewer words than a window is one window of all its words (k = its length, w = 1).
+The filter has a fixed size and only spares rows that the join would drop, so a benchmark may be of any size; a document's windows that
+are equal enter the join once, and a window of many documents is a skewed join, which Spark splits.
 
 Defined cases: null and word-less texts have no words and no hits; null items and items without words hit
 nothing; null item ids are passed over; repeated rows and repeated items each count for themselves, an id once;
@@ -13,18 +16,18 @@ an empty benchmark leaves all documents clean.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from arbora.llm import textops as T
+from arbora.session import persisted
 
 WINDOW, GRAM = 10, 5
-#: Bytes of benchmark text that go to the executors at once; a larger benchmark goes in several such blocks.
-BLOCK_BYTES = 32 << 20
+WINDOWS = pa.struct([("n", pa.int32()), ("hash", pa.int64()), ("check", pa.int64()), ("starts", pa.list_(pa.int32()))])
 
 
 def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
@@ -32,139 +35,126 @@ def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
     return T.sliding_max_back(T.sliding_min(grams, width), width) == grams
 
 
-class Fingerprints:
-    """The fingerprints of a block of items and, by length, the windows they may extend to."""
-
-    def __init__(self, ids: list[str], texts: list[str | None], window: int, gram: int):
-        self.window, self.gram, self.ids = window, gram, ids
-        prints, spans = [], {}
-        for t in T.slices(pa.array(texts, pa.string())):
-            w = T.words(t)
-            g, at = T.grams(w, gram), T.whole(w, window)
-            g[~T.whole(w, gram)] = np.iinfo(np.uint64).max
-            chosen = winnowed(g, window - gram + 1) & T.whole(w, gram)
-            long = w.counts >= window
-            prints.append(g[chosen & long[w.doc]])
-            spans.setdefault(window, []).append((T.grams(w, window)[at], w.doc[at] + t.lo))
-            for n in range(1, window):
-                d = np.flatnonzero(w.counts == n)
-                if len(d):
-                    spans.setdefault(n, []).append((T.grams(w, n, w.first[d]), d + t.lo))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.spans = {}
-        for n, parts in spans.items():
-            h, item = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            if len(h):
-                order = np.lexsort((item, h))
-                h, item = h[order], item[order]
-                table, first = np.unique(h, return_index=True)
-                self.spans[n] = (table, np.append(first, len(h)), item)
-
-    def hits(self, w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mask of hit words, and the (row, item) pairs."""
-        edge, rows, items = np.zeros(len(w.hash) + 1, np.int64), [], []
-        for n, (table, first, item) in self.spans.items():
-            ok = T.whole(w, n)
-            if n == self.window:
-                g = T.grams(w, self.gram)
-                g[~T.whole(w, self.gram)] = np.iinfo(np.uint64).max
-                width = n - self.gram + 1
-                at = np.flatnonzero(winnowed(g, width))
-                at = at[T.member(g[at], self.prints)[1]]
-                at = np.unique((at[:, None] - np.arange(width)).ravel())
-                at = at[at >= 0]
-                at = at[ok[at]]
-            else:
-                at = np.flatnonzero(ok)
-            i, found = T.member(T.grams(w, n, at), table)
-            at, i = at[found], i[found]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + n, -1)
-            pair = np.unique(w.doc[at] * len(table) + i)  # a window once for each text, before its items
-            row, i = pair // len(table), pair % len(table)
-            many = first[i + 1] - first[i]
-            rows.append(np.repeat(row, many))
-            items.append(item[np.repeat(first[i], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
-        none = np.zeros(0, np.int64)
-        return np.cumsum(edge)[:-1] > 0, np.concatenate(rows or [none]), np.concatenate(items or [none])
-
-
-def _scan(block, earlier: bool):
+def fingerprints(w: T.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the fingerprints of texts of at least `window` words."""
+    g, ok = T.grams(w, gram), T.whole(w, gram)
+    g[~ok] = np.iinfo(np.uint64).max
+    at = np.flatnonzero(winnowed(g, window - gram + 1) & ok & (w.counts >= window)[w.doc])
+    return at, g[at]
+
+
+def _hashes(w: T.Words, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the n words from each place on."""
+    return tuple(T.grams(x, n, at).view(np.int64) for x in (w, replace(w, hash=T.mix(w.hash ^ np.uint64(0x2545F4914F6CDD1D)))))
+
+
+def _asked(hashes: np.ndarray, n: int) -> np.ndarray:
+    """What a window of n words is called in the filter; fingerprints go by their own hash."""
+    return T.mix(hashes.view(np.uint64) + np.uint64(n)).view(np.int64)
+
+
+def _items(window: int, gram: int):
+    """item_id, n, hash, check of each item's windows, and with n = 0 its fingerprints."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints: Fingerprints = block.value
         for batch in batches:
-            n_words, spans, found = [], [], []
-            before = (batch.column("spans").to_pylist(), batch.column("items").to_pylist()) if earlier else None
             for t in T.slices(batch.column("text")):
                 w = T.words(t)
-                hit, row, item = prints.hits(w)
-                pairs = np.unique(np.stack([row, item], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-                cut = np.searchsorted(pairs[:, 0], np.arange(len(t) + 1))
-                for d in range(len(t)):
-                    a, b = w.first[d], w.first[d + 1]
-                    mine = []
-                    if hit[a:b].any():
-                        edges = np.flatnonzero(np.diff(hit[a:b].astype(np.int8), prepend=0, append=0))
-                        mine = edges.tolist()
-                    names = {prints.ids[k] for k in pairs[cut[d] : cut[d + 1], 1]}
-                    if before:
-                        mine = joined(mine + before[0][t.lo + d])
-                        names |= set(before[1][t.lo + d])
-                    n_words.append(int(b - a))
-                    spans.append(mine)
-                    found.append(sorted(names))
-            cols = {n: batch.column(n) for n in ("doc_id", "text", "rest")}
-            cols |= {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_pydict(cols)
+                at, prints = fingerprints(w, window, gram)
+                parts = [(w.doc[at], 0, prints.view(np.int64), np.zeros(len(at), np.int64))]
+                for n in range(1, window + 1):
+                    at = np.flatnonzero(T.whole(w, n)) if n == window else w.first[:-1][w.counts == n]
+                    parts.append((w.doc[at], n, *_hashes(w, n, at)))
+                for row, n, h, check in parts:
+                    if len(row):
+                        ids = batch.column("item_id").take(pa.array(row + t.lo))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(row), n, np.int32)), pa.array(h), pa.array(check)], names=["item_id", "n", "hash", "check"])
 
     return run
 
 
-def joined(flat: list[int]) -> list[int]:
-    """Union of [begin, end, begin, end, ...] in order."""
-    out: list[int] = []
-    for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
+def _scan(known: T.Bloom, lengths: list[int], window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = window - gram + 1
+        for batch in batches:
+            for t in T.slices(batch.column("text")):
+                w = T.words(t)
+                parts = []
+                for n in lengths:
+                    ok = T.whole(w, n)
+                    if n == window:
+                        at, prints = fingerprints(w, window, gram)
+                        at = at[known.has(prints.view(np.int64))]
+                        at = np.unique((at[:, None] - np.arange(width)).ravel())
+                        at = at[at >= 0]
+                        at = at[ok[at]]
+                    else:
+                        at = np.flatnonzero(ok)
+                    h, check = _hashes(w, n, at)
+                    met = known.has(_asked(h, n))
+                    parts.append((w.doc[at[met]], np.full(met.sum(), n), h[met], check[met], at[met]))
+                row, n, h, check, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
+                order = np.lexsort((at, check, h, n, row))
+                row, n, h, check, at = (x[order] for x in (row, n, h, check, at))
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (n[1:] != n[:-1]) | (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+                own = np.flatnonzero(new)
+                starts = pa.ListArray.from_arrays(pa.array(np.append(own, len(row)).astype(np.int32)), pa.array((at - w.first[row]).astype(np.int32)))
+                windows = pa.StructArray.from_arrays([pa.array(n[own].astype(np.int32)), pa.array(h[own]), pa.array(check[own]), starts], fields=list(WINDOWS))
+                cut = pa.array(np.searchsorted(row[own], np.arange(len(t) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(t.lo, len(t)) for c in ("row", "doc_id", "text_hash")), pa.array(w.counts), pa.ListArray.from_arrays(cut, windows)], names=["row", "doc_id", "text_hash", "n_words", "windows"])
 
-def blocks(benchmark: DataFrame, most: int) -> list[list]:
-    """The benchmark's rows in blocks of about `most` bytes, one at a time in the driver's memory."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    n = max(1, -(-int(size) // most))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield part.collect()
+    return run
 
 
-def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """packed(docs) with n_words, spans (word positions [begin, end) one after the other) and items (ids, sorted)."""
-    out = T.packed(docs)
-    for k, rows in enumerate(blocks(benchmark, block_bytes)):
-        known = spark.sparkContext.broadcast(Fingerprints([r[0] for r in rows], [r[1] for r in rows], window, gram))
-        out = out.mapInArrow(_scan(known, k > 0), out.select("doc_id", "text", "rest").schema.add("n_words", LongType()).add("spans", ArrayType(IntegerType())).add("items", ArrayType(StringType())))
-    return out
+def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """row, doc_id, text_hash, n_words of each document; and row, spans (structs of begin and end, in words), items (ids, sorted) of those that are hit."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    known = persisted(items.mapInArrow(_items(window, gram), "item_id string, n int, hash bigint, check bigint").distinct(), "windows")
+    lengths = sorted(r[0] for r in known.where("n > 0").select("n").distinct().collect())
+    bloom = T.Bloom(known.where("n = 0").select("hash").union(known.where("n > 0").mapInArrow(_named, "hash bigint")))
+    rows = T.packed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    kind = f"row bigint, doc_id {dict(rows.dtypes)['doc_id']}, text_hash bigint, n_words bigint, windows array<struct<n: int, hash: bigint, check: bigint, starts: array<int>>>"
+    found = rows.mapInArrow(_scan(bloom, lengths, window, gram), kind)
+    found = persisted(found, "scanned")
+    met = found.where(F.size("windows") > 0).select("row", F.explode("windows").alias("w")).select("row", "w.*").join(known.where("n > 0"), ["n", "hash", "check"])
+    met = persisted(met.select("row", "n", "starts", "item_id"), "met")
+    order = Window.partitionBy("row").orderBy("begin", "end")
+    runs = met.select("row", "n", F.explode("starts").alias("begin")).select("row", "begin", (F.col("begin") + F.col("n")).alias("end")).distinct()
+    runs = runs.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("run", F.sum((F.col("before").isNull() | (F.col("begin") > F.col("before"))).cast("int")).over(order))
+    runs = runs.groupBy("row", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    spans = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    items = met.select("row", "item_id").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    return found.drop("windows"), persisted(spans.join(items, "row"), "hits")
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        for k in np.unique(n).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array(_asked(batch.column("hash").to_numpy()[n == k], k))], names=["hash"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated."""
-    hit = F.expr("aggregate(sequence(0, cast(size(spans) / 2 as int) - 1), 0L, (s, i) -> s + spans[2 * i + 1] - spans[2 * i])")
-    return scan(spark, docs, benchmark, **options).select(
-        "doc_id", "n_words", F.when(F.size("spans") > 0, hit).otherwise(F.lit(0).cast("bigint")).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated")
-    )
+    found, hits = scan(spark, docs, benchmark, **options)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    out = found.join(hits, "row", "left").withColumn("contaminated", F.col("spans").isNotNull())
+    out = out.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<begin: int, end: int>>)"))).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", "contaminated")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns, that share no window with the benchmark."""
-    return T.unpacked(scan(spark, docs, benchmark, **options).where(F.size("spans") == 0), docs.columns)
+    found, hits = scan(spark, docs, benchmark, **options)
+    gone = persisted(found.join(hits.select("row"), "row", "left_semi").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "leaks")
+    rows = T.packed(docs)
+    return T.unpacked(rows.join(gone, rows["doc_id"].eqNullSafe(gone["__gone"]) & (F.xxhash64(rows["text"]) == gone["__text"]), "left_anti"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decontaminate(spark, docs, items).select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", F.sort_array("items")), 256).alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
     )

@@ -123,8 +123,9 @@ def products(left: tuple, right: tuple, by: tuple[np.ndarray, np.ndarray], rows:
 def linked(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of all pairs of a left and a right text, each (shingles, weights), whose similarity is `threshold` or more.
 
-    Where all weights are 1 the products give the similarity. Else they bound it: the weight of common shingles bounds it from above,
-    and what has the same weight in both from below (by the weighted Jaccard of the shares); between the two it is computed.
+    It is a sum over common shingles of their weight by the sum of all larger weights, of the one text or, at this shingle's ratio, the other. Where
+    all weights are 1 the products give it. Else shingles of equal weights bound it from below; from above, with all other common ones
+    by the text's own weight; between the two it is computed.
     """
     sides = []
     for texts in (left, right):
@@ -136,14 +137,12 @@ def linked(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarr
     keys = [T.mix(x + T.mix(y.astype(np.uint64))) for x, y in ((h, w), (oh, ow))]
     (same,) = products(row, orow, keys, size, (w, np.ones(len(ow))))
     plain = unit[:, None] & ounit[None]
-    least = threshold - 1e-12
-    ok = np.where(plain, same / (total[:, None] + ototal[None] - same) >= least, False)
+    both, least = total[:, None] + ototal[None], threshold - 1e-12
+    ok = same / (both - same) >= least
     if not plain.all():
-        share = same / np.maximum(total[:, None], ototal[None])
-        ok |= ~plain & (share / (2 - share) >= threshold)
-        open_ = ~plain & ~ok
         mine, theirs = products(row, orow, [h, oh], size, (w, np.ones(len(ow))), (np.ones(len(w)), ow))
-        for i, j in zip(*np.nonzero(open_ & (np.minimum(mine / total[:, None], theirs / ototal[None]) >= least)), strict=True):
+        most = same / (both - np.minimum(mine, theirs)) + np.minimum((mine - same) / total[:, None], (theirs - same) / ototal[None])
+        for i, j in zip(*np.nonzero(~plain & ~ok & (most >= least)), strict=True):
             ok[i, j] = probability_jaccard(*left[i], *right[j]) >= least
     return np.nonzero(ok)
 
