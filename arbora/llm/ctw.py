@@ -1,16 +1,16 @@
 """Language-model scores of documents by context-tree weighting (CTW) over bytes.
 
 A text is a row of tokens: its words (runs of bytes other than white space, A-Z lower-cased), each closed by a space, and
-one end. A byte is predicted from up to DEPTH bytes before it within its token, the space before the token being the first
-of them. It is coded as eight binary decisions, most significant bit first; each decision has a context tree of its own,
+one end. A byte is predicted from the DEPTH bytes before it, across words; before the text stand ends.
+It is coded as eight binary decisions, most significant bit first; each decision has a context tree of its own,
 in every node of which a Krichevsky-Trofimov (KT) estimate counts what followed. Weighting mixes the
 estimates of all depths: bottom-up, a node's probability is half its own estimate's and half the product of its children's;
 top-down, with the counts frozen, these give the weight of each depth along a context. A context that the
 training texts lack ends the mixture at its longest suffix that they have, so a decision's two chances always add up to 1.
 
-A byte's chance depends on its context only, and a token's on its bytes only. So counts go from tokens to distinct words,
-from these to distinct (context, byte), to tree nodes level by level, and scores come back the same way, all by
-joins on keys. The words (and contexts) that occur most are looked up in a broadcast table of at most HELD entries; all
+A byte's chance depends on its context and itself only, which together are a gram. So counts go from texts to distinct grams, summed
+within tasks first, from these to tree nodes level by level, and scores come back the same way, all by
+joins on keys. The grams (and words, for the base) that occur most are looked up in a broadcast table of at most HELD entries; all
 others are joined.
 
 Words are known by a 64-bit hash. Defined cases: a null text is empty, that is one end token; rows with a null doc_id
@@ -31,60 +31,98 @@ from pyspark.sql import functions as F
 from arbora.llm import textops as T
 from arbora.session import persisted
 
-DEPTH = 5
-HELD = 250_000
+DEPTH = 6
+HELD = 2_000_000
+#: Distinct grams that a task sums up before it hands them on.
+SUMMED = 3_000_000
 SPACE, END = 0x20, 0x0A
+#: Texts that are coded together: their number has a byte beside a gram of 7 bytes.
+TEXTS = 256
 
 
-def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """data[start : start + size] of each as a binary column."""
-    at = np.append(0, np.cumsum(size))
-    index = np.arange(at[-1]) + np.repeat(start - at[:-1], size)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(T.LOWER[data[index]])])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each batch, and how often they occur in training texts."""
-    for batch in batches:
-        learnt = batch.column("learnt").to_numpy(zero_copy_only=False)
-        parts = []
-        for t in T.slices(batch.column("text")):
-            w = T.words(t, ~T.BLANK_BYTES)
-            h, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-            parts.append((h, np.bincount(which, weights=learnt[t.lo + w.doc], minlength=len(h)).astype(np.int64), _binary(t.data, w.start[at], (w.end - w.start)[at])))
-        if parts:
-            hashed, counts, spelt = zip(*parts, strict=True)
-            h, at, which = np.unique(np.concatenate(hashed), return_index=True, return_inverse=True)
-            n = np.bincount(which, weights=np.concatenate(counts), minlength=len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.concat_arrays(spelt).take(pa.array(at)), pa.array(n)], names=["word", "spelt", "n"])
-
-
-def word_grams(spelt: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, context << 8 | byte) for each byte of each word and the space behind it."""
-    offsets = np.frombuffer(spelt.buffers()[1], np.int32)[spelt.offset : spelt.offset + len(spelt) + 1].astype(np.int64)
-    raw = np.frombuffer(spelt.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    size = np.diff(offsets)
-    word = np.repeat(np.arange(len(size)), size + 1)
-    begin = offsets[:-1] - offsets[0] + np.arange(len(size))
-    place = np.arange(len(word)) - begin[word]
-    byte = np.full(len(word), SPACE, np.int64)
-    byte[place < size[word]] = raw
-    gram = byte.copy()
-    for k in range(1, depth + 1):
-        before = np.full(len(word), SPACE, np.int64)
-        before[k:] = byte[:-k]
-        gram |= np.where(place >= k, before, np.where(place == k - 1, SPACE, 0)) << (8 * k)
-    return word, gram
+def streams(t: T.Texts, w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts as they are coded, and where each text's begin (with the end as last); w: their words."""
+    size = w.end - w.start
+    at = np.append(0, np.cumsum(np.bincount(w.doc, weights=size + 1, minlength=len(t)).astype(np.int64) + 1))
+    out = np.full(at[-1], SPACE, np.uint8)
+    out[at[1:] - 1] = END
+    place = np.cumsum(size + 1) - size - 1 + w.doc  # each text before has an end
+    kept = np.flatnonzero(~T.BLANK_BYTES[t.data])
+    out[np.repeat(place - np.cumsum(size) + size, size) + np.arange(len(kept))] = T.LOWER[t.data[kept]]
+    return out, at
+
 
+def text_grams(stream: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """context << 8 | byte of each byte; the last byte of a context is its lowest."""
+    gram, shifted = stream.astype(np.uint64), stream
+    for k in range(1, depth + 1):
+        shifted = np.concatenate([np.full(1, END, np.uint8), shifted[:-1]])
+        shifted[at[:-1]] = END
+        gram |= shifted.astype(np.uint64) << np.uint64(8 * k)
+    return gram
+
+
+def coded(texts: T.Texts, depth: int) -> Iterator[tuple[T.Texts, T.Words, np.ndarray, np.ndarray]]:
+    """Runs of at most TEXTS texts: themselves, their words, their grams and where each text's begin."""
+    for lo in range(0, len(texts), TEXTS):
+        hi = min(lo + TEXTS, len(texts))
+        at = texts.at[lo : hi + 1]
+        t = T.Texts(texts.lo + lo, texts.lo + hi, texts.data[at[0] : at[-1]], at - at[0])
+        w = T.words(t, ~T.BLANK_BYTES)
+        stream, begin = streams(t, w)
+        yield t, w, text_grams(stream, begin, depth), begin
+
+
+class Sums:
+    """Counts by key, of few enough keys at a time."""
+
+    def __init__(self, word: bool):
+        self.word, self.parts, self.size = word, [], 0
+
+    def add(self, key: np.ndarray, learnt: np.ndarray) -> None:
+        """One occurrence of each key, counted if learnt."""
+        both = np.sort(key[learnt]), np.sort(key[~learnt])
+        for k, counts in zip(both, (True, False), strict=True):
+            begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+            self.parts.append((k[begin], np.diff(np.append(begin, len(k))) * counts))
+            self.size += len(begin)
+
+    def merge(self) -> None:
+        key, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.parts = [(key[begin], np.add.reduceat(n[order], begin) if len(key) else n)]
+        self.size = len(begin)
+
+    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """What is to be handed on: all at the end, before it only if the keys have become too many."""
+        if self.parts and (last or self.size > 2 * SUMMED):
+            self.merge()
+            if last or self.size > SUMMED:
+                for key, n in self.parts:
+                    for lo in range(0, len(key), 1 << 18):
+                        k = pa.array(key[lo : lo + (1 << 18)].view(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), self.word)), k, pa.array(n[lo : lo + (1 << 18)].astype(np.int64))], names=["word", "key", "n"])
+                self.parts, self.size = [], 0
+
+
+def _counted(depth: int):
+    """Words by hash, and grams, and how often each occurs in training texts."""
 
-def _grams(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, grams = Sums(True), Sums(False)
         for batch in batches:
-            word, gram = word_grams(batch.column("spelt"), depth)
-            g, which = np.unique(gram, return_inverse=True)
-            n = np.zeros(len(g), np.int64)
-            np.add.at(n, which, batch.column("n").to_numpy()[word])
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["gram", "n"])
+            learnt = batch.column("learnt").to_numpy(zero_copy_only=False)
+            for texts in T.slices(batch.column("text")):
+                for t, w, gram, at in coded(texts, depth):
+                    own = learnt[t.lo : t.hi]
+                    words.add(w.hash, own[w.doc])
+                    grams.add(gram, np.repeat(own, np.diff(at)))
+                for sums in (words, grams):
+                    yield from sums.batches()
+        for sums in (words, grams):
+            yield from sums.batches(True)
 
     return run
 
@@ -96,21 +134,17 @@ def _log_gamma(z: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(low)
 
 
-def _decisions(grams: DataFrame, depth: int) -> DataFrame:
+def _decisions(grams: DataFrame) -> DataFrame:
     """Each gram's eight decisions: node = context << 8 | bits so far (after a leading 1), and the bit."""
-    context = F.shiftright("gram", 8)
     rows = grams.select("*", F.explode(F.array(*[F.lit(k) for k in range(8)])).alias("t"))
     so_far = F.expr("shiftleft(1L, t) | shiftright(gram & 255, 8 - t)")
-    length = F.lit(depth)
-    for p in range(depth - 1, 0, -1):
-        length = F.when(F.shiftright(context, 8 * (p - 1)).bitwiseAND(255) == SPACE, p).otherwise(length)
-    return rows.select("gram", "n", F.shiftleft(context, 8).bitwiseOR(so_far).alias("node"), F.expr("cast(shiftright(gram & 255, 7 - t) & 1 as int)").alias("bit"), length.alias("depth"))
+    return rows.select("gram", "n", F.shiftleft(F.shiftright("gram", 8), 8).bitwiseOR(so_far).alias("node"), F.expr("cast(shiftright(gram & 255, 7 - t) & 1 as int)").alias("bit"))
 
 
 def byte_chances(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """grams: gram, n. Returns gram, n, chance: log10 of the byte's probability after its context."""
     zeros, ones = (F.sum(F.when(F.col("bit") == k, F.col("n")).otherwise(0)).cast("double") for k in (0, 1))
-    leaves = persisted(_decisions(grams, depth).groupBy("node", "depth").agg(zeros.alias("a"), ones.alias("b")), "leaves")
+    leaves = persisted(_decisions(grams).groupBy("node").agg(zeros.alias("a"), ones.alias("b")), "leaves")
     a, b = F.col("a"), F.col("b")
     own = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
     kt = (b + 0.5) / (a + b + 1)
@@ -120,14 +154,13 @@ def byte_chances(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     levels: list[DataFrame] = []
     for d in range(depth, -1, -1):
-        here = leaves.where(F.col("depth") == d).select("node", "a", "b", F.lit(None).cast("double").alias("below"))
         if levels:
-            up = levels[-1].groupBy(F.col("node").bitwiseAND(mask(d)).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
-            here = here.unionByName(up)
+            here = levels[-1].groupBy(F.col("node").bitwiseAND(mask(d)).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
+        else:
+            here = leaves.select("node", "a", "b", F.lit(None).cast("double").alias("below"))
         both = math.log(0.5) + F.greatest("own", "below") + F.log1p(F.exp(F.least("own", "below") - F.greatest("own", "below")))
         here = here.withColumn("own", own).withColumn("weighted", F.when(F.col("below").isNull(), F.col("own")).otherwise(both))
-        levels.append(persisted(here.withColumn("share", F.when(F.col("below").isNull(), 1.0).otherwise(F.exp(math.log(0.5) + F.col("own") - F.col("weighted")))).select("node", "a", "b", "weighted", "share", F.col("below").isNull().alias("leaf")), f"level{d}"))
-    ends: list[DataFrame] = []
+        levels.append(persisted(here.withColumn("share", F.when(F.col("below").isNull(), 1.0).otherwise(F.exp(math.log(0.5) + F.col("own") - F.col("weighted")))).select("node", "a", "b", "weighted", "share"), f"level{d}"))
     upper = None
     for d, here in enumerate(reversed(levels)):
         if upper is None:
@@ -135,10 +168,9 @@ def byte_chances(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         else:
             here = here.join(upper, here["node"].bitwiseAND(mask(d - 1)) == upper["above"]).drop("above")
         here = here.withColumn("one", F.when(a + b > 0, F.col("mixed") + F.col("left") * kt).otherwise(F.col("upper")))
-        here = persisted(here.select("node", "leaf", "one", (F.col("mixed") + F.col("left") * F.col("share") * kt).alias("mixed"), (F.col("left") * (1 - F.col("share"))).alias("left")), f"down{d}")
-        ends.append(here.where("leaf").select("node", "one"))
-        upper = here.where("not leaf").select(F.col("node").alias("above"), "mixed", "left", F.col("one").alias("upper"))
-    told = _decisions(grams, depth).join(reduce(DataFrame.unionAll, ends), "node")
+        here = persisted(here.select("node", "one", (F.col("mixed") + F.col("left") * F.col("share") * kt).alias("mixed"), (F.col("left") * (1 - F.col("share"))).alias("left")), f"down{d}")
+        upper = here.select(F.col("node").alias("above"), "mixed", "left", F.col("one").alias("upper"))
+    told = _decisions(grams).join(here.select("node", "one"), "node")
     return told.groupBy("gram").agg(F.max("n").alias("n"), F.sum(F.log10(F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one")))).alias("chance"))
 
 
@@ -162,82 +194,78 @@ def _table(df: DataFrame, key: str, *values: str) -> tuple[np.ndarray, ...]:
     return tuple(table[c].to_numpy()[order] for c in (key, *values))
 
 
-def _spelt(known, depth: int):
+def _scored(known_words, known_grams, depth: int):
+    def looked_up(key: np.ndarray, row: np.ndarray, rows: int, table: np.ndarray, values: list[np.ndarray]):
+        """Sums of the values over each row's known keys; and the unknown ones, with how often each occurs, as lists."""
+        i, found = T.member(key, table)
+        sums = [np.bincount(row[found], weights=v[i[found]], minlength=rows).astype(float) for v in values]
+        rest, owner = key[~found], row[~found]
+        order = np.lexsort((rest, owner))
+        rest, owner = rest[order], owner[order]
+        begin = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1]))) if len(rest) else np.zeros(0, np.int64)
+        cut = pa.array(np.searchsorted(owner[begin], np.arange(rows + 1)).astype(np.int32))
+        times = np.diff(np.append(begin, len(rest))).astype(np.int32)
+        return sums, [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (rest[begin], times)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, chance = known.value
+        words, n, base = known_words.value
+        grams, chance = known_grams.value
         for batch in batches:
-            word, gram = word_grams(batch.column("spelt"), depth)
-            i, found = T.member(gram, table)
-            score = np.bincount(word[found], weights=chance[i[found]], minlength=len(batch)).astype(float)  # of nothing it counts in ints
-            cut = np.searchsorted(word[~found], np.arange(len(batch) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), pa.array(gram[~found]))], names=["word", "n", "score", "rest"])
+            for texts in T.slices(batch.column("text")):
+                for t, w, gram, at in coded(texts, depth):
+                    rows = len(t)
+                    (n_known, base_score), more_words = looked_up(w.hash.view(np.int64), w.doc, rows, words, [n > 0, base])
+                    own = np.sort(np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(56), np.diff(at)) | gram)
+                    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))  # a text has its end at least
+                    times = np.diff(np.append(begin, len(own)))
+                    row, key = (own[begin] >> np.uint64(56)).astype(np.int64), (own[begin] & np.uint64(2**56 - 1)).view(np.int64)
+                    i, found = T.member(key, grams)
+                    score = np.bincount(row[found], weights=times[found] * chance[i[found]], minlength=rows).astype(float)
+                    cut = pa.array(np.searchsorted(row[~found], np.arange(rows + 1)).astype(np.int32))
+                    more_grams = [pa.ListArray.from_arrays(cut, pa.array(x[~found])) for x in (key, times.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(c).slice(t.lo, rows) for c in ("row", "doc_id")] + [pa.array(w.counts + 1), pa.array(np.diff(at)), pa.array(n_known.astype(np.int64)), pa.array(base_score), pa.array(score), *more_words, *more_grams],
+                        names=["row", "doc_id", "n_tokens", "n_bytes", "n_known", "base_score", "score", "words", "word_times", "grams", "gram_times"],
+                    )
 
     return run
 
 
-def word_chances(spark: SparkSession, words: DataFrame, chances: DataFrame, depth: int = DEPTH, held: int = HELD) -> DataFrame:
-    """words: word, spelt, n. Returns word, n, score: log10 of the token's probability."""
-    top, all_held = _most(chances, held)
-    known = spark.sparkContext.broadcast(_table(top, "gram", "chance"))
-    rows = words.mapInArrow(_spelt(known, depth), "word bigint, n bigint, score double, rest array<bigint>")
-    if all_held:
-        return rows.drop("rest")
-    rows = persisted(rows, "spelt")
-    rest = rows.select("word", F.explode("rest").alias("gram")).join(chances, "gram").groupBy("word").agg(F.sum("chance").alias("more"))
-    return rows.join(rest, "word", "left").select("word", "n", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-
-
-def _scored(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n, score, base = known.value
-        for batch in batches:
-            for t in T.slices(batch.column("text")):
-                w = T.words(t, ~T.BLANK_BYTES)
-                i, found = T.member(w.hash.view(np.int64), table)
-                add = lambda x: np.bincount(w.doc[found], weights=x[i[found]], minlength=len(t)).astype(float)  # noqa: B023, E731
-                rest, owner = w.hash[~found].view(np.int64), w.doc[~found]
-                order = np.lexsort((rest, owner))
-                rest, owner = rest[order], owner[order]
-                begin = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1]))) if len(rest) else np.zeros(0, np.int64)
-                times = np.diff(np.append(begin, len(rest))).astype(np.int32)
-                cut = pa.array(np.searchsorted(owner[begin], np.arange(len(t) + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(t.lo, len(t)) for c in ("row", "doc_id")]
-                    + [pa.array(w.counts + 1), pa.array(add(n > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(score)), pa.ListArray.from_arrays(cut, pa.array(rest[begin])), pa.ListArray.from_arrays(cut, pa.array(times))],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest", "times"],
-                )
-
-    return run
+SCORED = "row bigint, doc_id bigint, n_tokens bigint, n_bytes bigint, n_known bigint, base_score double, score double, words array<bigint>, word_times array<int>, grams array<bigint>, gram_times array<int>"
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, learnt: Column, depth: int = DEPTH, held: int = HELD) -> DataFrame:
-    """Per document: row, doc_id, n_tokens, n_known, train_tokens, base_score, score. `learnt`: which documents to learn from."""
+    """Per document: row, doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte. `learnt`: which documents to learn from. depth: at most 6."""
+    if not 0 <= depth <= 6:
+        raise ValueError("a gram of more than 7 bytes does not fit beside the number of its text")
     rows = docs.select("doc_id", "text", F.coalesce(learnt, F.lit(False)).alias("learnt"))
-    words = persisted(rows.select("text", "learnt").mapInArrow(_counted, "word bigint, spelt binary, n bigint").groupBy("word").agg(F.first("spelt").alias("spelt"), F.sum("n").alias("n")), "words")
+    counted = persisted(rows.select("text", "learnt").mapInArrow(_counted(depth), "word boolean, key bigint, n bigint").groupBy("word", "key").agg(F.sum("n").alias("n")), "counted")
+    words = counted.where("word").select(F.col("key").alias("word"), "n")
     texts = rows.where("learnt").count()
     sums = words.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("bigint")).alias("kinds")).first()
     total, kinds = (sums["n"] or 0) + texts, (sums["kinds"] or 0) + (texts > 0)
-    grams = words.mapInArrow(_grams(depth), "gram bigint, n bigint").unionAll(spark.range(1).select(F.lit(SPACE << 8 | END).cast("bigint").alias("gram"), F.lit(texts).cast("bigint").alias("n")))
-    chances = persisted(byte_chances(persisted(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams"), depth), "chances")
+    grams = counted.where("not word").select(F.col("key").alias("gram"), "n")
+    chances = persisted(byte_chances(grams, depth), "chances")
     base = F.log10((F.col("n") + 0.5) / (total + 0.5 * (kinds + 1)))
-    end = chances.where(F.col("gram") == (SPACE << 8 | END)).first()["chance"]
     end_base = math.log10((texts + 0.5) / (total + 0.5 * (kinds + 1)))
-    tokens = persisted(word_chances(spark, words, chances, depth, held).withColumn("base", base), "tokens")
-    top, all_held = _most(tokens, held)
-    known = spark.sparkContext.broadcast(_table(top, "word", "n", "score", "base"))
-    kind = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, rest array<bigint>, times array<int>"
-    out = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scored(known), kind)
+    words = words.withColumn("base", base)
+    (top_words, all_words), (top_grams, all_grams) = _most(words, held), _most(chances, held)
+    known = [spark.sparkContext.broadcast(x) for x in (_table(top_words, "word", "n", "base"), _table(top_grams, "gram", "chance"))]
+    out = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scored(*known, depth), SCORED)
     more = {c: F.col(c) for c in ("n_known", "base_score", "score")}
-    if not all_held:
+    if not (all_words and all_grams):
         out = persisted(out, "scored")
-        rare = out.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("k"))
-        rest = rare.join(tokens, "word").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("k"), F.sum(F.col("k") * F.col("base")).alias("b"), F.sum(F.col("k") * F.col("score")).alias("s"))
-        out = out.join(rest, "row", "left")
+        zipped = lambda keys, times, name: out.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias(name), F.col(f"x.{times}").alias("k"))
+        rare = zipped("words", "word_times", "word").join(words, "word").select("row", F.when(F.col("n") > 0, F.col("k")).otherwise(0).alias("k"), (F.col("k") * F.col("base")).alias("b"), F.lit(0.0).alias("s"))
+        rare = rare.unionAll(zipped("grams", "gram_times", "gram").join(chances, "gram").select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), (F.col("k") * F.col("chance")).alias("s")))
+        out = out.join(rare.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s")), "row", "left")
         more = {c: F.col(c) + F.coalesce(F.col(x), F.lit(0)) for c, x in (("n_known", "k"), ("base_score", "b"), ("score", "s"))}
-    return out.select("row", "doc_id", "n_tokens", (more["n_known"] + F.lit(int(texts > 0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (more["base_score"] + end_base).alias("base_score"), (more["score"] + end).alias("score"))
+    score = more["score"].alias("score")
+    out = out.select("row", "doc_id", "n_tokens", (more["n_known"] + F.lit(int(texts > 0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (more["base_score"] + end_base).alias("base_score"), score, "n_bytes")
+    return out.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / F.col("n_bytes"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    return score_documents(spark, docs, fold != 1).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_documents(spark, docs, fold != 1).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
