@@ -17,15 +17,28 @@ from pyspark.sql import functions as F
 from arbora.llm import bpe, decontaminate, minhash, passages, quality
 from arbora.session import load, persisted, ship
 
-#: Documents that go to a Python worker at once; texts may be long, and several batches are in memory together.
-BATCH = "2000"
+#: Bytes of text that go to a Python worker at once on average, and documents at most; several batches are in memory together.
+BATCH_BYTES, BATCH = 8 << 20, 2_000
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def staged(stage):
+    """The stage, whose result is written, in batches that fit its documents; the session's own setting is put back.
+
+    Of every stage: null and empty texts, repeated rows, rows with a null doc_id, very long texts and further columns of any name go through as
+    its operator says; an empty table stays one.
+    """
+
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-        return stage(ship(spark), docs, sf_dir)
+        ship(spark)
+        before = spark.conf.get(ROWS)
+        size = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+        spark.conf.set(ROWS, str(max(16, min(BATCH, int(before) if int(before) > 0 else BATCH, int(BATCH_BYTES / size)))))
+        try:
+            return persisted(stage(spark, docs, sf_dir), f"stage-{stage.__name__}")
+        finally:
+            spark.conf.set(ROWS, before)
 
     return run
 
@@ -78,9 +91,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = persisted(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
 
 
 if __name__ == "__main__":
