@@ -10,7 +10,7 @@ link; the others are computed again from the vectors, in double precision.
 
 Equal vectors of a label are one class and enter once. Members and queries of a list meet in blocks, so that no task
 holds a list whole, and a block gives back counts and a spanning forest of its links, never the pairs. Centroids and codewords are
-fitted on at most SAMPLE classes; their number grows with the classes up to MOST_LISTS.
+fitted on a sample of classes, DRAWN for each list and SAMPLE at least; there is a list for every LIST_SIZE classes, MOST_LISTS at most.
 
 Defined cases: null, empty and zero vectors, and such as hold null or non-finite components, and all with a null label, link with nothing, as do
 vectors of different lengths; rows that share a vec_id count each; null ids are kept and link with nothing.
@@ -30,9 +30,9 @@ from arbora.llm.components import components, forest
 from arbora.session import persisted
 
 COSINE, PARTS, CODES = 0.93, 8, 256
-SAMPLE, MOST_LISTS, LIST_SIZE = 20_000, 1_024, 400
+SAMPLE, DRAWN, MOST_LISTS, LIST_SIZE = 20_000, 20, 4_096, 400
 #: Queries and members that meet in one block at most, on average.
-BLOCK = 1_024
+BLOCK = 2_048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -151,13 +151,14 @@ def _met(known, cosine: float):
 def links(spark: SparkSession, classes: DataFrame, cosine: float) -> DataFrame:
     """classes: vec_id, label, embedding (all of one length), copies. Returns vec_id, links, low in parts."""
     count = classes.count()
-    share = min(1.0, SAMPLE / max(1, count))
+    lists = int(np.clip(count // LIST_SIZE, 1, MOST_LISTS))
+    share = min(1.0, max(SAMPLE, DRAWN * lists) / max(1, count))
     drawn = classes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < share * 1_000_003).select("embedding").toArrow()["embedding"]
     if not len(drawn):
         drawn = classes.limit(1).select("embedding").toArrow()["embedding"]
-    index = Index.fit(_unit(_matrix(drawn)), int(np.clip(count // LIST_SIZE, 1, MOST_LISTS)))
+    index = Index.fit(_unit(_matrix(drawn)), lists)
     known = spark.sparkContext.broadcast(index)
-    coded = persisted(classes.mapInArrow(_coded(known, cosine), "vec_id bigint, label int, embedding array<float>, copies bigint, list int, codes binary, error double, tried array<int>"), "coded")
+    coded = persisted(classes.mapInArrow(_coded(known, cosine), f"vec_id bigint, label int, embedding {dict(classes.dtypes)['embedding']}, copies bigint, list int, codes binary, error double, tried array<int>"), "coded")
     asked = coded.select(*[F.col(c).alias(c) for c in ("vec_id", "label", "embedding", "copies", "list")], F.explode("tried").alias("at"))
     held = coded.groupBy("label", F.col("list").alias("at")).agg(F.count("*").alias("n"))
     asks = asked.groupBy("label", "at").agg(F.count("*").alias("k"))
@@ -172,23 +173,25 @@ def links(spark: SparkSession, classes: DataFrame, cosine: float) -> DataFrame:
 
 def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite, F.lit(False))
     exact = F.sha2(F.concat_ws(",", F.transform("embedding", lambda v: F.hex(F.when(v == 0, F.lit(0.0)).otherwise(v).cast("double").cast("string").cast("binary")))), 256)
     rows = persisted(rows.withColumn("usable", usable).withColumn("same", F.when(F.col("usable"), exact)), "vectors")
-    classes = persisted(rows.where("usable").groupBy("label", "same").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")), "classes")
-    heads = rows.where("usable").join(classes, ["label", "same"]).where("vec_id = head").dropDuplicates(["vec_id", "label", "same"]).select("vec_id", "label", "embedding", "copies")
-    heads = persisted(heads, "heads")
+    classes = persisted(rows.where("usable").groupBy("label", "same").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("label", "same")), "classes")
+    heads = rows.where("usable").join(classes, ["label", "same"]).where("vec_id = head").dropDuplicates(["label", "same"])
+    heads = persisted(heads.select(F.col("node").alias("vec_id"), "label", "embedding", "copies"), "heads")
     found = None
     for (size,) in heads.select(F.size("embedding").alias("size")).distinct().collect():
         part = persisted(links(spark, heads.where(F.size("embedding") == size), cosine), "met")
         found = part if found is None else found.unionAll(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    degree = found.groupBy(F.col("vec_id").alias("head")).agg(F.sum("links").alias("links"))
-    group = components(found.where("low <> vec_id").select(F.col("vec_id").alias("a"), F.col("low").alias("b")), "vectors").withColumnRenamed("node", "head")
-    told = classes.join(degree, "head", "left").join(group, "head", "left").select("label", "same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "head").alias("low"), F.lit(True).alias("usable"))
+    degree = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("links").alias("links"))
+    group = components(found.where("low <> vec_id").select(F.col("vec_id").alias("a"), F.col("low").alias("b")), "vectors")
+    told = classes.join(degree, "node", "left").join(group, "node", "left").select("label", "same", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component"), F.lit(True).alias("usable"))
+    told = told.join(told.groupBy("component").agg(F.min("head").alias("low")), "component").drop("head", "component")
     out = rows.join(told, ["usable", "label", "same"], "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"), F.coalesce(F.col("low") == F.col("vec_id"), F.lit(True)).alias("kept"))
 

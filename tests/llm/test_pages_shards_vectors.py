@@ -143,3 +143,27 @@ def test_time_follows_the_length_of_a_page(bad):
     began = time.process_time()
     boilerplate.main_text(bad * (500_000 // len(bad)))
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("hot", [1.0, 0.1])
+def test_recall_where_few_lists_are_probed(hot):
+    """80 lists, of which a vector probes a part; codes of members rule out none of the partners."""
+    draw = np.random.default_rng(12)
+    x = embeddings._unit(draw.normal(size=(120, 24))[draw.integers(120, size=4000)] + hot * 0.3 * draw.normal(size=(4000, 24)))
+    index, reach = embeddings.Index.fit(x, 80), np.sqrt(2 - 2 * embeddings.COSINE)
+    at, codes, error = index.coded(x)
+    row, lists = index.probes(x, at, reach)
+    assert len(row) < 0.7 * 80 * len(x)
+    found, near = 0, (x @ x.T >= embeddings.COSINE) & ~np.eye(len(x), dtype=bool)
+    for k in range(80):
+        asks, holds = row[lists == k], np.flatnonzero(at == k)
+        close = index.distances(x[asks], k, codes[holds]) <= reach + error[holds] + 1e-6
+        found += (close & near[np.ix_(asks, holds)]).sum()
+    assert found == near.sum() > 0
+
+
+def test_doubles_repeated_ids_and_other_columns(spark):
+    rows = [(1, [1e39, 0.0], 0, "x", 1), (2, [2e39, 1e37], 0, "y", 2), (2, [0.0, 1.0], 0, "z", 3), (3, [0.1, 5.0], 0, None, None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label bigint, same string, copies int")
+    got = sorted((r.vec_id, r.n_links) for r in embeddings.near_vectors(spark, df).collect())
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 1)]
