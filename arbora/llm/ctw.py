@@ -9,8 +9,8 @@ top-down, with the counts frozen, these give the weight of each depth along a co
 training texts lack ends the mixture at its longest suffix that they have, so a decision's two chances always add up to 1.
 
 A byte's chance depends on its context and itself only, which together are a gram. So counts go from texts to distinct grams, summed
-within tasks first, from these to tree nodes level by level, and scores come back the same way, all by
-joins on keys. The grams (and words, for the base) that occur most are looked up in a broadcast table of at most HELD entries; all
+within tasks first, from these to tree nodes, and scores come back the same way: in tasks of whole contexts below depth SPLIT, and by
+joins level by level above it. The grams (and words, for the base) that occur most are looked up in a broadcast table of at most HELD entries; all
 others are joined.
 
 Words are known by a 64-bit hash. Defined cases: a null text is empty, that is one end token; rows with a null doc_id
@@ -32,6 +32,8 @@ from arbora.llm import textops as T
 from arbora.session import persisted
 
 DEPTH = 6
+#: Depth of the contexts below which a task works out all.
+SPLIT = 4
 HELD = 2_000_000
 #: Distinct grams that a task sums up before it hands them on.
 SUMMED = 3_000_000
@@ -127,51 +129,131 @@ def _counted(depth: int):
     return run
 
 
-def _log_gamma(z: Column) -> Column:
-    """Stirling's series six places up, brought back down."""
+def log_gamma(z, log=np.log):
+    """Stirling's series six places up, brought back down; of columns with F.log."""
     y = z + 6
     low = reduce(lambda p, k: p * (z + k), range(1, 6), z)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(low)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * y * y * y * y * y * y * y) - log(low)
+
+
+def estimated(a, b, log=np.log):
+    """Log of the KT estimate of a zeros and b ones."""
+    return log_gamma(a + 0.5, log) + log_gamma(b + 0.5, log) - log_gamma(a + b + 1, log) - math.log(math.pi)
+
+
+def _mask(d: int) -> int:
+    return (1 << 8 * (d + 1)) - 1
+
+
+class Subtrees:
+    """The nodes from depth `split` down of all contexts that are suffixed by some of that depth, of all these contexts' grams.
+
+    A node is context << 8 | bits so far (after a leading 1).
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, split: int, depth: int):
+        """gram: distinct."""
+        t = np.arange(8)
+        byte = (gram & 255)[:, None]
+        path = ((gram >> 8) << 8)[:, None] | (1 << t) | (byte >> (8 - t))
+        self.bit = (byte >> (7 - t)) & 1
+        node, self.at = np.unique(path.ravel(), return_inverse=True)
+        n, bit = np.repeat(n, 8).astype(float), self.bit.ravel()
+        a, b = (np.bincount(self.at, weights=n * (bit == k), minlength=len(node)) for k in (0, 1))
+        weighted = estimated(a, b)
+        # By depth, the deepest first: zeros, ones, share of the own estimate, and which node of the next depth stands above.
+        self.levels, share = [], np.ones(len(node))
+        for d in range(depth - 1, split - 1, -1):
+            node, up = np.unique(node & _mask(d), return_inverse=True)
+            self.levels.append((a, b, share, up))
+            a, b, below = (np.bincount(up, weights=x, minlength=len(node)) for x in (a, b, weighted))
+            own = estimated(a, b)
+            weighted = math.log(0.5) + np.logaddexp(own, below)
+            share = np.exp(math.log(0.5) + own - weighted)
+        self.node, self.a, self.b, self.weighted = node, a, b, weighted
+
+    def chances(self, mixed: np.ndarray, left: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """log10 of each gram's chance, given what the nodes of depth `split` have."""
+        for a, b, share, up in reversed(self.levels):
+            kt = (b + 0.5) / (a + b + 1)
+            mixed, left, one = mixed[up], left[up], one[up]
+            one = np.where(a + b > 0, mixed + left * kt, one)
+            mixed, left = mixed + left * share * kt, left * (1 - share)
+        one = one[self.at].reshape(self.bit.shape)
+        return np.log10(np.where(self.bit == 1, one, 1 - one)).sum(1)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[pa.Table]:
+    """Rows in order of `context`: tables of whole contexts, of `least` rows or more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            table = pa.Table.from_batches(held).combine_chunks()
+            context = table["context"].to_numpy()
+            cut = int(np.searchsorted(context, context[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _up(split: int, depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches):
+            t = Subtrees(table["key"].to_numpy(), table["n"].to_numpy(), split, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t.node, t.a, t.b, t.weighted)], names=["node", "a", "b", "weighted"])
 
+    return run
 
-def _decisions(grams: DataFrame) -> DataFrame:
-    """Each gram's eight decisions: node = context << 8 | bits so far (after a leading 1), and the bit."""
-    rows = grams.select("*", F.explode(F.array(*[F.lit(k) for k in range(8)])).alias("t"))
-    so_far = F.expr("shiftleft(1L, t) | shiftright(gram & 255, 8 - t)")
-    return rows.select("gram", "n", F.shiftleft(F.shiftright("gram", 8), 8).bitwiseOR(so_far).alias("node"), F.expr("cast(shiftright(gram & 255, 7 - t) & 1 as int)").alias("bit"))
 
+def _down(split: int, depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches):
+            top = table["n"].is_null().to_numpy()
+            key, n = table["key"].to_numpy()[~top], table["n"].drop_null().to_numpy()
+            t = Subtrees(key, n, split, depth)
+            order = np.argsort(table["key"].to_numpy()[top])  # the nodes of Subtrees are in order, too
+            chance = t.chances(*(table[c].to_numpy()[top][order] for c in ("mixed", "left", "one")))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(chance)], names=["gram", "n", "chance"])
 
-def byte_chances(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """grams: gram, n. Returns gram, n, chance: log10 of the byte's probability after its context."""
-    zeros, ones = (F.sum(F.when(F.col("bit") == k, F.col("n")).otherwise(0)).cast("double") for k in (0, 1))
-    leaves = persisted(_decisions(grams).groupBy("node").agg(zeros.alias("a"), ones.alias("b")), "leaves")
-    a, b = F.col("a"), F.col("b")
-    own = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
-    kt = (b + 0.5) / (a + b + 1)
+    return run
 
-    def mask(d: int) -> int:
-        return (1 << 8 * (d + 1)) - 1
 
-    levels: list[DataFrame] = []
-    for d in range(depth, -1, -1):
-        if levels:
-            here = levels[-1].groupBy(F.col("node").bitwiseAND(mask(d)).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
-        else:
-            here = leaves.select("node", "a", "b", F.lit(None).cast("double").alias("below"))
-        both = math.log(0.5) + F.greatest("own", "below") + F.log1p(F.exp(F.least("own", "below") - F.greatest("own", "below")))
-        here = here.withColumn("own", own).withColumn("weighted", F.when(F.col("below").isNull(), F.col("own")).otherwise(both))
-        levels.append(persisted(here.withColumn("share", F.when(F.col("below").isNull(), 1.0).otherwise(F.exp(math.log(0.5) + F.col("own") - F.col("weighted")))).select("node", "a", "b", "weighted", "share"), f"level{d}"))
+def byte_chances(grams: DataFrame, depth: int = DEPTH, split: int = SPLIT) -> DataFrame:
+    """grams: gram, n; distinct. Returns gram, n, chance: log10 of the byte's probability after its context.
+
+    What lies deeper than `split` is worked out in tasks of whole contexts of that depth, twice: up to their root, and down
+    again once these have been brought together up to depth 0 and down by joins.
+    """
+    split = min(split, depth)
+    context = F.shiftright("gram", 8).bitwiseAND(_mask(split - 1))
+    rows = grams.select(context.alias("context"), F.col("gram").alias("key"), "n")
+    a, b = F.col("a"), F.col("b")
+    kt = (b + 0.5) / (a + b + 1)
+    last = rows.repartition("context").sortWithinPartitions("context").mapInArrow(_up(split, depth), "node bigint, a double, b double, weighted double")
+    share = F.lit(1.0) if split == depth else F.exp(math.log(0.5) + estimated(a, b, F.log) - F.col("weighted"))
+    levels = [persisted(last.withColumn("share", share), f"level{split}")]
+    for d in range(split - 1, -1, -1):
+        here = levels[-1].groupBy(F.col("node").bitwiseAND(_mask(d)).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
+        here = here.withColumn("own", estimated(a, b, F.log))
+        low, high = F.least("own", "below"), F.greatest("own", "below")
+        here = here.withColumn("weighted", math.log(0.5) + high + F.log1p(F.exp(low - high)))
+        levels.append(persisted(here.select("node", "a", "b", "weighted", F.exp(math.log(0.5) + F.col("own") - F.col("weighted")).alias("share")), f"level{d}"))
     upper = None
     for d, here in enumerate(reversed(levels)):
         if upper is None:
             here = here.select("*", F.lit(0.0).alias("mixed"), F.lit(1.0).alias("left"), F.lit(0.5).alias("upper"))
         else:
-            here = here.join(upper, here["node"].bitwiseAND(mask(d - 1)) == upper["above"]).drop("above")
-        here = here.withColumn("one", F.when(a + b > 0, F.col("mixed") + F.col("left") * kt).otherwise(F.col("upper")))
-        here = persisted(here.select("node", "one", (F.col("mixed") + F.col("left") * F.col("share") * kt).alias("mixed"), (F.col("left") * (1 - F.col("share"))).alias("left")), f"down{d}")
+            here = here.join(upper, here["node"].bitwiseAND(_mask(d - 1)) == upper["above"]).drop("above")
+        one = F.when(a + b > 0, F.col("mixed") + F.col("left") * kt).otherwise(F.col("upper"))
+        here = persisted(here.select("node", one.alias("one"), (F.col("mixed") + F.col("left") * F.col("share") * kt).alias("mixed"), (F.col("left") * (1 - F.col("share"))).alias("left")), f"down{d}")
         upper = here.select(F.col("node").alias("above"), "mixed", "left", F.col("one").alias("upper"))
-    told = _decisions(grams).join(here.select("node", "one"), "node")
-    return told.groupBy("gram").agg(F.max("n").alias("n"), F.sum(F.log10(F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one")))).alias("chance"))
+    nothing = F.lit(None).cast("double")
+    top = here.select(F.shiftright("node", 8).alias("context"), F.col("node").alias("key"), F.lit(None).cast("bigint").alias("n"), "mixed", "left", "one")
+    both = rows.select("*", nothing.alias("mixed"), nothing.alias("left"), nothing.alias("one")).unionByName(top)
+    return both.repartition("context").sortWithinPartitions("context").mapInArrow(_down(split, depth), "gram bigint, n bigint, chance double")
 
 
 def _most(df: DataFrame, held: int) -> tuple[DataFrame, bool]:

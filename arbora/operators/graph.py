@@ -98,11 +98,16 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
 def ancestors(dag: Dag) -> DataFrame:
     """dag_id, node_id, ancestor_id, distance: the closure of the parent relation of trees, each node its own ancestor at 0.
 
-    Distances double with each round, so a tree of depth d takes log2(d) rounds.
+    Distances double with each round, so a tree of depth d takes log2(d) rounds. Raises ValueError if there is a cycle: a path longer
+    than there are nodes.
     """
+    nodes, reach = dag.nodes.count(), 1
     hop = persisted(dag.edges.select("dag_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("up"), F.lit(1).alias("d")), "hop")
     closure = dag.nodes.select(*KEY, F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance"))
     while hop.take(1):
+        if reach > nodes:
+            raise ValueError("no ancestors on a cycle")
+        reach *= 2
         further = closure.join(hop.withColumnRenamed("node_id", "ancestor_id"), ["dag_id", "ancestor_id"]).select("dag_id", "node_id", F.col("up").alias("ancestor_id"), (F.col("distance") + F.col("d")).alias("distance"))
         closure = persisted(closure.unionByName(further), "closure")
         twice = hop.select("dag_id", F.col("node_id").alias("low"), F.col("up").alias("node_id"), F.col("d").alias("e"))

@@ -49,8 +49,7 @@ def write(dag: Dag, path: str, kind: str | None = None, append: bool = False) ->
     if kind == "parquet":
         (append_tables if append else write_tables)(dag, path)
     elif kind in ("dag-pb", "tree-pb"):
-        content = protobuf.encode_dags(dag) if kind == "dag-pb" else protobuf.encode_trees(dag)
-        content.write.mode("overwrite").parquet(path)
+        protobuf.write(protobuf.encode_dags(dag) if kind == "dag-pb" else protobuf.encode_trees(dag), path)
     else:
         raise ValueError(f"{kind} is not written")
 

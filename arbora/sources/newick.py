@@ -14,7 +14,10 @@ TOKEN = re.compile(r"\s*(?:([(),;])|'((?:[^']|'')*)'|(\[[^\]]*\])|([^\s(),;:\[\]
 
 
 def parse(text: str) -> Iterator[tuple[int, int | None, int, str, float | None]]:
-    """(node, parent, clade, label, length) of each node; ids in postorder, the root's parent is None. Numbers may have signs and exponents."""
+    """(node, parent, clade, label, length) of each node; ids in postorder, the root's parent is None. Numbers may have signs and exponents.
+
+    The end mark may be missing. Raises ValueError at what is no Newick: a character out of place, brackets that don't match, a second tree.
+    """
     ids = 0
     children: list[list[int]] = [[]]  # of the open nodes
     label: dict[int, str] = {}
@@ -35,18 +38,30 @@ def parse(text: str) -> Iterator[tuple[int, int | None, int, str, float | None]]
         children[-1].append(node)
         name, size = "", None
 
-    at = 0
-    while at < len(text) and (m := TOKEN.match(text, at)):
-        at = m.end()
+    def wrong(what: str) -> ValueError:
+        return ValueError(f"Newick: {what} at character {at} of {text[:60]!r}")
+
+    at, end = 0, len(text.rstrip())
+    while at < end:
+        if not (m := TOKEN.match(text, at)):
+            raise wrong("unexpected text")
         mark, quoted, _, plain, number = m.groups()
         if mark == "(":
+            if name or waiting is not None or size is not None:
+                raise wrong("a bracket behind a node")
             children.append([])
         elif mark == ",":
+            if len(children) == 1:
+                raise wrong("a second root")
             close()
         elif mark == ")":
+            if len(children) == 1:
+                raise wrong("a bracket that was not opened")
             close()
             waiting = children.pop()
         elif mark == ";":
+            if m.end() < end:
+                raise wrong("text behind the end")
             break
         elif quoted is not None:
             name = quoted.replace("''", "'")
@@ -54,6 +69,9 @@ def parse(text: str) -> Iterator[tuple[int, int | None, int, str, float | None]]
             name = plain
         elif number is not None:
             size = float(number[1:])
+        at = m.end()
+    if len(children) > 1:
+        raise wrong("a bracket that was not closed")
     if name or waiting or not ids:
         close()
     for node in range(ids):

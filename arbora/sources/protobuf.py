@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -179,11 +180,27 @@ def decode_tree(dag_id: str, data: bytes) -> Iterator[tuple]:
                 yield _rows("mutation", dag_id, i, pos=p, par=x, mut=y)
 
 
+#: Stands behind each written message: its field 15, empty, which readers pass over. Spark's text writer ends every row, and this end is valid.
+NOTHING = "z\u0000"
+
+
+def write(messages: DataFrame, path: str) -> None:
+    """messages: dag_id, content. A folder for each DAG with one file, which holds its message."""
+    rows = messages.select("dag_id", F.col("content").cast("string").alias("value"))
+    rows.write.partitionBy("dag_id").option("lineSep", NOTHING).mode("overwrite").text(path)
+
+
+def _named(path: str) -> str:
+    """A DAG's id: that of its folder, if it was written by write(), else the file's name."""
+    *_, folder, name = ["", *path.split("/")]
+    return unquote(unquote(folder[7:])) if folder.startswith("dag_id=") else name
+
+
 def _read(spark: SparkSession, path: str, decode) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                out = pd.DataFrame(list(decode(name.rsplit("/", 1)[-1], content)), columns=["kind", "dag_id", "a", "b", "c", "pos", "par", "mut", "text"])
+                out = pd.DataFrame(list(decode(_named(name), content)), columns=["kind", "dag_id", "a", "b", "c", "pos", "par", "mut", "text"])
                 for c in ("a", "b", "c", "pos"):
                     out[c] = out[c].astype("Int64")
                 yield out

@@ -148,17 +148,18 @@ class Tree:
         return total
 
 
-@pytest.mark.parametrize("held", [250_000, 3])
-def test_ctw_agrees_with_the_tree(spark, held):
+@pytest.mark.parametrize("held, depth, split", [(250_000, 3, 4), (3, 3, 1), (3, 5, 2), (10, 6, 4)])
+def test_ctw_agrees_with_the_tree(spark, held, depth, split, monkeypatch):
+    monkeypatch.setattr(ctw.byte_chances, "__defaults__", (ctw.DEPTH, split))
     texts = [(1, "the cat the hat"), (2, "The  cat\n"), (3, "a caté xyz"), (4, None), (5, ""), (6, "the unseen caté cat"), (None, "other"), (7, "caté")]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
-    got = {r.doc_id: r for r in ctw.score_documents(spark, docs, F.col("doc_id") <= 5, depth=3, held=held).collect()}
+    got = {r.doc_id: r for r in ctw.score_documents(spark, docs, F.col("doc_id") <= 5, depth=depth, held=held).collect()}
     token = lambda s: [*bytes(T.LOWER[np.frombuffer((s or "").encode(), np.uint8)]).split(), None]
     counts: dict = defaultdict(int)
     for i, t in texts[:5]:
         for w in token(t):
             counts[w] += 1
-    tree, total, kinds = Tree([token(t)[:-1] for _, t in texts[:5]], 3), sum(counts.values()), len(counts)
+    tree, total, kinds = Tree([token(t)[:-1] for _, t in texts[:5]], depth), sum(counts.values()), len(counts)
     for i, t in texts:
         w = token(t)
         r = got[i]

@@ -102,3 +102,46 @@ def test_stream_of_trees(spark, tmp_path):
     sink.start(stream, str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     dag = read_version(spark, str(tmp_path / "out"), 1, "AA")
     assert W.at_root(dag, W.tree_counts(dag)).first()["weight"] == 3
+
+
+@pytest.mark.parametrize("kind", ["dag-pb", "tree-pb"])
+def test_protobuf_files_come_back(spark, dag, tmp_path, kind):
+    """Through write() and read(): each file is one message, also for other readers."""
+    path = str(tmp_path / f"x.{kind}")
+    two = dag.replace(*(df.unionByName(df.withColumn("dag_id", F.lit("b/2 %41"))) for df in (dag.nodes, dag.edges))).persisted("two")
+    files.write(two, path)
+    back = files.read(spark, path, reference="GAA")
+    assert {r.dag_id for r in back.nodes.select("dag_id").distinct().collect()} == {r.dag_id for r in two.nodes.select("dag_id").distinct().collect()}
+    for name in ("b/2 %41", two.nodes.where("dag_id <> 'b/2 %41'").first().dag_id):
+        one = lambda d: d.replace(d.nodes.where(F.col("dag_id") == name), d.edges.where(F.col("dag_id") == name))  # noqa: B023, E731
+        assert M.same(one(two), one(back)).count() == 0
+    contents = spark.read.format("binaryFile").load(path).collect()
+    assert len(contents) == 2 and all(bytes(r.content).endswith(b"z\0") for r in contents)
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Each batch has a sink of its own, and one is run twice; a stream with a new checkpoint follows the last version."""
+    from arbora.streaming.trees import MergedStream, next_version, read_version
+
+    samples = spark.createDataFrame([("a", "AC"), ("b", "AT"), ("c", "GC"), ("d", "GT")], "sample_id string, sequence string")
+    path = str(tmp_path / "out")
+    assert next_version(spark, path) == 0
+    batches = [spark.createDataFrame([(f"t{k}", text)], "dag_id string, newick string") for k, text in enumerate(["((a,b),(c,d));", "((a,c),(b,d));", "((a,d),(b,c));"])]
+    for n, first in ((0, 0), (1, 0), (1, 0)):
+        MergedStream(spark, path, samples, "AA", first)(batches[n], n)
+    assert next_version(spark, path) == 2
+    MergedStream(spark, path, samples, "AA", next_version(spark, path))(batches[2], 0)
+    trees = [W.at_root(d, W.tree_counts(d)).first()["weight"] for d in (read_version(spark, path, v, "AA") for v in range(3))]
+    assert trees == sorted(trees) and len(set(trees)) == 3
+
+
+@pytest.mark.parametrize("text", ["((a,b)x],(c,d));", "((a,b)", "(a,b));", "a,b;", "(a,b); (c,d);", "(a,b)c(d,e);", "(a[,b);"])
+def test_no_newick(text):
+    with pytest.raises(ValueError, match="Newick"):
+        list(newick.parse(text))
+
+
+def test_cycles_have_no_ancestors(spark, dag):
+    edges = dag.edges.unionByName(dag.edges.where("child_id = 7").select("dag_id", F.lit(99).cast("bigint").alias("edge_id"), F.lit(1).cast("bigint").alias("parent_id"), F.lit(8).cast("bigint").alias("child_id"), F.lit(0).alias("clade")))
+    with pytest.raises(ValueError, match="cycle"):
+        graph.ancestors(dag.replace(edges=edges))
