@@ -21,10 +21,9 @@ def test_stages_take_effect(spark, tmp_path):
 
 
 def test_stages_take_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
-    """Each stage by itself; the session's batch size is as it was."""
+    """Each stage by itself; after run() the session's batch size is as it was."""
     import corpus_pipeline as pipeline
 
-    before = spark.conf.get(pipeline.ROWS)
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in pipeline.STAGES:
@@ -32,7 +31,10 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
         assert kept.count() == odd.count() - {"near_duplicates": 2, "repeated_passages": 1}.get(name, 0), name
         assert stage(spark, none, str(tmp_path)).count() == 0
         assert name == "byte_bpe" or kept.columns == odd.columns
-    assert spark.conf.get(pipeline.ROWS) == before
+    spark.conf.set(pipeline.ROWS, "777")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == [] and spark.conf.get(pipeline.ROWS) == "777"
+    spark.conf.unset(pipeline.ROWS)
 
 
 def test_every_operator_is_registered():
