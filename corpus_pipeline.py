@@ -23,7 +23,7 @@ ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def staged(stage):
-    """The stage, whose result is written, in batches that fit its documents; the session's own setting is put back.
+    """The stage, with batches that fit its documents: it lowers the session's setting where that is higher. run() puts it back.
 
     Of every stage: null and empty texts, repeated rows, rows with a null doc_id, very long texts and further columns of any name go through as
     its operator says; an empty table stays one.
@@ -31,14 +31,11 @@ def staged(stage):
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship(spark)
-        before = spark.conf.get(ROWS)
         size = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
-        spark.conf.set(ROWS, str(max(16, min(BATCH, int(before) if int(before) > 0 else BATCH, int(BATCH_BYTES / size)))))
-        try:
-            return persisted(stage(spark, docs, sf_dir), f"stage-{stage.__name__}")
-        finally:
-            spark.conf.set(ROWS, before)
+        most, now = max(16, min(BATCH, int(BATCH_BYTES / size))), int(spark.conf.get(ROWS))
+        if now <= 0 or now > most:
+            spark.conf.set(ROWS, str(most))
+        return stage(ship(spark), docs, sf_dir)
 
     return run
 
@@ -90,10 +87,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    before = spark.conf.get(ROWS)
+    try:
+        docs = load(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = persisted(stage(spark, docs, sf_dir), f"stage-{name}")
+        return docs
+    finally:
+        spark.conf.set(ROWS, before)
 
 
 if __name__ == "__main__":
