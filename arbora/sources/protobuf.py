@@ -193,7 +193,7 @@ def write(messages: DataFrame, path: str) -> None:
 def _named(path: str) -> str:
     """A DAG's id: that of its folder, if it was written by write(), else the file's name."""
     *_, folder, name = ["", *path.split("/")]
-    return unquote(unquote(folder[7:])) if folder.startswith("dag_id=") else name
+    return unquote(folder[7:]) if folder.startswith("dag_id=") else name
 
 
 def _read(spark: SparkSession, path: str, decode) -> DataFrame:
