@@ -2,9 +2,10 @@
 
 Vectors are compared by cosine, so by their unit vectors x. Coarse centroids deal all vectors into inverted lists; the residual
 to the list's centroid is coded by its nearest codeword in each of PARTS subspaces. A pair at cosine c is
-sqrt(2 - 2c) apart, and a list's members lie on its side of the plane midway between its centroid and any other, so
-a vector probes every list but those whose plane to its own list is further away than that: no link is missed, and each
-is met from both sides. A table of the vector's residual's distances to all codewords gives its distance to every
+sqrt(2 - 2c) apart, and a list's members lie on its side of the plane midway between its centroid and any other. Across
+a plane a partner lies some part of the way: for any direction in D dimensions 1 / sqrt(D) of it is one standard deviation. So a
+vector probes every list whose plane to its own is within SPREAD of these, at most the whole way; both vectors of a pair probe for it. (Measured
+on vectors of 24 to 64 components in the tests: no link missed.) A table of the vector's residual's distances to all codewords gives its distance to every
 coded member. A member further away than a link can be and its own coding error, which is kept with it, cannot be a
 link; the others are computed again from the vectors, in double precision.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from arbora.llm.components import components, forest
 from arbora.session import persisted
 
-COSINE, PARTS, CODES = 0.93, 8, 256
+COSINE, PARTS, CODES, SPREAD = 0.93, 8, 256, 3.5
 SAMPLE, DRAWN, MOST_LISTS, LIST_SIZE = 20_000, 20, 4_096, 400
 #: Queries and members that meet in one block at most, on average.
 BLOCK = 2_048
@@ -78,7 +79,8 @@ class Index:
         return at, codes, np.sqrt(((rest - near) ** 2).sum(1))
 
     def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row of x, list) of every list that can hold a vector at most `reach` away from x, whose own list is `at`; rows in order."""
+        """(row of x, list) of the lists that may hold a vector at most `reach` away from x, whose own list is `at`; rows in order."""
+        reach *= min(1.0, SPREAD / np.sqrt(x.shape[1]))
         d = squared(x, self.lists)
         apart = np.sqrt(squared(self.lists, self.lists))
         own = np.take_along_axis(d, at[:, None], 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arbora.model import Dag
 from arbora.operators import graph
-from arbora.operators.weights import WeightOps, optimal_edges, optimal_tree_counts, tree_counts
+from arbora.operators.weights import WeightOps, log_tree_counts, optimal_edges
 from arbora.session import persisted
 
 KEY = graph.KEY
@@ -21,11 +21,11 @@ def uniform_draw(seed: int, *columns: str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) + 0.5) / (1 << 52)
 
 
-def _chosen(edges: DataFrame, seed: int, weight: Column | None = None) -> DataFrame:
-    """One edge of each clade, with a chance in proportion to weight: the one whose exponential waiting time is least."""
-    wait = -F.log(uniform_draw(seed, "dag_id", "edge_id"))
-    if weight is not None:
-        wait = wait / weight.cast("double")
+def _chosen(edges: DataFrame, seed: int, log_weight: Column | None = None) -> DataFrame:
+    """One edge of each clade, with a chance in proportion to its weight: the one whose exponential waiting time, here its logarithm, is least."""
+    wait = F.log(-F.log(uniform_draw(seed, "dag_id", "edge_id")))
+    if log_weight is not None:
+        wait = wait - log_weight
     best = edges.withColumn("_wait", F.struct(wait.alias("w"), F.col("edge_id").alias("e")))
     first = best.groupBy("dag_id", "parent_id", "clade").agg(F.min("_wait").alias("_first"))
     return best.join(first, ["dag_id", "parent_id", "clade"]).where("_wait = _first").drop("_wait", "_first")
@@ -45,7 +45,7 @@ def sample_tree(dag: Dag, seed: int, start: DataFrame | None = None) -> Dag:
 
 def uniform_sample_tree(dag: Dag, seed: int, start: DataFrame | None = None) -> Dag:
     """Uniform over trees: an edge's chance is in proportion to the trees below its child."""
-    n = tree_counts(dag).select("dag_id", F.col("node_id").alias("child_id"), "weight")
+    n = log_tree_counts(dag).select("dag_id", F.col("node_id").alias("child_id"), "weight")
     return _sampled(dag, _chosen(dag.edges.join(n, ["dag_id", "child_id"]), seed, F.col("weight")), start)
 
 
@@ -56,8 +56,9 @@ def best_sample_tree(dag: Dag, edge_weights: DataFrame, seed: int, ops: WeightOp
 
 def best_uniform_sample_tree(dag: Dag, edge_weights: DataFrame, seed: int, ops: WeightOps | None = None, start: DataFrame | None = None) -> Dag:
     """Uniform over the optimal trees."""
-    n = optimal_tree_counts(dag, edge_weights, ops).select("dag_id", F.col("node_id").alias("child_id"), "weight")
-    kept = optimal_edges(dag, edge_weights, ops).join(n, ["dag_id", "child_id"])
+    best = persisted(optimal_edges(dag, edge_weights, ops), "optimal")
+    n = log_tree_counts(dag.replace(edges=best)).select("dag_id", F.col("node_id").alias("child_id"), "weight")
+    kept = best.join(n, ["dag_id", "child_id"])
     return _sampled(dag, _chosen(kept, seed, F.col("weight")), start)
 
 

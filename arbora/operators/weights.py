@@ -41,6 +41,53 @@ def _product(w: pd.Series) -> str:
     return str(out)
 
 
+def _least(w: pd.Series) -> str:
+    return str(min(map(int, w)))
+
+
+def _most(w: pd.Series) -> str:
+    return str(max(map(int, w)))
+
+
+def _times(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([str(int(x) * int(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+def _over(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([str(int(x) // int(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+def _plus(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([str(int(x) + int(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+def big_min(w: Column) -> Column:
+    return F.pandas_udf(_least, "string")(w)
+
+
+def big_max(w: Column) -> Column:
+    return F.pandas_udf(_most, "string")(w)
+
+
+def big_times(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_times, "string")(a, b)
+
+
+def big_over(a: Column, b: Column) -> Column:
+    """The whole part of a / b, of numbers that are not negative."""
+    return F.pandas_udf(_over, "string")(a, b)
+
+
+def big_plus(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_plus, "string")(a, b)
+
+
+def log_sum(w: Column) -> Column:
+    """Logarithm of the sum of what w has logarithms of; for the alternatives of a clade."""
+    all_ = F.collect_list(w)
+    return F.array_max(all_) + F.log(F.aggregate(all_, F.lit(0.0), lambda t, x: t + F.exp(x - F.array_max(all_))))
+
+
 def big_sum(w: Column) -> Column:
     """Exact sum of whole numbers of any size, carried as text."""
     return F.pandas_udf(_sum, "string")(w)
@@ -159,6 +206,11 @@ def tree_counts(dag: Dag, exact: bool = False, heights: DataFrame | None = None)
     return fold(dag, F.lit(1).cast(COUNT), lambda w: F.sum(w).cast(COUNT), product, heights=heights)
 
 
+def log_tree_counts(dag: Dag, heights: DataFrame | None = None) -> DataFrame:
+    """dag_id, node_id, weight: the natural logarithm of the number of trees below each node, however many they are."""
+    return fold(dag, F.lit(0.0), log_sum, F.sum, heights=heights)
+
+
 def optimal_tree_counts(dag: Dag, edge_weights: DataFrame, ops: WeightOps | None = None, exact: bool = False) -> DataFrame:
     """dag_id, node_id, weight: how many best trees are below each node."""
     return tree_counts(dag.replace(edges=persisted(optimal_edges(dag, edge_weights, ops), "optimal")), exact)

@@ -19,9 +19,9 @@ def whole(spark, name):
 def test_histogram_and_info_hold_all_trees(spark):
     c = catalog.Case(spark, TINY)
     low, high = (c.root(W.optimum(c.dag, c.parsimony, W.parsimony(f), c.heights)).first()["weight"] for f in (F.min, F.max))
-    h = {r.parsimony: int(r.trees) for r in whole(spark, "parsimony_histogram_all")}
+    h = {r.parsimony: int(r.trees) for r in whole(spark, "parsimony_histogram")}
     assert sum(h.values()) == c.n_trees() and (min(h), max(h)) == (low, high)
-    (i,) = whole(spark, "dag_info_all")
+    (i,) = whole(spark, "dag_info")
     assert (int(i.trees), i.least, int(i.n_least), i.most, int(i.n_most)) == (c.n_trees(), low, h[low], high, h[high])
 
 
@@ -30,10 +30,10 @@ def test_leaves_below_and_calls_of_all_rows(spark):
     groups = [[r.c_custkey for r in rows if r.c_nationkey == n] for n in {r.c_nationkey for r in rows}]
     everyone = [r.c_custkey for r in rows]
     want = [everyone, everyone, *[g for g in groups if len(g) > 1], *[[k] for k in everyone]]
-    assert sorted((r.n, r.leaves) for r in whole(spark, "leaves_below_all")) == sorted((len(g), ",".join(sorted(map(str, g)))) for g in want)
+    assert sorted((r.n, r.leaves) for r in whole(spark, "leaves_below")) == sorted((len(g), ",".join(sorted(map(str, g)))) for g in want)
     parts = [r.p_partkey for r in spark.read.parquet(f"{TINY}/part.parquet").select("p_partkey").collect()]
     calls = [(f"S{i}", k, "N" if k * i % 4 == 3 else "ACGT"[(k + k * i % 4 % 3) % 4]) for k in parts for i in range(1, 6) if k * i % 4]
-    assert sorted((r.sample_id, r.pos, r.base) for r in whole(spark, "vcf_unpivot_all")) == sorted(calls) and max(parts) > 60
+    assert sorted((r.sample_id, r.pos, r.base) for r in whole(spark, "vcf_unpivot")) == sorted(calls) and max(parts) > 60
 
 
 def test_changed_path_scores_as_the_moved_trees(spark):
