@@ -36,7 +36,7 @@ DEPTH = 6
 SPLIT = 4
 HELD = 2_000_000
 #: Distinct grams that a task sums up before it hands them on.
-SUMMED = 3_000_000
+SUMMED = 2_000_000
 SPACE, END = 0x20, 0x0A
 #: Texts that are coded together: their number has a byte beside a gram of 7 bytes.
 TEXTS = 256
@@ -183,7 +183,7 @@ class Subtrees:
         return np.log10(np.where(self.bit == 1, one, 1 - one)).sum(1)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[pa.Table]:
+def _grouped(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[pa.Table]:
     """Rows in order of `context`: tables of whole contexts, of `least` rows or more."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -279,7 +279,9 @@ def _table(df: DataFrame, key: str, *values: str) -> tuple[np.ndarray, ...]:
 def _scored(known_words, known_grams, depth: int):
     def looked_up(key: np.ndarray, row: np.ndarray, rows: int, table: np.ndarray, values: list[np.ndarray]):
         """Sums of the values over each row's known keys; and the unknown ones, with how often each occurs, as lists."""
-        i, found = T.member(key, table)
+        own, at = np.unique(key, return_inverse=True)
+        i, known = T.member(own, table)
+        i, found = i[at], known[at]
         sums = [np.bincount(row[found], weights=v[i[found]], minlength=rows).astype(float) for v in values]
         rest, owner = key[~found], row[~found]
         order = np.lexsort((rest, owner))
