@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +53,21 @@ def softmax(logits: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def fivemer_rates(sites: DataFrame, model: DataFrame, bias: float = 0.0) -> DataFrame:
-    """sites: key columns, site, kmer, base (code). model: kmer, log_rate, logits (4). Adds rate and csp (chances of the substitutions).
+def masked_chances(sites: DataFrame, log_rate: Column, logits: Column, bias: float = 0.0) -> DataFrame:
+    """Adds rate and csp (chances of the substitutions) to sites: base (code) and, if there is one, mask (0 or 1; else 0 where the base is N).
 
-    bias: a log factor on all rates.
+    Where the mask is 0 the rate is 1 and the chances are even, but for the base itself, which no site turns into. bias: a log factor on all rates.
     """
-    met = sites.join(F.broadcast(model), "kmer", "left")
-    logits = F.zip_with(F.coalesce("logits", F.array(*[F.lit(0.0)] * 4)), wild_type_mask(F.col("base")), lambda x, m: x + m)
-    return met.withColumn("rate", F.exp(F.coalesce("log_rate", F.lit(0.0)) + bias)).withColumn("csp", softmax(logits)).drop("log_rate", "logits")
+    mask = F.col("mask").cast("double") if "mask" in sites.columns else (F.col("base") < 4).cast("double")
+    offered = F.zip_with(logits, wild_type_mask(F.col("base")), lambda x, m: x * mask + m)
+    return sites.withColumn("csp", softmax(offered)).withColumn("rate", F.exp((log_rate + bias) * mask))
+
+
+def fivemer_rates(sites: DataFrame, model: DataFrame, bias: float = 0.0) -> DataFrame:
+    """sites: key columns, site, kmer, base (code), optionally mask. model: kmer, log_rate, logits (4). Adds rate and csp, see masked_chances()."""
+    met = sites.join(model, "kmer", "left")
+    out = masked_chances(met, F.coalesce("log_rate", F.lit(0.0)), F.coalesce("logits", F.array(*[F.lit(0.0)] * 4)), bias)
+    return out.drop("log_rate", "logits")
 
 
 def edge_log_likelihood(sites: DataFrame, key: list[str]) -> DataFrame:
@@ -85,3 +93,25 @@ def cnn_rates(kmers: np.ndarray, weights: dict[str, np.ndarray], prefix: str = "
     windows = np.stack([padded[i : i + w.shape[2]] for i in range(len(x))])  # sites x width x depth
     hidden = np.maximum(np.einsum("swd,fdw->sf", windows, w) + b, 0)
     return hidden @ weights[f"{prefix}linear.weight"].T + weights[f"{prefix}linear.bias"]
+
+
+def model_weights(rows: DataFrame) -> dict[str, np.ndarray]:
+    """rows: name, shape (array<int>), values (array<double>): a network's parameters as a table, which is small."""
+    return {r["name"]: np.array(r["values"], float).reshape(r["shape"]) for r in rows.select("name", "shape", "values").collect()}
+
+
+def cnn_sites(sequences: DataFrame, weights: dict[str, np.ndarray], bias: float = 0.0) -> DataFrame:
+    """sequences: key columns, kmers (see encoded()), bases (see base_codes()). One row for each site: key columns, site, base, rate, csp; both heads of the CNN run on Arrow batches."""
+    known = sequences.sparkSession.sparkContext.broadcast(weights)
+
+    def head(prefix: str) -> Column:
+        @F.pandas_udf("array<double>")
+        def run(kmers: pd.Series) -> pd.Series:
+            return pd.Series([cnn_rates(np.asarray(k, int), known.value, prefix).ravel() for k in kmers])
+
+        return run("kmers")
+
+    key = [c for c in sequences.columns if c not in ("kmers", "bases")]
+    both = sequences.where("size(kmers) > 0").withColumn("_r", head("r_")).withColumn("_s", head("s_"))
+    sites = both.select(*key, "_s", F.posexplode(F.arrays_zip("bases", "_r")).alias("site", "_x")).select(*key, "site", F.col("_x.bases").alias("base"), F.col("_x._r").alias("_r"), F.expr("slice(_s, 4 * site + 1, 4)").alias("_s"))
+    return masked_chances(sites, F.col("_r"), F.col("_s"), bias).drop("_r", "_s")
