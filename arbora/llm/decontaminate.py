@@ -149,6 +149,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **
     """The documents, all columns, that share no window with the benchmark."""
     found, hits = scan(spark, docs, benchmark, **options)
     gone = persisted(found.join(hits.select("row"), "row", "left_semi").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "leaks")
+    gone = T.small(gone)
     rows = T.packed(docs)
     return T.unpacked(rows.join(gone, rows["doc_id"].eqNullSafe(gone["__gone"]) & (F.xxhash64(rows["text"]) == gone["__text"]), "left_anti"), docs.columns)
 

@@ -280,6 +280,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, that are the first of their class; of repeated rows (same doc_id and text) one stays, whether or not the text has words."""
     found = near_duplicates(spark, docs, **options)
     gone = persisted(found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "gone")
+    gone = T.small(gone)
     rows = T.packed(docs)
     rest = rows.join(gone, (rows["doc_id"].cast("bigint") == gone["__gone"]) & (F.xxhash64(rows["text"]) == gone["__text"]), "left_anti")
     if rows.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").limit(1).count():

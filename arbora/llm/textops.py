@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of every operator on shingles: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
@@ -226,6 +226,16 @@ def _bloom_bits(words: int):
     return run
 
 
+#: Entries of a side that is broadcast so that texts needn't be shuffled; beyond them Spark joins by shuffle.
+SMALL = 500_000
+
+
+def small(df: DataFrame, entries: Column | None = None) -> DataFrame:
+    """df, which is written already, with a hint to broadcast it if it has at most SMALL rows, or entries in them."""
+    n = df.agg(F.count("*") if entries is None else F.sum(entries)).first()[0] or 0
+    return F.broadcast(df) if n <= SMALL else df
+
+
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and all other columns in one struct `rest`, so that no name of theirs can clash with ours."""
     rest = [c for c in df.columns if c not in (id_col, text_col)]
