@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbora.llm import boilerplate, bpe, ctw, decontaminate, embeddings, language, manifest, minhash, passages, quality, sharding
+from arbora.llm import boilerplate, bpe, codebooks, ctw, decontaminate, embeddings, language, lines, manifest, minhash, passages, quality, sharding
 
 
 def queries() -> dict:
@@ -17,11 +17,15 @@ def queries() -> dict:
         "op8_main_text": boilerplate.query,
         "op9_byte_bpe": bpe.query,
         "op10_decontaminate": decontaminate.query,
+        "op11_line_runs": lines.query,
+        "op12_vector_codes": codebooks.query,
         "op13_merkle_manifest": manifest.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_line_runs": lines.SQL,
+        "op12_vector_codes": codebooks.SQL,
         "op13_merkle_manifest": manifest.SQL,
     }
