@@ -77,15 +77,15 @@ def info(dag: Dag, histogram: bool = False, rf: bool = False) -> dict:
     for name, best in (("least", F.min), ("most", F.max)):
         ops = W.parsimony(best)
         out[f"{name}_parsimony"] = int(W.at_root(dag, W.optimum(dag, w, ops, high)).first()["weight"])
-        out[f"{name}_parsimony_trees"] = int(W.at_root(dag, W.optimal_tree_counts(dag, w, ops, exact=True)).first()["weight"])
+        out[f"{name}_parsimony_trees"] = int(W.at_root(dag, W.optimal_tree_counts(dag, w, ops, exact=True, heights=high)).first()["weight"])
     if histogram:
         top = graph.roots(dag).select(*graph.KEY)
         out["parsimony"] = {int(r.weight): int(r.n) for r in W.histogram(dag, w, high).join(top, graph.KEY).orderBy("weight").collect()}
     if rf:
         sets = persisted(labels.leaf_sets(dag, high), "sets")
-        counts = persisted(distances.leafset_counts(dag, sets, high), "counts")
+        counts = persisted(distances.leafset_counts(dag, sets, high, exact=True), "counts")
         for name, most in (("least", False), ("most", True)):
-            out[f"{name}_sum_rf"] = int(distances.sum_rf(dag, sets, counts, n, most, high).first()["weight"])
+            out[f"{name}_sum_rf"] = int(distances.sum_rf(dag, sets, counts, n, most, high, exact=True).first()["weight"])
     return out
 
 

@@ -95,8 +95,9 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
 
 
-def ancestors(dag: Dag) -> DataFrame:
-    """dag_id, node_id, ancestor_id, distance: the closure of the parent relation of trees, each node its own ancestor at 0.
+def ancestors(dag: Dag, most: int | None = None) -> DataFrame:
+    """dag_id, node_id, ancestor_id, distance: the closure of the parent relation of trees, each node its own ancestor at 0; only ancestors at
+    most `most` edges above, if given. The whole closure has a row for each node and ancestor: index.py answers most questions without it.
 
     Distances double with each round, so a tree of depth d takes log2(d) rounds. Raises ValueError if there is a cycle: a path longer
     than there are nodes.
@@ -104,11 +105,13 @@ def ancestors(dag: Dag) -> DataFrame:
     nodes, reach = dag.nodes.count(), 1
     hop = persisted(dag.edges.select("dag_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("up"), F.lit(1).alias("d")), "hop")
     closure = dag.nodes.select(*KEY, F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    while hop.take(1):
+    while hop.take(1) and (most is None or reach <= most):
         if reach > nodes:
             raise ValueError("no ancestors on a cycle")
         reach *= 2
         further = closure.join(hop.withColumnRenamed("node_id", "ancestor_id"), ["dag_id", "ancestor_id"]).select("dag_id", "node_id", F.col("up").alias("ancestor_id"), (F.col("distance") + F.col("d")).alias("distance"))
+        if most is not None:
+            further = further.where(F.col("distance") <= most)
         closure = persisted(closure.unionByName(further), "closure")
         twice = hop.select("dag_id", F.col("node_id").alias("low"), F.col("up").alias("node_id"), F.col("d").alias("e"))
         hop = persisted(twice.join(hop, KEY).select("dag_id", F.col("low").alias("node_id"), "up", (F.col("d") + F.col("e")).alias("d")), "hop")
@@ -117,15 +120,16 @@ def ancestors(dag: Dag) -> DataFrame:
 
 def depths(dag: Dag) -> DataFrame:
     """dag_id, node_id, depth of trees: the distance to the UA."""
-    return ancestors(dag).groupBy(*KEY).agg(F.max("distance").alias("depth"))
+    from arbora.operators import index
+
+    return index.doubled(dag)[0].select(*KEY, "depth")
 
 
 def preorder(dag: Dag) -> DataFrame:
-    """dag_id, node_id, depth, path: sorting by path (clade indices from the root, fixed width) is depth-first order; a descendant's path begins with its ancestor's."""
-    own = dag.edges.select("dag_id", F.col("child_id").alias("ancestor_id"), "clade")
-    steps = ancestors(dag).join(own, ["dag_id", "ancestor_id"], "left")
-    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("clade").isNotNull(), F.struct(F.col("distance").alias("d"), F.col("clade").alias("c")))), asc=False), lambda x: F.lpad(F.hex(x["c"]), 8, "0")), "/")
-    return steps.groupBy(*KEY).agg(F.max("distance").alias("depth"), path.alias("path"))
+    """dag_id, node_id, depth, enter, leave: enter is the place in depth-first order, children by clade; descendants enter up to leave."""
+    from arbora.operators import index
+
+    return index.build(dag).nodes.select(*KEY, "depth", "enter", "leave")
 
 
 def leaves_below(dag: Dag) -> DataFrame:

@@ -7,13 +7,15 @@ them all). A node's partition is the sorted list of its clades' keys, hashed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions import genomes as G
 from arbora.model import Dag
 from arbora.operators import graph
+from arbora.operators.index import along_path, doubled
 from arbora.operators.weights import fold
+from arbora.session import persisted
 
 KEY = graph.KEY
 
@@ -32,10 +34,14 @@ def key_text(key: Column) -> Column:
     return F.concat_ws("-", key["n"].cast("string"), F.hex(key["x"]), F.hex(key["y"]))
 
 
+def leaf_keys(dag: Dag, heights: DataFrame | None = None) -> DataFrame:
+    """dag_id, node_id, key (n, x, y). The alternatives of a clade have the same leaves, so any of them tells."""
+    return fold(dag, leaf_key(F.col("sample_id")), F.min, union_key, heights=heights).withColumnRenamed("weight", "key")
+
+
 def leaf_sets(dag: Dag, heights: DataFrame | None = None) -> DataFrame:
-    """dag_id, node_id, n_leaves, leafset_key. The alternatives of a clade have the same leaves, so any of them tells."""
-    keys = fold(dag, leaf_key(F.col("sample_id")), F.min, union_key, heights=heights)
-    return keys.select(*KEY, F.col("weight")["n"].alias("n_leaves"), key_text(F.col("weight")).alias("leafset_key"))
+    """dag_id, node_id, n_leaves, leafset_key."""
+    return leaf_keys(dag, heights).select(*KEY, F.col("key")["n"].alias("n_leaves"), key_text(F.col("key")).alias("leafset_key"))
 
 
 def labels(dag: Dag, sets: DataFrame) -> DataFrame:
@@ -58,32 +64,28 @@ def sample_ids(dag: Dag, coerce: bool = False) -> Dag:
 def recomputed_genomes(dag: Dag, mutations: DataFrame, skip_leaves: bool = False) -> Dag:
     """Genomes from edge mutations (dag_id, edge_id, pos, par, mut), along each node's first parent: the last mutation of a site on the way down counts.
 
-    The way down is the ancestor closure over the first parents; the UA's genome is empty.
+    A node's row holds what changes on the last 1, 2, 4, ... edges above it, overlaid on what changes above those; the UA's genome is empty.
     """
-    first = Window.partitionBy("dag_id", "child_id").orderBy("edge_id")
-    tree = dag.replace(edges=dag.edges.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
-    own = tree.edges.select("dag_id", "edge_id", F.col("child_id").alias("ancestor_id")).join(mutations, ["dag_id", "edge_id"])
-    met = graph.ancestors(tree).join(own, ["dag_id", "ancestor_id"])
-    last = met.groupBy(*KEY, "pos").agg(F.min_by("mut", "distance").alias("base")).where(F.col("base") != F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
-    found = last.groupBy(*KEY).agg(F.array_sort(F.collect_list(G.entry(F.col("pos"), F.col("base")))).alias("_g"))
-    new = F.coalesce("_g", G.empty())
+    first = dag.edges.groupBy("dag_id", "child_id").agg(F.min_by(F.struct("edge_id", "parent_id", "clade"), "edge_id").alias("e"))
+    tree = dag.replace(edges=first.select("dag_id", "e.edge_id", "e.parent_id", "child_id", "e.clade"))
+    own = tree.edges.join(mutations, ["dag_id", "edge_id"]).groupBy("dag_id", F.col("child_id").alias("node_id")).agg(F.array_sort(F.collect_list(G.entry(F.col("pos"), F.col("mut")))).alias("value"))
+    start = persisted(dag.nodes.select(*KEY).join(own, KEY, "left").select(*KEY, F.coalesce("value", G.empty()).alias("value")), "own")
+    found = along_path(start, doubled(tree)[1], G.upsert)
+    new = G.without_reference(F.col("value"), dag.reference_column())
+    nodes = dag.nodes.join(found, KEY)
     if skip_leaves:
         inner = dag.edges.select("dag_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_inner", F.lit(True))
-        nodes = dag.nodes.join(found, KEY, "left").join(inner, KEY, "left")
+        nodes = nodes.join(inner, KEY, "left")
         new = F.when(F.col("_inner"), new).otherwise(F.col("genome"))
-    else:
-        nodes = dag.nodes.join(found, KEY, "left")
     return dag.replace(nodes.select("dag_id", "node_id", "sample_id", new.alias("genome")))
 
 
 def inconsistent_mutations(dag: Dag, mutations: DataFrame) -> DataFrame:
     """Mutations of a tree's edges whose par is not what the way down from the root says: dag_id, edge_id, pos, par, expected."""
-    own = dag.edges.select("dag_id", "edge_id", "child_id", "parent_id").join(mutations, ["dag_id", "edge_id"])
-    above = own.select("dag_id", F.col("child_id").alias("ancestor_id"), F.col("pos"), F.col("mut").alias("_mut"))
-    up = graph.ancestors(dag).select("dag_id", F.col("node_id").alias("parent_id"), "ancestor_id", "distance").join(above, ["dag_id", "ancestor_id"])
-    last = up.groupBy("dag_id", "parent_id", "pos").agg(F.min_by("_mut", "distance").alias("_last"))
-    expected = F.coalesce("_last", F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
-    return own.join(last, ["dag_id", "parent_id", "pos"], "left").select("dag_id", "edge_id", "pos", "par", expected.alias("expected")).where("par <> expected")
+    above = recomputed_genomes(dag, mutations).nodes.select("dag_id", F.col("node_id").alias("parent_id"), F.col("genome").alias("_above"))
+    own = dag.edges.select("dag_id", "edge_id", "parent_id").join(mutations, ["dag_id", "edge_id"]).join(above, ["dag_id", "parent_id"])
+    expected = G.base_at(F.col("_above"), F.col("pos"), dag.reference_column())
+    return own.select("dag_id", "edge_id", "pos", "par", expected.alias("expected")).where("par <> expected")
 
 
 def leafset_nodes(sets: DataFrame) -> DataFrame:

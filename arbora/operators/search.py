@@ -1,16 +1,14 @@
 """Tree search by subtree prune and regraft (SPR) moves.
 
-A move takes the subtree at `src` and makes it the sibling of `dst` under a new node. Moves are proposed as rows, scored together
-by Fitch parsimony of the moved trees, and applied as deltas of the edge table.
+A move takes the subtree at `src` and makes it the sibling of `dst` under a new node. Moves are proposed as rows, scored in tables (scoring.py), and
+those that do not touch one another are made together, as deltas of the edge table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,68 +16,117 @@ from arbora.functions import bases as B
 from arbora.functions import genomes as G
 from arbora.model import Dag
 from arbora.operators import graph, labels, merge, sampling, sankoff
+from arbora.operators import index as I
+from arbora.operators.scoring import MOVE, move_changes, scores
 from arbora.operators.weights import mutations, optimum, parsimony_weights, trim
 from arbora.session import persisted
 
 KEY = graph.KEY
 
 
-def lca(closure: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs: dag_id, a, b. Adds lca: their deepest common ancestor (itself, where one is above the other), and distance: the edges between them."""
-    up = closure.select("dag_id", F.col("node_id").alias("a"), "ancestor_id", F.col("distance").alias("da"))
-    upb = closure.select("dag_id", F.col("node_id").alias("b"), "ancestor_id", F.col("distance").alias("db"))
-    met = pairs.select("dag_id", "a", "b").join(up, ["dag_id", "a"]).join(upb, ["dag_id", "b", "ancestor_id"])
-    return met.groupBy("dag_id", "a", "b").agg(F.min_by("ancestor_id", F.col("da") + F.col("db")).alias("lca"), F.min(F.col("da") + F.col("db")).alias("distance"))
-
-
-def proposals(dag: Dag, radius: int, closure: DataFrame | None = None, most_for_each: int | None = None, seed: int = 0) -> DataFrame:
+def proposals(dag: Dag, radius: int, index: I.TreeIndex | None = None, most_for_each: int | None = None, seed: int = 0) -> DataFrame:
     """dag_id, src, dst, distance: moves that change the tree, between nodes at most `radius` edges apart.
 
     Left out: src or dst the UA, src the tree's root, dst below src, src = dst, dst the parent of src, siblings of a binary node. Pairs meet at their
     common ancestors, at most `radius` above both, so the pairs are those within the radius, not all.
     most_for_each: a random choice of that many targets for each src, as the random proposer makes.
     """
-    closure = graph.ancestors(dag) if closure is None else closure
-    near = persisted(closure.where(F.col("distance") <= radius), "near")
+    index = I.build(dag) if index is None else index
+    near = persisted(graph.ancestors(dag, radius), "near")
     a = near.select("dag_id", F.col("node_id").alias("src"), "ancestor_id", F.col("distance").alias("d"))
     b = near.select("dag_id", F.col("node_id").alias("dst"), "ancestor_id", F.col("distance").alias("e"))
     pairs = a.where("d > 0").join(b, ["dag_id", "ancestor_id"]).where((F.col("d") + F.col("e") <= radius) & (F.col("src") != F.col("dst")))
     pairs = pairs.groupBy("dag_id", "src", "dst").agg(F.min(F.col("d") + F.col("e")).cast("int").alias("distance"))
-    below = closure.where("distance > 0").select("dag_id", F.col("ancestor_id").alias("src"), F.col("node_id").alias("dst"))
-    top = graph.roots(dag).select("dag_id", F.col("node_id").alias("ua"))
-    first = graph.tree_roots(dag).select("dag_id", F.col("node_id").alias("src"))
-    n = dag.edges.groupBy("dag_id", "parent_id").agg(F.count("*").alias("n"))
-    parent = dag.edges.join(n, ["dag_id", "parent_id"]).select("dag_id", "parent_id", "child_id", "n")
-    out = pairs.join(below, ["dag_id", "src", "dst"], "left_anti").join(first, ["dag_id", "src"], "left_anti")
-    for side in ("src", "dst"):
-        out = out.join(top.withColumnRenamed("ua", side), ["dag_id", side], "left_anti")
-    out = out.join(parent.select("dag_id", F.col("child_id").alias("src"), F.col("parent_id").alias("_sp"), F.col("n").alias("_n")), ["dag_id", "src"])
-    out = out.join(parent.select("dag_id", F.col("child_id").alias("dst"), F.col("parent_id").alias("_dp")), ["dag_id", "dst"])
-    out = out.where((F.col("dst") != F.col("_sp")) & ~((F.col("_sp") == F.col("_dp")) & (F.col("_n") == 2))).select("dag_id", "src", "dst", "distance")
+    n = dag.edges.groupBy("dag_id", F.col("parent_id").alias("src_parent_id")).agg(F.count("*").alias("_n"))
+    out = pairs.join(index.side("src", "parent_id", "enter", "leave", "depth"), ["dag_id", "src"]).join(index.side("dst", "parent_id", "enter", "depth"), ["dag_id", "dst"])
+    out = out.where((F.col("src_depth") > 1) & (F.col("dst_depth") > 0) & ~I.over("src", "dst") & (F.col("dst") != F.col("src_parent_id")))
+    out = out.join(n, ["dag_id", "src_parent_id"]).where(~((F.col("src_parent_id") == F.col("dst_parent_id")) & (F.col("_n") == 2))).select("dag_id", "src", "dst", "distance")
     if most_for_each is None:
         return out
     turn = Window.partitionBy("dag_id", "src").orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "dst")
     return out.withColumn("_t", F.row_number().over(turn)).where(F.col("_t") <= most_for_each).drop("_t")
 
 
-def moved(dag: Dag, moves: DataFrame) -> Dag:
-    """The collection of moved trees, one for each row of moves (dag_id, src, dst), named dag_id|src|dst.
+def applied(dag: Dag, moves: DataFrame) -> Dag:
+    """moves: dag_id, src, dst, copy. The trees named `copy`, each with all moves of that name made at once; moves of one copy touch none of the same nodes.
 
     The new node's id has the bits of src turned over; a node left with one child is replaced by it.
     """
-    name = F.concat_ws("|", "dag_id", "src", "dst")
-    m = moves.select("dag_id", "src", "dst", name.alias("_new"))
-    nodes = dag.nodes.join(m.select("dag_id", "_new"), "dag_id").select(F.col("_new").alias("dag_id"), "node_id", "sample_id", "genome")
-    kept = dag.edges.join(m, "dag_id").where(F.col("child_id") != F.col("src"))
+    copies = moves.select("dag_id", "copy").distinct()
+    nodes = dag.nodes.join(copies, "dag_id").select(F.col("copy").alias("dag_id"), "node_id", "sample_id", "genome")
     new = F.bitwise_not("src")
-    edges = kept.select(F.col("_new").alias("dag_id"), "edge_id", "parent_id", F.when(F.col("child_id") == F.col("dst"), new).otherwise(F.col("child_id")).alias("child_id"), "clade")
-    added = m.select(F.col("_new").alias("dag_id"), F.explode(F.array(F.struct(F.xxhash64("src", F.lit(1)).alias("e"), F.col("dst").alias("c"), F.lit(0).alias("k")), F.struct(F.xxhash64("src", F.lit(2)).alias("e"), F.col("src").alias("c"), F.lit(1).alias("k")))).alias("x"), new.alias("parent_id"))
+    kept = dag.edges.join(copies, "dag_id").join(moves.select("dag_id", "copy", F.col("src").alias("child_id")), ["dag_id", "copy", "child_id"], "left_anti")
+    onto = moves.select("dag_id", "copy", F.col("dst").alias("child_id"), new.alias("_new"))
+    edges = kept.join(onto, ["dag_id", "copy", "child_id"], "left").select(F.col("copy").alias("dag_id"), "edge_id", "parent_id", F.coalesce("_new", "child_id").alias("child_id"), "clade")
+    two = F.array(F.struct(F.xxhash64("src", F.lit(1)).alias("e"), F.col("dst").alias("c"), F.lit(0).alias("k")), F.struct(F.xxhash64("src", F.lit(2)).alias("e"), F.col("src").alias("c"), F.lit(1).alias("k")))
+    added = moves.select(F.col("copy").alias("dag_id"), F.explode(two).alias("x"), new.alias("parent_id"))
     edges = edges.unionByName(added.select("dag_id", F.col("x.e").alias("edge_id"), "parent_id", F.col("x.c").alias("child_id"), F.col("x.k").alias("clade")))
-    own = m.join(dag.nodes.select("dag_id", F.col("node_id").alias("dst"), "genome"), ["dag_id", "dst"]).select(F.col("_new").alias("dag_id"), new.alias("node_id"), F.lit(None).cast("string").alias("sample_id"), "genome")
+    own = moves.join(dag.nodes.select("dag_id", F.col("node_id").alias("dst"), "genome"), ["dag_id", "dst"]).select(F.col("copy").alias("dag_id"), new.alias("node_id"), F.lit(None).cast("string").alias("sample_id"), "genome")
     out = Dag(nodes.unionByName(own), graph.renumbered(edges), dag.reference)
     return graph.suppressed(out.persisted("moved"))
 
 
+def moved(dag: Dag, moves: DataFrame) -> Dag:
+    """A moved tree for each row of moves (dag_id, src, dst), named dag_id|src|dst: for a few moves, or to try a score of one's own."""
+    return applied(dag, moves.select("dag_id", "src", "dst", F.concat_ws("|", "dag_id", "src", "dst").alias("copy")))
+
+
+def touched(dag: Dag, index: I.TreeIndex, moves: DataFrame, radius: int) -> DataFrame:
+    """dag_id, src, dst, node_id, of: the nodes on the way from src (of: src) and from dst (of: dst) up to their common ancestor (of: top); its ends included.
+
+    moves: as proposals() makes them with this radius.
+    """
+    found = I.lca(index, moves.select("dag_id", F.col("src").alias("a"), F.col("dst").alias("b"))).select("dag_id", F.col("a").alias("src"), F.col("b").alias("dst"), "lca")
+    found = found.join(index.side("lca", "depth"), ["dag_id", "lca"])
+    near = persisted(graph.ancestors(dag, radius), "near")
+    depth = index.nodes.select("dag_id", F.col("node_id").alias("ancestor_id"), "depth")
+    near = near.join(depth, ["dag_id", "ancestor_id"])
+    ways = [found.join(near.withColumnRenamed("node_id", end), ["dag_id", end]).where(F.col("depth") > F.col("lca_depth")).select("dag_id", "src", "dst", F.col("ancestor_id").alias("node_id"), F.lit(end).alias("of")) for end in ("src", "dst")]
+    return ways[0].unionByName(ways[1]).unionByName(found.select("dag_id", "src", "dst", F.col("lca").alias("node_id"), F.lit("top").alias("of")))
+
+
+def independent(ways: DataFrame, scored: DataFrame, copies: int = 4, rounds: int = 3) -> DataFrame:
+    """dag_id, src, dst, copy: moves of scored (dag_id, src, dst, rank; the smallest first) such that those of one copy have no node of ways in common.
+
+    In each round the moves that are first at all of their nodes are taken, and those that share a node with one of them wait for the next copy.
+    """
+    rank = F.struct("rank", F.xxhash64("src", "dst").alias("h"), "src", "dst")
+    left = persisted(ways.select(*MOVE, "node_id").join(scored.select(*MOVE, rank.alias("rank")), MOVE), "ways")
+    out = None
+    for copy in range(copies):
+        open_ = left
+        for _ in range(rounds):
+            first = open_.groupBy("dag_id", "node_id").agg(F.min("rank").alias("first"))
+            won = open_.join(first, KEY).groupBy(*MOVE).agg(F.every(F.col("rank") == F.col("first")).alias("won")).where("won")
+            won = persisted(won.select(*MOVE), "won")
+            if not won.take(1):
+                break
+            taken = won.withColumn("copy", F.concat_ws("|", "dag_id", F.lit(str(copy))))
+            out = taken if out is None else out.unionByName(taken)
+            nodes = open_.join(won, MOVE, "left_semi").select(*KEY).distinct()
+            hit = open_.join(nodes, KEY, "left_semi").select(*MOVE).distinct()
+            open_ = persisted(open_.join(hit, MOVE, "left_anti"), "ways")
+        if out is None:
+            return scored.select(*MOVE, F.lit("").alias("copy")).limit(0)
+        left = persisted(left.join(out.select(*MOVE), MOVE, "left_anti"), "ways")
+        if not left.take(1):
+            break
+    return out
+
+
+def novel_sets(dag: Dag, ways: DataFrame, known: DataFrame) -> DataFrame:
+    """dag_id, src, dst, novel: how many leaf sets of the moved tree known (leafset_key) lacks. Keys of sets are sums, so that nodes on the way lose or gain src's."""
+    keys = persisted(labels.leaf_keys(dag), "keys")
+    own = lambda name, node: keys.select("dag_id", F.col("node_id").alias(node), F.col("key").alias(name))
+    met = ways.join(own("key", "node_id"), KEY).join(own("_src", "src"), ["dag_id", "src"])
+    top_is_dst = (F.col("of") == "top") & (F.col("node_id") == F.col("dst"))
+    loses = (F.col("of") == "src") & (F.col("node_id") != F.col("src")) | top_is_dst
+    sign = F.when(loses, -1).when(F.col("of") == "dst", 1)
+    key = F.struct((F.col("key.n") + sign * F.col("_src.n")).alias("n"), F.col("key.x").bitwiseXOR(F.col("_src.x")).alias("x"), F.col("key.y").bitwiseXOR(F.col("_src.y")).alias("y"))
+    new = met.where(sign.isNotNull()).select(*MOVE, labels.key_text(key).alias("leafset_key")).distinct()
+    return new.join(known.select("leafset_key").distinct(), "leafset_key", "left_anti").groupBy(*MOVE).agg(F.count("*").alias("novel"))
+
+
 def rescored(dag: Dag) -> Dag:
     """Inner genomes of trees by Fitch's method: the fewest mutations for the leaves' genomes."""
     sites = persisted(sankoff.variable_sites(dag), "sites")
@@ -87,12 +134,6 @@ def rescored(dag: Dag) -> Dag:
     return sankoff.with_states(dag, states.select(*KEY, "pos", B.letter(F.col("mask")).alias("base")))
 
 
-def scores(dag: Dag) -> DataFrame:
-    """dag_id, score: the number of mutations of each tree."""
-    w = parsimony_weights(dag)
-    return w.groupBy("dag_id").agg(F.sum("edge").alias("score"))
-
-
 def changed_nodes(old: Dag, new: Dag) -> DataFrame:
     """dag_id, node_id of moved trees (dag_id|src|dst) whose genome or children are not what they were."""
     kids = lambda d, i: d.edges.groupBy("dag_id", "parent_id").agg(F.array_sort(F.collect_set("child_id")).alias(i)).withColumnRenamed("parent_id", "node_id")
@@ -164,137 +205,11 @@ def scored_moves(dag: Dag, moves: DataFrame, known: DataFrame | None = None, sco
     return persisted(out.select("dag_id", "src", "dst", "distance", F.col("_id").alias("moved_id"), "change", "novel"), "scored"), trees
 
 
-BITS = np.arange(4, dtype=np.uint8)
-#: Moves that are scored side by side.
-TOGETHER = 4_096
-
-
-def _bits(mask: np.ndarray) -> np.ndarray:
-    return ((mask[..., None] >> BITS) & 1).astype(np.int32)
-
-
-def _majority(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bases that most children hold, and how many hold them."""
-    most = n.max(-1)
-    return ((n == most[..., None]) << BITS).sum(-1).astype(np.uint8), most
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fitch set of a node of two children, and its changes."""
-    both = a & b
-    return np.where(both, both, a | b), (both == 0).sum(1)
-
-
-class FitchTree:
-    """Fitch sets of one tree and how many children of each inner node hold each base, by site."""
-
-    def __init__(self, ids: np.ndarray, parent: np.ndarray, child: np.ndarray, mask: np.ndarray, reference: np.ndarray, score: int):
-        """ids: sorted; parent, child: places of each edge's ends in ids; mask: ids x sites; score: of the tree as it is."""
-        self.ids, self.mask, self.reference = ids, mask, reference
-        self.up = np.full(len(ids), -1)
-        self.up[child] = parent
-        self.depth, at = np.zeros(len(ids), np.int64), self.up.copy()
-        while (at >= 0).any():
-            self.depth += at >= 0
-            at = np.where(at >= 0, self.up[at], -1)
-        inner, own = np.unique(parent, return_inverse=True)
-        self.inner = np.full(len(ids), -1)
-        self.inner[inner] = np.arange(len(inner))
-        self.n = np.zeros((len(inner), mask.shape[1], 4), np.int32)
-        np.add.at(self.n, own, _bits(mask[child]))
-        self.k = np.bincount(own, minlength=len(inner))
-        self.own = (self.k[:, None] - self.n.max(-1)).sum(1)
-        self.base = int(self.own.sum()) - score
-
-    def changes(self, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-        """Of the score, by each move: only the sets of src's and dst's ancestors are made again, from the lowest to the UA."""
-        total, moving = np.full(len(src), self.base), self.mask[src]
-        above, at = np.zeros(len(src), bool), self.up[src]
-        while (at >= 0).any():
-            above |= at == dst
-            at = np.where(at >= 0, self.up[at], -1)
-        # p, q: the next nodes to change above src and above dst; their child's set goes from out to into.
-        p, p_out, p_into, gone = self.up[src], moving.copy(), np.zeros_like(moving), np.ones(len(src), np.int64)
-        q_out = self.mask[dst]
-        q_into, steps = _pair(moving, q_out)
-        q = np.where(above, -1, self.up[dst])
-        total += np.where(above, 0, steps)
-
-        def made(i, node, *swaps):
-            n = self.n[self.inner[node]]
-            for out, into in swaps:
-                n = n + _bits(into) - _bits(out)
-            new, most = _majority(n)
-            return new, most
-
-        for d in range(int(self.depth.max()), -1, -1):
-            on_p, on_q = (p >= 0) & (self.depth[p] == d), (q >= 0) & (self.depth[q] == d)
-            met = on_p & on_q & (p == q)
-            for chosen, swap_p, swap_q in ((met, True, True), (on_p & ~met, True, False), (on_q & ~met, False, True)):
-                i = np.flatnonzero(chosen)
-                if not len(i):
-                    continue
-                node = (p if swap_p else q)[i]
-                new, most = made(i, node, *[(o[i], t[i]) for o, t, used in ((p_out, p_into, swap_p), (q_out, q_into, swap_q)) if used])
-                k = self.k[self.inner[node]] - (gone[i] if swap_p else 0)
-                total[i] += (k[:, None] - most).sum(1) - self.own[self.inner[node]]
-                if d == 0:
-                    total[i] += ((new & self.reference) == 0).sum(1)
-                if swap_p:
-                    here = above[i] & (node == dst[i])  # dst is above src: its new set is known now
-                    joined, steps = _pair(moving[i], new)
-                    total[i] += np.where(here, steps, 0)
-                    p_out[i], p_into[i], gone[i], p[i] = self.mask[node], np.where(here[:, None], joined, new), 0, self.up[node]
-                    if swap_q:
-                        q[i] = -1
-                else:
-                    q_out[i], q_into[i], q[i] = self.mask[node], new, self.up[node]
-        return total
-
-
-def move_changes(dag: Dag, moves: DataFrame) -> DataFrame:
-    """moves (dag_id, src, dst, distance) with change, as scored_moves gives it, without the moved trees.
-
-    A row is a move: the sets of the nodes above src and dst are made again from how many of their children hold each base. What every
-    executor holds is the Fitch sets of the trees: a byte for each node and variable site, 16 for each inner one. The trees have no
-    node of one child but the UA. Where a leaf has an ambiguous base other than N, whose mutations do not count, the moved trees are made.
-    """
-    spark = moves.sparkSession
-    sites = persisted(sankoff.variable_sites(dag), "sites")
-    sets = persisted(sankoff.fitch_sets(dag, sites), "sets")
-    if sets.join(graph.leaves(dag).select(*KEY), KEY, "left_semi").where(B.is_ambiguous(F.col("mask")) & (F.col("mask") != 15)).take(1):
-        return scored_moves(dag, moves)[0].select("dag_id", "src", "dst", "distance", "change")
-    column = lambda table, name: table.column(name).to_numpy()
-    trees, old = {}, {r.dag_id: int(r.score) for r in scores(dag).collect()}
-    reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
-    for name in old:
-        of = lambda df: df.where(F.col("dag_id") == name)  # noqa: B023, E731
-        ids = np.sort(column(of(dag.nodes).select("node_id").toArrow(), "node_id"))
-        edge = of(dag.edges).select("parent_id", "child_id").toArrow()
-        own = of(sites).select("pos", reference.alias("mask")).orderBy("pos").toArrow()
-        cell = of(sets).select("node_id", "pos", "mask").toArrow()
-        mask = np.zeros((len(ids), len(own)), np.uint8)
-        mask[np.searchsorted(ids, column(cell, "node_id")), np.searchsorted(column(own, "pos"), column(cell, "pos"))] = column(cell, "mask")
-        trees[name] = FitchTree(ids, np.searchsorted(ids, column(edge, "parent_id")), np.searchsorted(ids, column(edge, "child_id")), mask, column(own, "mask").astype(np.uint8), old[name])
-    known = spark.sparkContext.broadcast(trees)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), TOGETHER):
-                part = batch.slice(k, TOGETHER)
-                name, change = np.array(part.column("dag_id").to_pylist()), np.zeros(len(part), np.int64)
-                src, dst = (part.column(c).to_numpy() for c in ("src", "dst"))
-                for one in np.unique(name):
-                    tree, i = known.value[str(one)], np.flatnonzero(name == one)
-                    change[i] = tree.changes(np.searchsorted(tree.ids, src[i]), np.searchsorted(tree.ids, dst[i]))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("dag_id", "src", "dst", "distance")], pa.array(change)], names=["dag_id", "src", "dst", "distance", "change"])
-
-    return moves.select("dag_id", "src", "dst", "distance").mapInArrow(run, "dag_id string, src bigint, dst bigint, distance int, change bigint")
-
-
-def optimise(dag: Dag, rounds: int = 3, radius: int = 4, seed: int = 0, policy: Policy | None = None, moves_for_each: int | None = 4, patience: int = 2, trim_at_end: bool = False, on_round: Callable[[dict], None] | None = None) -> tuple[merge.Merged, list[dict]]:
-    """Sample a best tree, propose and score moves, merge those accepted, again and again. Returns the DAG and a row of statistics for each round.
+def optimise(dag: Dag, rounds: int = 3, radius: int = 4, seed: int = 0, policy: Policy | None = None, moves_for_each: int | None = 4, patience: int = 2, trim_at_end: bool = False, on_round: Callable[[dict], None] | None = None, copies: int = 4) -> tuple[merge.Merged, list[dict]]:
+    """Sample a best tree, propose and score moves, merge trees with those accepted, again and again. Returns the DAG and a row of statistics for each round.
 
+    Moves are scored in tables, without moved trees. Those accepted are made together, best first, in `copies` trees, each with moves that
+    do not touch one another; these trees are given their best genomes, collapsed and merged.
     dag: a collection of trees (merged first). on_round sees each row as it is made.
     """
     policy = policy or Policy()
@@ -304,13 +219,19 @@ def optimise(dag: Dag, rounds: int = 3, radius: int = 4, seed: int = 0, policy:
         weights = persisted(parsimony_weights(have.dag), "weights")
         tree = sampling.best_sample_tree(have.dag, weights, seed + k).persisted("sampled")
         tree = graph.suppressed(tree)
-        moves = persisted(proposals(tree, radius, most_for_each=moves_for_each, seed=seed + k), "proposals")
-        scored, trees = scored_moves(tree, moves, have.labels if policy.kind == "coefficients" else None)
-        taken = scored.where(policy.accepted()).select(F.col("moved_id").alias("dag_id"))
-        chosen = trees.replace(trees.nodes.join(taken, "dag_id", "left_semi"), trees.edges.join(taken, "dag_id", "left_semi"))
-        have = merge.add(have, collapsed(chosen).persisted("chosen"))
+        tree = tree.replace(edges=persisted(graph.renumbered(tree.edges), "sampled"))
+        index = I.build(tree)
+        moves = persisted(proposals(tree, radius, index, moves_for_each, seed + k), "proposals")
+        scored = move_changes(tree, moves, index)
+        ways = persisted(touched(tree, index, moves, radius), "touched")
+        novel = novel_sets(tree, ways, have.labels) if policy.kind == "coefficients" else None
+        scored = scored.withColumn("novel", F.lit(0).cast("bigint")) if novel is None else scored.join(novel, MOVE, "left").fillna(0, "novel")
+        accepted = persisted(scored.where(policy.accepted()).withColumn("rank", policy.score()), "accepted")
+        chosen = persisted(independent(ways.join(accepted.select(*MOVE), MOVE, "left_semi"), accepted, copies), "chosen")
+        if chosen.take(1):
+            have = merge.add(have, collapsed(rescored(applied(tree, chosen)).persisted("applied")).persisted("chosen"))
         low = graph.roots(have.dag).select(*KEY).join(optimum(have.dag, persisted(parsimony_weights(have.dag), "weights")), KEY).first()["weight"]
-        row = {"iteration": k + 1, "nodes": have.dag.nodes.count(), "edges": have.dag.edges.count(), "moves": scored.count(), "accepted": taken.count(), "parsimony": int(low)}
+        row = {"iteration": k + 1, "nodes": have.dag.nodes.count(), "edges": have.dag.edges.count(), "moves": scored.count(), "accepted": accepted.count(), "applied": chosen.count(), "parsimony": int(low)}
         log.append(row)
         if on_round:
             on_round(row)

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions import bases as B
 from arbora.functions import genomes as G
+from arbora.functions import numbers as N
 from arbora.model import Dag
 from arbora.operators import graph
 from arbora.session import persisted
@@ -26,82 +26,40 @@ Fold = Callable[[Column], Column]
 
 
 def product(w: Column) -> Column:
-    """Exact product of decimals; an error beyond 38 digits (big_product has no such end)."""
+    """Exact product of decimals; an error beyond 38 digits (number_product has no such end)."""
     return F.aggregate(F.collect_list(w), F.lit(1).cast(COUNT), lambda a, b: (a * b).cast(COUNT))
 
 
-def _sum(w: pd.Series) -> str:
-    return str(sum(map(int, w)))
+Step = Callable[[DataFrame, list[str]], DataFrame]
 
 
-def _product(w: pd.Series) -> str:
-    out = 1
-    for x in w:
-        out *= int(x)
-    return str(out)
+def by(agg: Fold) -> Step:
+    """An aggregate as a step of fold_rows."""
+    return lambda rows, key: rows.groupBy(*key).agg(agg(F.col("weight")).alias("weight"))
 
 
-def _least(w: pd.Series) -> str:
-    return str(min(map(int, w)))
+def log_sum(rows: DataFrame, key: list[str]) -> DataFrame:
+    """A step: logarithm of the sum of what the weights are logarithms of. The largest first, then the sum of the rest in proportion to it."""
+    most = rows.groupBy(*key).agg(F.max("weight").alias("_most"))
+    apart = rows.join(most, key).groupBy(*key).agg(F.first("_most").alias("_most"), F.sum(F.exp(F.col("weight") - F.col("_most"))).alias("_sum"))
+    return apart.select(*key, (F.col("_most") + F.log("_sum")).alias("weight"))
 
 
-def _most(w: pd.Series) -> str:
-    return str(max(map(int, w)))
+def number_sum(rows: DataFrame, key: list[str]) -> DataFrame:
+    """A step: the sum of numbers of any size (functions/numbers.py)."""
+    return N.add_up(rows, key, "weight")
 
 
-def _times(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([str(int(x) * int(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+def number_product(rows: DataFrame, key: list[str]) -> DataFrame:
+    """A step: the product of numbers of any size over the clades of a node."""
+    return N.multiply_up(rows, key, "clade", "weight", lambda df: persisted(df, "product"))
 
 
-def _over(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([str(int(x) // int(y)) for x, y in zip(a, b, strict=True)], dtype=object)
-
-
-def _plus(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([str(int(x) + int(y)) for x, y in zip(a, b, strict=True)], dtype=object)
-
-
-def big_min(w: Column) -> Column:
-    return F.pandas_udf(_least, "string")(w)
-
-
-def big_max(w: Column) -> Column:
-    return F.pandas_udf(_most, "string")(w)
-
-
-def big_times(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_times, "string")(a, b)
-
-
-def big_over(a: Column, b: Column) -> Column:
-    """The whole part of a / b, of numbers that are not negative."""
-    return F.pandas_udf(_over, "string")(a, b)
-
-
-def big_plus(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_plus, "string")(a, b)
-
-
-def log_sum(w: Column) -> Column:
-    """Logarithm of the sum of what w has logarithms of; for the alternatives of a clade."""
-    all_ = F.collect_list(w)
-    return F.array_max(all_) + F.log(F.aggregate(all_, F.lit(0.0), lambda t, x: t + F.exp(x - F.array_max(all_))))
-
-
-def big_sum(w: Column) -> Column:
-    """Exact sum of whole numbers of any size, carried as text."""
-    return F.pandas_udf(_sum, "string")(w)
-
-
-def big_product(w: Column) -> Column:
-    return F.pandas_udf(_product, "string")(w)
-
-
-def fold(dag: Dag, leaf: Column, within: Fold, between: Fold, above: Callable[[Column, Column], Column] | None = None, edge_weights: DataFrame | None = None, heights: DataFrame | None = None) -> DataFrame:
+def fold_rows(dag: Dag, leaf: Column, within: Step, between: Step, above: Callable[[Column, Column], Column] | None = None, edge_weights: DataFrame | None = None, heights: DataFrame | None = None) -> DataFrame:
     """dag_id, node_id, weight.
 
     leaf: of the node's columns. above(edge, child): the weight of an edge (column `edge` of edge_weights: dag_id, edge_id, edge) and its child's.
-    within and between: aggregates over the alternatives of a clade, and over the clades of a node.
+    within and between: steps from rows (dag_id, parent_id, clade, weight) to one for each clade, and from these to one for each dag_id, parent_id.
     """
     high = persisted(graph.heights(dag), "heights") if heights is None else heights
     edges = dag.edges
@@ -113,12 +71,17 @@ def fold(dag: Dag, leaf: Column, within: Fold, between: Fold, above: Callable[[C
     for h in range(1, (high.agg(F.max("height")).first()[0] or 0) + 1):
         met = edges.where(F.col("height") == h).join(done.withColumnRenamed("node_id", "child_id"), ["dag_id", "child_id"])
         w = F.col("weight") if above is None else above(edge, F.col("weight"))
-        clades = met.select("dag_id", "parent_id", "clade", w.alias("weight")).groupBy("dag_id", "parent_id", "clade").agg(within(F.col("weight")).alias("weight"))
-        level = persisted(clades.groupBy("dag_id", F.col("parent_id").alias("node_id")).agg(between(F.col("weight")).alias("weight")), f"weight{h}")
+        clades = within(met.select("dag_id", "parent_id", "clade", w.alias("weight")), ["dag_id", "parent_id", "clade"])
+        level = persisted(between(clades, ["dag_id", "parent_id"]).withColumnRenamed("parent_id", "node_id"), f"weight{h}")
         done = done.unionByName(level)
     return done
 
 
+def fold(dag: Dag, leaf: Column, within: Fold, between: Fold, above: Callable[[Column, Column], Column] | None = None, edge_weights: DataFrame | None = None, heights: DataFrame | None = None) -> DataFrame:
+    """fold_rows, where within and between are aggregates over the alternatives of a clade, and over the clades of a node."""
+    return fold_rows(dag, leaf, by(within), by(between), above, edge_weights, heights)
+
+
 def at_root(dag: Dag, weights: DataFrame) -> DataFrame:
     """dag_id, weight of each UA."""
     return graph.roots(dag).select(*KEY).join(weights, KEY).select("dag_id", "weight")
@@ -199,55 +162,74 @@ def trim(dag: Dag, edge_weights: DataFrame, ops: WeightOps | None = None) -> Dag
     return dag.replace(dag.nodes.join(seen, KEY, "left_semi"), edges)
 
 
+def number_counts(dag: Dag, heights: DataFrame | None = None) -> DataFrame:
+    """dag_id, node_id, weight: how many trees are below each node, as a number of any size."""
+    return fold_rows(dag, N.one(), number_sum, number_product, heights=heights)
+
+
 def tree_counts(dag: Dag, exact: bool = False, heights: DataFrame | None = None) -> DataFrame:
     """dag_id, node_id, weight: how many trees are below each node; exact: as text, of any size."""
     if exact:
-        return fold(dag, F.lit("1"), big_sum, big_product, heights=heights)
+        return number_counts(dag, heights).withColumn("weight", N.text(F.col("weight")))
     return fold(dag, F.lit(1).cast(COUNT), lambda w: F.sum(w).cast(COUNT), product, heights=heights)
 
 
 def log_tree_counts(dag: Dag, heights: DataFrame | None = None) -> DataFrame:
     """dag_id, node_id, weight: the natural logarithm of the number of trees below each node, however many they are."""
-    return fold(dag, F.lit(0.0), log_sum, F.sum, heights=heights)
+    return fold_rows(dag, F.lit(0.0), log_sum, by(F.sum), heights=heights)
 
 
-def optimal_tree_counts(dag: Dag, edge_weights: DataFrame, ops: WeightOps | None = None, exact: bool = False) -> DataFrame:
+def optimal_tree_counts(dag: Dag, edge_weights: DataFrame, ops: WeightOps | None = None, exact: bool = False, heights: DataFrame | None = None) -> DataFrame:
     """dag_id, node_id, weight: how many best trees are below each node."""
-    return tree_counts(dag.replace(edges=persisted(optimal_edges(dag, edge_weights, ops), "optimal")), exact)
+    best = optimal_edges(dag, edge_weights, ops, optimum(dag, edge_weights, ops, heights))
+    return tree_counts(dag.replace(edges=persisted(best, "optimal")), exact, heights)
 
 
-# Histograms: weight -> how many trees have it, as rows (key columns, weight, n).
+# Histograms: weight -> how many trees have it, as rows (key columns, weight, n); n is a number of any size (functions/numbers.py).
 
 
 def counter_sum(counters: DataFrame, key: list[str]) -> DataFrame:
-    """Multiset union of the counters of each key."""
+    """Multiset union of the counters of each key; n: numbers of any size, or decimals of 38 digits."""
+    if dict(counters.dtypes)["n"] == N.KIND:
+        return N.add_up(counters, [*key, "weight"], "n")
     return counters.groupBy(*key, "weight").agg(F.sum("n").cast(COUNT).alias("n"))
 
 
-def counter_product(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    """Every weight of a with every weight of b of the same key; a key that one of them lacks has no rows."""
+def counter_product(a: DataFrame, b: DataFrame, key: list[str], pair: Callable[[Column, Column], Column] = lambda x, y: x + y) -> DataFrame:
+    """Every weight of a with every weight of b of the same key, paired; a key that one of them lacks has no rows."""
+    times = N.times if dict(a.dtypes)["n"] == N.KIND else lambda x, y: (x * y).cast(COUNT)
     b = b.select(*key, F.col("weight").alias("_w"), F.col("n").alias("_n"))
     met = a.join(b, key) if key else a.crossJoin(b)
-    return met.groupBy(*key, (F.col("weight") + F.col("_w")).alias("weight")).agg(F.sum(F.col("n") * F.col("_n")).cast(COUNT).alias("n"))
+    return counter_sum(met.select(*key, pair(F.col("weight"), F.col("_w")).alias("weight"), times(F.col("n"), F.col("_n")).alias("n")), key)
 
 
-def histogram(dag: Dag, edge_weights: DataFrame, heights: DataFrame | None = None) -> DataFrame:
-    """dag_id, node_id, weight, n: of all trees below each node, how many have each weight.
+def distribution(dag: Dag, edge_weights: DataFrame, ops: WeightOps | None = None, pair: Callable[[Column, Column], Column] = lambda x, y: x + y, heights: DataFrame | None = None) -> DataFrame:
+    """dag_id, node_id, weight, n: of all trees below each node, how many have each weight, for any weight; n is a number of any size.
 
-    Clades are folded in pairs, so that a node of k clades takes log2(k) rounds, and rows are distinct weights, not trees.
+    pair(a, b): what ops.between makes of two clades. Clades with alternatives are folded in pairs, so that a node of k clades takes log2(k) rounds, the
+    others by ops.between at once; rows are distinct weights, not trees.
     """
+    ops = ops or parsimony()
     high = persisted(graph.heights(dag), "heights") if heights is None else heights
     edges = persisted(dag.edges.join(edge_weights, ["dag_id", "edge_id"]).join(high.select("dag_id", F.col("node_id").alias("parent_id"), "height"), ["dag_id", "parent_id"]), "by-height")
-    done = persisted(graph.leaves(dag).select(*KEY, F.lit(0).cast("bigint").alias("weight"), F.lit(1).cast(COUNT).alias("n")), "counter0")
+    done = persisted(graph.leaves(dag).select(*KEY, ops.leaf.alias("weight"), N.one().alias("n")), "counter0")
+    key = ["dag_id", "parent_id", "clade"]
     for h in range(1, (high.agg(F.max("height")).first()[0] or 0) + 1):
         met = edges.where(F.col("height") == h).join(done.withColumnRenamed("node_id", "child_id"), ["dag_id", "child_id"])
-        part = counter_sum(met.select("dag_id", "parent_id", "clade", (F.col("edge") + F.col("weight")).alias("weight"), "n"), ["dag_id", "parent_id", "clade"])
-        part = persisted(part, "counter")
+        part = persisted(counter_sum(met.select(*key, ops.above(F.col("edge"), F.col("weight")).alias("weight"), "n"), key), "counter")
+        # Clades of a single weight and tree are one aggregate; only those with alternatives are paired.
+        many = part.groupBy(*key).agg(F.count("*").alias("_k"), F.first("n").alias("_n")).where((F.col("_k") > 1) | (F.col("_n") != N.one())).select(*key)
+        single = part.join(many, key, "left_anti").groupBy("dag_id", "parent_id").agg(ops.between(F.col("weight")).alias("weight"), F.min("clade").alias("clade"))
+        part = persisted(part.join(many, key, "left_semi").unionByName(single.select(*key, "weight", N.one().alias("n"))), "counter")
         while (part.agg(F.max("clade")).first()[0] or 0) > 0:
-            key = ["dag_id", "parent_id", "clade"]
-            pair = lambda r: part.where(F.col("clade") % 2 == r).withColumn("clade", F.floor(F.col("clade") / 2).cast("int"))  # noqa: B023, E731
-            even, odd = pair(0), pair(1)
+            of = lambda r: part.where(F.col("clade") % 2 == r).withColumn("clade", F.floor(F.col("clade") / 2).cast("int"))  # noqa: B023, E731
+            even, odd = of(0), of(1)
             alone = even.join(odd.select(*key).distinct(), key, "left_anti")
-            part = persisted(counter_product(even, odd, key).unionByName(alone.select(*key, "weight", "n")), "counter")
+            part = persisted(counter_product(even, odd, key, pair).unionByName(alone.select(*key, "weight", "n")), "counter")
         done = done.unionByName(part.select("dag_id", F.col("parent_id").alias("node_id"), "weight", "n"))
     return done
+
+
+def histogram(dag: Dag, edge_weights: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """dag_id, node_id, weight, n: of all trees below each node, how many have each sum of edge weights; n is text, of any size."""
+    return distribution(dag, edge_weights, heights=heights).withColumn("n", N.text(F.col("n")))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from arbora.functions import bases as B
 from arbora.functions import genomes as G
 from arbora.functions import likelihood as J
+from arbora.functions import numbers as N
 from arbora.model import Dag
-from arbora.operators import distances, graph, labels, sampling, sankoff, search
+from arbora.operators import distances, graph, index, labels, sampling, sankoff, search
 from arbora.operators import merge as M
 from arbora.operators import weights as W
 from arbora.plans import adapter
@@ -108,16 +109,17 @@ def parsimony_ua_free(spark, d):
 
 def optimal_tree_count(spark, d):
     c = Case(spark, d)
-    return c.root(W.optimal_tree_counts(c.dag, c.parsimony)).select(F.col("weight").cast("string").alias("trees"))
+    return c.root(W.optimal_tree_counts(c.dag, c.parsimony, heights=c.heights)).select(F.col("weight").cast("string").alias("trees"))
 
 
-def _parsimony_histogram(where: str | None):
-    def run(spark, d):
-        c = Case(spark, d, where)
-        top = graph.roots(c.dag).select(*graph.KEY)
-        return W.histogram(c.dag, c.parsimony, c.heights).join(top, graph.KEY).select(F.col("weight").alias("parsimony"), F.col("n").cast("string").alias("trees"))
+def _parsimonies(spark, d) -> DataFrame:
+    """weight, n (a number of any size): how many trees of the whole DAG have each parsimony score."""
+    c = Case(spark, d)
+    return adapter._once(spark, ("parsimonies", d), lambda: persisted(W.distribution(c.dag, c.parsimony, heights=c.heights).join(graph.roots(c.dag).select(*graph.KEY), graph.KEY).select("weight", "n"), "parsimonies"))
 
-    return run
+
+def parsimony_histogram(spark, d):
+    return _parsimonies(spark, d).select(F.col("weight").alias("parsimony"), N.text(F.col("n")).alias("trees"))
 
 
 def trimmed_edges(spark, d):
@@ -139,14 +141,10 @@ def _sum_rf(most: bool):
     return run
 
 
-def _dag_info(where: str | None):
-    def run(spark, d):
-        c = Case(spark, d, where)
-        top = graph.roots(c.dag).select(*graph.KEY)
-        h = W.histogram(c.dag, c.parsimony, c.heights).join(top, graph.KEY)
-        return h.agg(F.sum("n").cast("string").alias("trees"), F.min("weight").alias("least"), F.min_by("n", "weight").cast("string").alias("n_least"), F.max("weight").alias("most"), F.max_by("n", "weight").cast("string").alias("n_most"))
-
-    return run
+def dag_info(spark, d):
+    h = _parsimonies(spark, d)
+    ends = h.agg(F.min("weight").alias("least"), N.text(F.min_by("n", "weight")).alias("n_least"), F.max("weight").alias("most"), N.text(F.max_by("n", "weight")).alias("n_most"))
+    return N.add_up(h, [], "n").select(N.text(F.col("n")).alias("trees")).crossJoin(ends)
 
 
 def leaf_set_sizes(spark, d):
@@ -246,17 +244,21 @@ def ancestor_closure(spark, d):
     return graph.ancestors(adapter.all_trees(spark, d).only("A")).groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count("*").alias("pairs"))
 
 
+def _index(spark, d, tree: str):
+    return adapter._once(spark, ("index", d, tree), lambda: index.build(adapter.all_trees(spark, d).only(tree)))
+
+
 def lca_pairs(spark, d):
     t = adapter.all_trees(spark, d).only("A")
     leaf = graph.leaves(t).select("dag_id", "node_id", F.col("sample_id").cast("bigint").alias("ck"))
     nxt = leaf.select("dag_id", F.col("node_id").alias("b"), (F.col("ck") - 1).alias("ck"))
     pairs = leaf.withColumnRenamed("node_id", "a").join(nxt, ["dag_id", "ck"])
-    return search.lca(graph.ancestors(t), pairs).join(pairs, ["dag_id", "a", "b"]).select("ck", F.col("distance").cast("bigint").alias("distance"))
+    return index.lca(_index(spark, d, "A"), pairs).select("ck", F.col("distance").cast("bigint").alias("distance"))
 
 
 def nodes_by_depth(spark, d):
-    t = adapter.all_trees(spark, d).only("A")
-    return graph.preorder(t).groupBy(F.col("depth").cast("bigint").alias("depth")).agg(F.count("*").alias("nodes"), F.countDistinct("path").alias("paths"))
+    nodes = _index(spark, d, "A").nodes
+    return nodes.groupBy(F.col("depth").cast("bigint").alias("depth")).agg(F.count("*").alias("nodes"), F.countDistinct("enter").alias("paths"))
 
 
 def _leaves_below(where: str | None):
@@ -386,6 +388,14 @@ opt AS (SELECT g.*, hamming(gr, gq) + f.w AS wc, hamming(gr, gq) + d.w AS wa FRO
 side AS (SELECT side, hamming(r, gr) + sum(CASE WHEN alt = 2 THEN least(wc, wa) ELSE wc END) AS lo, hamming(r, gr) + sum(CASE WHEN alt = 2 THEN greatest(wc, wa) ELSE wc END) AS hi,
     CAST(product(CASE WHEN alt = 2 AND wc = wa THEN 2 ELSE 1 END) AS BIGINT) AS ties, hamming(r, gr) AS up FROM opt, top, ref GROUP BY side, r, gr),
 """
+# The groups of a side choose apart from one another: their weights are convolved, one group after another.
+CONVOLVED = """
+turn AS (SELECT side, row_number() OVER (PARTITION BY side ORDER BY q) AS i, alt, wc, wa FROM opt),
+choice AS (SELECT side, i, wc AS w FROM turn UNION ALL SELECT side, i, wa FROM turn WHERE alt = 2),
+conv(side, i, w, n) AS (SELECT DISTINCT side, CAST(0 AS BIGINT), CAST(hamming(r, gr) AS HUGEINT), CAST(1 AS HUGEINT) FROM opt, top, ref
+    UNION ALL SELECT side, i, CAST(w AS HUGEINT), CAST(sum(n) AS HUGEINT) FROM (SELECT c.side, c.i + 1 AS i, c.w + x.w AS w, c.n FROM conv c JOIN choice x ON x.side = c.side AND x.i = c.i + 1) GROUP BY side, i, w),
+histogram AS (SELECT w, CAST(sum(n) AS HUGEINT) AS n FROM conv JOIN (SELECT side, max(i) AS i FROM turn GROUP BY side) USING (side, i) GROUP BY w),
+"""
 FREQUENCIES = """
 tot AS (SELECT CAST(max(CASE WHEN side = 1 THEN p END) AS BIGINT) AS t1, CAST(max(CASE WHEN side = 2 THEN p END) AS BIGINT) AS t2 FROM (SELECT side, product(alt) AS p FROM grp GROUP BY side)),
 cells AS (SELECT c, kc, CAST(sum(CASE WHEN m = 1 THEN CASE WHEN side = 1 THEN t1 ELSE t2 END ELSE (CASE WHEN side = 1 THEN t1 ELSE t2 END) // 2 END) AS BIGINT) AS cnt FROM mem JOIN grp USING (side, q), tot WHERE kc > 1 GROUP BY c, kc),
@@ -443,8 +453,8 @@ QUERIES = {
     "parsimony_max": (parsimony_max, _sql("SELECT CAST(max(hi) AS BIGINT) AS parsimony FROM side", COSTS)),
     "parsimony_ua_free": (parsimony_ua_free, _sql("SELECT CAST(min(lo - up) AS BIGINT) AS parsimony FROM side", COSTS)),
     "optimal_tree_count": (optimal_tree_count, _sql("SELECT CAST(CAST(sum(ties) AS BIGINT) AS VARCHAR) AS trees FROM side WHERE lo = (SELECT min(lo) FROM side)", COSTS)),
-    "parsimony_histogram": (_parsimony_histogram(None), None),
-    "dag_info": (_dag_info(None), None),
+    "parsimony_histogram": (parsimony_histogram, _sql("SELECT CAST(w AS BIGINT) AS parsimony, CAST(n AS VARCHAR) AS trees FROM histogram", COSTS, CONVOLVED).replace("WITH", "WITH RECURSIVE", 1)),
+    "dag_info": (dag_info, _sql("SELECT CAST(sum(n) AS VARCHAR) AS trees, CAST(min(w) AS BIGINT) AS least, CAST(arg_min(n, w) AS VARCHAR) AS n_least, CAST(max(w) AS BIGINT) AS most, CAST(arg_max(n, w) AS VARCHAR) AS n_most FROM histogram", COSTS, CONVOLVED).replace("WITH", "WITH RECURSIVE", 1)),
     "trimmed_edges": (trimmed_edges, _sql("""SELECT CAST(count(*) AS BIGINT) AS edges, CAST(count(DISTINCT c) + 1 AS BIGINT) AS nodes FROM (
         SELECT 'UA' AS p, 'root' || side AS c FROM good UNION ALL SELECT 'root' || side, CASE WHEN k = 1 THEN 'leaf' || (SELECT min(ck) FROM cu WHERE n = q OR s = q) WHEN m = 1 THEN (SELECT min(c) FROM mem WHERE mem.q = o.q AND mem.side = o.side) ELSE q || 'flat' END FROM o WHERE flat
         UNION ALL SELECT 'root' || side, q || 'deep' FROM o WHERE deep
@@ -493,7 +503,6 @@ QUERIES = {
     "condensed_leaves": (condensed_leaves, "SELECT min(p_partkey) AS stands_for, count(*) AS members FROM part GROUP BY translate(substr(md5(p_brand), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"),
     "first_of_each": (first_of_each, "SELECT event_type, count(*) AS users FROM (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id) GROUP BY event_type"),
     "spr_moves": (spr_moves, None),
-    # The whole tables, of which the SQL of the same name takes a part.
 }
 
 

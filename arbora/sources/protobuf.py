@@ -260,12 +260,12 @@ def encode_trees(dag: Dag) -> DataFrame:
     own = m.join(dag.nodes.select("dag_id", "node_id", "sample_id"), ["dag_id", "node_id"])
     rows = own.select("dag_id", "node_id", F.when(F.col("parent_id") != F.col("_ua"), F.col("parent_id")).alias("parent_id"), "clade", F.coalesce("sample_id", F.concat(F.lit("inner_"), "node_id")).alias("label"), F.lit(None).cast("double").alias("length"))
     texts = newick.write(rows)
-    order = graph.preorder(dag).select("dag_id", "node_id", "path")
-    lists = own.join(order, ["dag_id", "node_id"]).select("dag_id", "path", "muts")
+    order = graph.preorder(dag).select("dag_id", "node_id", "enter")
+    lists = own.join(order, ["dag_id", "node_id"]).select("dag_id", "enter", "muts")
 
     def whole(key, pdf: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
         mut = lambda x: field(1, x["pos"]) + field(3, LETTERS.index(x["par"])) + field(4, _varint(LETTERS.index(x["mut"])))
-        body = b"".join(field(2, b"".join(field(1, mut(x)) for x in ms)) for ms in pdf.sort_values("path")["muts"])
+        body = b"".join(field(2, b"".join(field(1, mut(x)) for x in ms)) for ms in pdf.sort_values("enter")["muts"])
         return pd.DataFrame({"dag_id": [key[0]], "content": [field(1, text["newick"].iloc[0]) + body]})
 
     return lists.groupBy("dag_id").cogroup(texts.groupBy("dag_id")).applyInPandas(whole, "dag_id string, content binary")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions import genomes as G
 from arbora.model import from_rows
-from arbora.operators import distances, graph, labels, sampling, sankoff, search
+from arbora.operators import distances, graph, index, labels, sampling, sankoff, search
 from arbora.operators import merge as M
 from arbora.operators import weights as W
 from arbora.session import persisted
@@ -36,9 +36,9 @@ def test_topology(spark):
     assert graph.is_tree(dag).first()[1:] == (11, 10, True) and graph.leaves(dag).count() == 6
     assert graph.violations(dag, allow_dag=False).count() == 0
     pairs = spark.createDataFrame([("dag", a, b) for a, b in ((1, 2), (1, 3), (2, 4), (1, 5), (1, 7), (1, 8), (5, 10))], "dag_id string, a bigint, b bigint")
-    assert {(r.a, r.b): r.lca for r in search.lca(graph.ancestors(dag), pairs).collect()} == {(1, 2): 7, (1, 3): 8, (2, 4): 8, (1, 5): 10, (1, 7): 7, (1, 8): 8, (5, 10): 10}
+    assert {(r.a, r.b): r.lca for r in index.lca(index.build(dag), pairs).collect()} == {(1, 2): 7, (1, 3): 8, (2, 4): 8, (1, 5): 10, (1, 7): 7, (1, 8): 8, (5, 10): 10}
     assert {r.node_id: r.height for r in graph.heights(dag).collect()} == {**dict.fromkeys(range(1, 7), 0), 7: 1, 9: 1, 8: 2, 10: 3, 0: 4}
-    order = [r.node_id for r in graph.preorder(dag).orderBy("path").collect()]
+    order = [r.node_id for r in graph.preorder(dag).orderBy("enter").collect()]
     assert order == [0, 10, 8, 3, 4, 7, 1, 2, 9, 5, 6]
     near = {r.node_id: r for r in graph.neighbours(dag).collect()}
     assert near[8].clades == [[3], [4], [7]] and near[8].parents == [10]
