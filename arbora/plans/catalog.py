@@ -442,6 +442,63 @@ rf AS (SELECT side, sum(base + CASE WHEN alt = 2 THEN least(0, w) ELSE 0 END) AS
 """
 RF_SUM = "CAST(CAST({f}({c}) + (SELECT sum(cnt) FROM sets) - (SELECT (t1 + t2) * (leaves + 1) FROM tot, top) AS HUGEINT) AS VARCHAR)"
 
+
+
+def _moves_sql() -> str:
+    """Moves of the tree of segments by their five kinds: a leaf to a sibling, to the root, to another segment; a segment to another, to a leaf of another.
+
+    What a site adds depends on the bases and sets that meet there, so each kind has a table by them. Segments have two leaves at least, and there are three or more.
+    """
+    bits = (1, 2, 4, 8)
+    four = lambda f: [f(b) for b in range(4)]
+    most = lambda n: f"greatest({', '.join(n)})"
+    majority = lambda n: " + ".join(f"{bit} * CAST({x} = {most(n)} AS INT)" for bit, x in zip(bits, n, strict=True))
+    has = lambda mask, b: f"(({mask} >> {b}) & 1)"
+    pair = lambda a, b: f"CASE WHEN {a} & {b} <> 0 THEN {a} & {b} ELSE {a} | {b} END"
+    apart = lambda a, b: f"CAST({a} & {b} = 0 AS INT)"
+    column = lambda prefix: four(lambda b: f"{prefix}{b}")
+
+    def counted(name: str, source: str, keep: str, changed: list[str], k: str) -> str:
+        """CTE: the rows of source with the new counts, their set and cost."""
+        return f"{name} AS (SELECT {keep}, {majority(column('z'))} AS zmask, zk - {most(column('z'))} AS zcost FROM (SELECT {keep}, {', '.join(f'{c} AS z{b}' for b, c in enumerate(changed))}, {k} AS zk FROM ({source})))"
+
+    less = four(lambda b: f"c{b} - {has('x', b)}")
+    top = lambda plus, k: (four(lambda b: f"r{b} + {plus.replace('#', str(b))}"), k)
+    parts = [
+        "bit AS (SELECT s, pos, CAST(1 << (instr('ACGT', substr(g, CAST(pos AS INT), 1)) - 1) AS INT) AS x, ck FROM cu, (SELECT unnest(range(1, 33)) AS pos))",
+        f"cnt AS (SELECT s, pos, {', '.join(f'CAST(sum({has('x', b)}) AS INT) AS c{b}' for b in range(4))}, CAST(count(*) AS INT) AS k FROM bit GROUP BY s, pos)",
+        f"sg AS (SELECT *, {majority(column('c'))} AS m, k - {most(column('c'))} AS cost FROM cnt)",
+        f"rt AS (SELECT pos, {', '.join(f'CAST(sum({has('m', b)}) AS INT) AS r{b}' for b in range(4))}, CAST(count(*) AS INT) AS segs FROM sg GROUP BY pos)",
+        f"rt2 AS (SELECT rt.*, {majority(column('r'))} AS rm, segs - {most(column('r'))} AS rcost, CAST(1 << (instr('ACGT', substr(r, CAST(pos AS INT), 1)) - 1) AS INT) AS ref FROM rt, ref)",
+        "kind AS (SELECT DISTINCT s, pos, x FROM bit)",
+        # A leaf of base x leaves segment s.
+        counted("gone", "SELECT * FROM kind JOIN sg USING (s, pos)", "s, pos, x, m, cost", less, "k - 1"),
+        # 1: to a sibling of the same base (of another base nothing changes).
+        counted("t1", "SELECT s, pos, x, m, cost, zmask AS n, zcost AS ncost, r0, r1, r2, r3, segs, rm, rcost, ref FROM gone JOIN rt2 USING (pos)", "s, pos, x, m, cost, n, ncost, rm, rcost, ref", *top(f"{has('n', '#')} - {has('m', '#')}", "segs")),
+        f"d1 AS (SELECT s, pos, x, ncost - cost + zcost - rcost + {apart('zmask', 'ref')} - {apart('rm', 'ref')} AS d FROM t1)",
+        f"d2 AS (SELECT s, pos, x, ncost - cost + zcost - rcost + {apart('zmask', 'x')} + {apart(f'({pair('zmask', 'x')})', 'ref')} - {apart('rm', 'ref')} AS d FROM t1)",
+        # 3: to another segment, t.
+        counted("t3", f"SELECT g.s, t.s AS t, pos, x, g.m, g.cost, g.zmask AS n, g.zcost AS ncost, t.m AS tm, {pair('x', 't.m')} AS tn, r0, r1, r2, r3, segs, rm, rcost, ref FROM gone g JOIN sg t USING (pos) JOIN rt2 USING (pos) WHERE t.s <> g.s", "s, t, pos, x, m, cost, n, ncost, tm, rm, rcost, ref", *top(f"{has('n', '#')} - {has('m', '#')} + {has('tn', '#')} - {has('tm', '#')}", "segs")),
+        f"d3 AS (SELECT s, t, pos, x, ncost - cost + {apart('x', 'tm')} + zcost - rcost + {apart('zmask', 'ref')} - {apart('rm', 'ref')} AS d FROM t3)",
+        # 4: a segment to another.
+        counted("t4", f"SELECT a.s, b.s AS t, pos, a.m, b.m AS tm, {pair('a.m', 'b.m')} AS tn, r0, r1, r2, r3, segs, rm, rcost, ref FROM sg a JOIN sg b USING (pos) JOIN rt2 USING (pos) WHERE a.s <> b.s", "s, t, pos, m, tm, rm, rcost, ref", *top(f"{has('tn', '#')} - {has('m', '#')} - {has('tm', '#')}", "segs - 1")),
+        f"d4 AS (SELECT s, t, pos, {apart('m', 'tm')} + zcost - rcost + {apart('zmask', 'ref')} - {apart('rm', 'ref')} AS d FROM t4)",
+        # 5: a segment to a leaf of base x in another, t.
+        counted("t5a", f"SELECT a.s, k.s AS t, pos, x, a.m, b.m AS tm, b.cost, b.k, c0, c1, c2, c3, n FROM kind k JOIN (SELECT s, pos, m, cost, k, c0, c1, c2, c3 FROM sg) b ON b.s = k.s AND b.pos = k.pos JOIN (SELECT s, pos AS _p, m FROM sg) a ON a._p = k.pos AND a.s <> k.s, LATERAL (SELECT {pair('a.m', 'k.x')} AS n)".replace("SELECT a.s, k.s AS t, pos, x", "SELECT a.s, k.s AS t, k.pos, x"), "s, t, pos, x, m, tm, cost", four(lambda b: f"c{b} - {has('x', b)} + {has('n', b)}"), "k"),
+        counted("t5", "SELECT s, t, pos, x, m, tm, cost, zmask AS tn, zcost AS tcost, r0, r1, r2, r3, segs, rm, rcost, ref FROM t5a JOIN rt2 USING (pos)", "s, t, pos, x, m, tm, cost, tcost, rm, rcost, ref", *top(f"{has('tn', '#')} - {has('m', '#')} - {has('tm', '#')}", "segs - 1")),
+        f"d5 AS (SELECT s, t, pos, x, {apart('m', 'x')} + tcost - cost + zcost - rcost + {apart('zmask', 'ref')} - {apart('rm', 'ref')} AS d FROM t5)",
+        f"old AS (SELECT (SELECT sum(rcost + {apart('rm', 'ref')}) FROM rt2) + (SELECT sum(cost) FROM sg) - (SELECT hamming(r, gr) FROM ref, top) - (SELECT sum(hamming(gr, gq)) FROM seg, top) - (SELECT sum(hamming(gq, g)) FROM cu JOIN seg ON q = s) AS base)",
+        # Bases by leaf at the sites where a leaf's own base counts, as pairs that agree.
+        "moves AS (SELECT 2 AS distance, coalesce(sum(d) FILTER (WHERE a.x = b.x), 0) AS d FROM bit a JOIN bit b ON a.s = b.s AND a.pos = b.pos AND a.ck <> b.ck JOIN d1 ON d1.s = a.s AND d1.pos = a.pos AND d1.x = a.x WHERE a.s IN (SELECT q FROM seg WHERE k > 2) GROUP BY a.ck, b.ck"
+        " UNION ALL SELECT 2, sum(d) FROM bit JOIN d2 USING (s, pos, x) GROUP BY ck"
+        " UNION ALL SELECT 3, sum(d) FROM bit JOIN d3 USING (s, pos, x) GROUP BY ck, t"
+        " UNION ALL SELECT 2, sum(d) FROM d4 GROUP BY s, t"
+        " UNION ALL SELECT 3, sum(d) FROM bit b JOIN d5 ON d5.t = b.s AND d5.pos = b.pos AND d5.x = b.x GROUP BY ck, d5.s)",
+    ]
+    body = "SELECT CAST(distance AS BIGINT) AS distance, count(*) AS moves, CAST(min(d) + base AS BIGINT) AS best, CAST(max(d) + base AS BIGINT) AS worst FROM moves, old GROUP BY distance, base"
+    return _sql(body, ",\n".join(parts) + ",")
+
+
 QUERIES = {
     "tree_count": (tree_count, _sql("SELECT CAST(t1 + t2 AS VARCHAR) AS trees FROM tot", FREQUENCIES)),
     "tree_count_exact": (tree_count_exact, _sql("SELECT CAST(t1 + t2 AS VARCHAR) AS trees FROM tot", FREQUENCIES)),
@@ -502,7 +559,7 @@ QUERIES = {
     "variant_overlay": (variant_overlay, _sql("SELECT (SELECT count(*) FROM cu JOIN nat ON q = n, top WHERE substr(g, 1, 1) <> substr(CASE WHEN k > 1 THEN gq ELSE gr END, 1, 1)) AS before, 0::BIGINT AS after, 0::BIGINT AS unmatched")),
     "condensed_leaves": (condensed_leaves, "SELECT min(p_partkey) AS stands_for, count(*) AS members FROM part GROUP BY translate(substr(md5(p_brand), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"),
     "first_of_each": (first_of_each, "SELECT event_type, count(*) AS users FROM (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id) GROUP BY event_type"),
-    "spr_moves": (spr_moves, None),
+    "spr_moves": (spr_moves, _moves_sql()),
 }
 
 
