@@ -34,9 +34,25 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "lz4").parquet(path)
+    written(spark).append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(spark: SparkSession) -> list[str]:
+    """The folders that persisted() has written in this application, in order."""
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders of persisted(), once no DataFrame reads them any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Remove all that persisted() wrote in this application: once its results are no longer read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import bpe, decontaminate, minhash, passages, quality
-from arbora.session import load, persisted, ship
+from arbora.session import load, persisted, remove, ship, written
 
 #: Bytes of text that go to a Python worker at once on average, and documents at most; several batches are in memory together.
 BATCH_BYTES, BATCH = 8 << 20, 2_000
@@ -25,6 +25,7 @@ ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def staged(stage):
     """The stage, with batches that fit its documents: it lowers the session's setting where that is higher. run() puts it back.
 
+    What earlier stages wrote on their way, but for what docs still reads, is removed first: a stage's result is written before the next one begins.
     Of every stage: null and empty texts, repeated rows, rows with a null doc_id, very long texts and further columns of any name go through as
     its operator says; an empty table stays one.
     """
@@ -35,11 +36,23 @@ def staged(stage):
         most, now = max(16, min(BATCH, int(BATCH_BYTES / size))), int(spark.conf.get(ROWS))
         if now <= 0 or now > most:
             spark.conf.set(ROWS, str(most))
-        return stage(ship(spark), docs, sf_dir)
+        left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+        read = {f.rsplit("/", 1)[0].split("://")[-1].removeprefix("file:") for f in docs.inputFiles()}
+        gone = [p for p in left if p.split("://")[-1] not in read]
+        remove(spark, gone)
+        left[:] = [p for p in left if p not in gone]
+        before = len(written(spark))
+        out = stage(ship(spark), docs, sf_dir)
+        left += written(spark)[before:]
+        return out
 
     return run
 
 
+#: By application, the folders that stages have written and that are still there.
+_LEFT: dict[str, list[str]] = {}
+
+
 @staged
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1, fitted on the labelled documents: what scores under 0.5 goes."""
