@@ -18,7 +18,7 @@ from arbora.llm import bpe, decontaminate, minhash, passages, quality
 from arbora.session import load, persisted, remove, ship, written
 
 #: Bytes of text that go to a Python worker at once on average, and documents at most; several batches are in memory together.
-BATCH_BYTES, BATCH = 8 << 20, 2_000
+BATCH_BYTES, BATCH = 2 << 20, 2_000
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
