@@ -59,6 +59,7 @@ def _parser() -> argparse.ArgumentParser:
     o.add_argument("--trim", action="store_true")
     o.add_argument("--seed", type=int, default=0)
     o.add_argument("--log")
+    o.add_argument("--statistics", action="store_true", help="trees, scores and distances of the DAG in each row of the log")
     return parser
 
 
@@ -86,6 +87,7 @@ def info(dag: Dag, histogram: bool = False, rf: bool = False) -> dict:
         counts = persisted(distances.leafset_counts(dag, sets, high, exact=True), "counts")
         for name, most in (("least", False), ("most", True)):
             out[f"{name}_sum_rf"] = int(distances.sum_rf(dag, sets, counts, n, most, high, exact=True).first()["weight"])
+            out[f"{name}_sum_rf_trees"] = int(distances.sum_rf_trees(dag, sets, counts, n, most, high).first()["weight"])
     return out
 
 
@@ -101,7 +103,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     elif args.command == "optimise":
         policy = search.Policy(args.policy, args.parsimony_coefficient, args.node_coefficient)
-        have, log = search.optimise(_load(spark, args), args.rounds, args.radius, args.seed, policy, args.moves, args.patience, args.trim, on_round=lambda row: print(json.dumps(row)))
+        have, log = search.optimise(_load(spark, args), args.rounds, args.radius, args.seed, policy, args.moves, args.patience, args.trim, on_round=lambda row: print(json.dumps(row)), statistics=(lambda dag: info(dag, rf=True)) if args.statistics else None)
         if args.log:
             files.append_log(spark, log, args.log)
         dag = have.dag

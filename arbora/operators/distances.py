@@ -88,3 +88,12 @@ def sum_rf(dag: Dag, sets: DataFrame, counts: DataFrame, n_trees: int, most: boo
     ops = parsimony(F.max if most else F.min)
     best = optimum(dag, edges, WeightOps(F.lit(0).cast(COUNT), lambda e, w: (e + w).cast(COUNT), lambda w: F.sum(w).cast(COUNT), ops.best), heights)
     return graph.roots(dag).select(*KEY).join(best, KEY).select("dag_id", (F.col("weight") + F.lit(str(shift)).cast(COUNT)).cast(COUNT).alias("weight"))
+
+
+def sum_rf_trees(dag: Dag, sets: DataFrame, counts: DataFrame, n_trees: int, most: bool = False, heights: DataFrame | None = None) -> DataFrame:
+    """dag_id, weight: how many trees of dag have the least (or largest) sum of distances, as text; counts: exact, as text."""
+    edges = persisted(rf_weights(dag, sets, counts, n_trees, exact=True), "rf")
+    best = F.max if most else F.min
+    below = W.fold_rows(dag, N.zero(), W.by(best), W.number_sum, N.plus, edges, heights)
+    kept = W.optimal_edges(dag, edges, WeightOps(N.zero(), N.plus, F.first, best), below)
+    return W.at_root(dag, tree_counts(dag.replace(edges=persisted(kept, "optimal")), exact=True, heights=heights))

@@ -65,9 +65,9 @@ def merge(dag: Dag, name: str = "merged", order: list[str] | None = None, label:
     return _built(nodes, _relabelled(dag, label), dag.reference, name)
 
 
-def add(merged: Merged, more: Dag, order: list[str] | None = None) -> Merged:
-    """The union with further DAGs: known nodes keep their ids and genomes, new ones follow."""
-    label = labelled(more)
+def add(merged: Merged, more: Dag, order: list[str] | None = None, label: DataFrame | None = None, edges: DataFrame | None = None) -> Merged:
+    """The union with further DAGs: known nodes keep their ids and genomes, new ones follow. edges: more of them, by label (parent_key, child_key, clade_key)."""
+    label = labelled(more) if label is None else label
     known = merged.dag.nodes.join(merged.labels, "node_id").select("node_id", "label_key", "sample_id", "genome", "n_leaves", "leafset_key")
     new = _nodes(more, label, order).join(known.select("label_key"), "label_key", "left_anti")
     base = (known.agg(F.max("node_id")).first()[0] or 0) + 1
@@ -75,7 +75,28 @@ def add(merged: Merged, more: Dag, order: list[str] | None = None) -> Merged:
     nodes = persisted(known.unionByName(new.select(*known.columns)), "merged-nodes")
     own = merged.labels.withColumn("dag_id", F.lit("merged"))
     before = _relabelled(Dag(merged.dag.nodes.withColumn("dag_id", F.lit("merged")), merged.dag.edges.withColumn("dag_id", F.lit("merged")), merged.dag.reference), own)
-    return _built(nodes, before.union(_relabelled(more, label)).distinct(), merged.dag.reference, "merged")
+    found = before.union(_relabelled(more, label))
+    return _built(nodes, (found if edges is None else found.union(edges)).distinct(), merged.dag.reference, "merged")
+
+
+def add_below(merged: Merged, more: Dag, below: DataFrame) -> Merged:
+    """The union with what lies below one node (below: dag_id, node_id, a row) of a further DAG: that node, its subtrees and no more, its UA and root left out.
+
+    Labels depend only on what is below a node, so those of the part are those of the whole. The node hangs wherever the merged DAG has a clade of the
+    same leaves: its edges from there are added, so that every tree may take it. Below a UA the whole DAG is meant. Raises ValueError if no clade has these leaves.
+    """
+    if below.join(graph.roots(more), KEY, "left_semi").take(1):
+        return add(merged, more)
+    part = graph.fragment(more, persisted(graph.reachable(more.edges, below), "below")).persisted("below")
+    label = labelled(part)
+    top = persisted(label.join(below, KEY, "left_semi").select("leafset_key", F.col("label_key").alias("child_key")), "top")
+    known = merged.labels.select("node_id", F.col("label_key").alias("parent_key"))
+    sets = merged.labels.select(F.col("node_id").alias("child_id"), "leafset_key")
+    holders = merged.dag.edges.join(sets, "child_id").join(top, "leafset_key").select(F.col("parent_id").alias("node_id"), "child_key", F.col("leafset_key").alias("clade_key")).distinct()
+    holders = persisted(holders.join(known, "node_id").select("parent_key", "child_key", "clade_key"), "holders")
+    if not holders.take(1):
+        raise ValueError("no clade of the merged DAG has the leaves of this node")
+    return add(merged, part, label=label, edges=holders)
 
 
 def same(a: Dag, b: Dag) -> DataFrame:

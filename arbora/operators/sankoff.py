@@ -20,6 +20,8 @@ from arbora.session import persisted
 KEY = graph.KEY
 BASES = "ACGT"
 INFINITE = float("inf")
+#: Sites that are broadcast to the leaves; parts that a DAG's leaves are dealt out over where there are more.
+FEW_SITES, SALTS = 200_000, 64
 
 
 def uniform() -> list[list[float]]:
@@ -45,7 +47,13 @@ def _leaf_states(dag: Dag, sites: DataFrame) -> DataFrame:
     leaf = graph.leaves(dag)
     own = leaf.select(*KEY, F.explode("genome").alias("g")).select(*KEY, "g.pos", "g.base")
     base = F.coalesce("base", F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
-    return leaf.select(*KEY).join(sites, "dag_id").join(own, [*KEY, "pos"], "left").select(*KEY, "pos", B.mask(base).alias("mask"))
+    # A DAG is one key: its sites go to every task if they are few, and else to as many parts as its leaves are dealt out over.
+    if sites.count() <= FEW_SITES:
+        met = leaf.select(*KEY).join(F.broadcast(sites), "dag_id")
+    else:
+        part = F.pmod(F.xxhash64("node_id"), F.lit(SALTS)).cast("int")
+        met = leaf.select(*KEY, part.alias("_part")).join(sites.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["dag_id", "_part"])
+    return met.join(own, [*KEY, "pos"], "left").select(*KEY, "pos", B.mask(base).alias("mask"))
 
 
 def _least(costs: list[Column]) -> Column:
@@ -140,3 +148,77 @@ def with_states(dag: Dag, states: DataFrame) -> Dag:
     new = G.without_reference(G.upsert(F.col("genome"), F.col("_s")), dag.reference_column())
     nodes = dag.nodes.join(inner, KEY, "left").join(found, KEY, "left")
     return dag.replace(nodes.select("dag_id", "node_id", "sample_id", F.when(F.col("_inner") & F.col("_s").isNotNull(), new).otherwise(F.col("genome")).alias("genome")))
+
+
+# Sparse: of sites at which most leaves have the reference's base only the nodes that differ are rows.
+
+
+def sparse_sets(dag: Dag, variants: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """dag_id, node_id, height, pos, mask, steps: Fitch sets of trees whose leaves have the reference's base but for variants (sample_id, pos, base, ambiguous ones too).
+
+    A row is a node whose set is not the reference's base alone, or that has changes of its own (steps); the children of a node that have no row count as
+    so many with the reference's base. So a site costs the nodes above its variants, not the tree.
+    """
+    high = persisted(graph.heights(dag), "heights") if heights is None else heights
+    reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
+    k = dag.edges.groupBy("dag_id", "parent_id").agg(F.count("*").cast("int").alias("k"))
+    up = high.select("dag_id", F.col("node_id").alias("parent_id"), F.col("height").alias("up"))
+    edges = persisted(dag.edges.select("dag_id", "parent_id", "child_id").join(k, ["dag_id", "parent_id"]).join(up, ["dag_id", "parent_id"]), "by-height")
+    own = variants.select("sample_id", "pos", B.mask(F.col("base")).alias("mask"))
+    leaf = graph.leaves(dag).join(own, "sample_id").select(*KEY, F.lit(0).alias("height"), "pos", "mask", F.lit(0).alias("steps")).where(F.col("mask") != reference)
+    done = persisted(leaf, "sparse0")
+    for h in range(1, (high.agg(F.max("height")).first()[0] or 0) + 1):
+        met = edges.where(F.col("up") == h).join(done.where(F.col("mask") != reference).select("dag_id", F.col("node_id").alias("child_id"), "pos", "mask"), ["dag_id", "child_id"])
+        n = [F.sum((F.col("mask").bitwiseAND(1 << b) != 0).cast("int")).alias(f"n{b}") for b in range(4)]
+        counted = met.groupBy("dag_id", F.col("parent_id").alias("node_id"), "pos").agg(*n, F.count("*").alias("met"), F.first("k").alias("k"))
+        rest = F.col("k") - F.col("met")
+        counted = counted.withColumns({f"n{b}": F.col(f"n{b}") + F.when(reference.bitwiseAND(1 << b) != 0, rest).otherwise(0) for b in range(4)})
+        most = F.greatest(*[F.col(f"n{b}") for b in range(4)])
+        bits = reduce(lambda a, b: a + b, [F.when(F.col(f"n{b}") == most, 1 << b).otherwise(0) for b in range(4)])
+        level = counted.select(*KEY, F.lit(h).alias("height"), "pos", bits.cast("int").alias("mask"), (F.col("k") - most).cast("int").alias("steps"))
+        done = done.unionByName(persisted(level.where((F.col("mask") != reference) | (F.col("steps") > 0)), f"sparse{h}"))
+    return done
+
+
+def sparse_states(dag: Dag, sets: DataFrame) -> DataFrame:
+    """dag_id, node_id, pos, mask: the base of each node that is not the reference's, top-down by fitch_choice; leaves of ambiguous bases included."""
+    reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
+    ua = graph.roots(dag).select(*KEY)
+    open_ = persisted(sets.where(F.col("mask") != reference).join(ua, KEY, "left_anti").join(dag.edges.select("dag_id", F.col("child_id").alias("node_id"), "parent_id"), KEY), "open")
+    out = None
+    for h in range(open_.agg(F.max("height")).first()[0] if open_.take(1) else -1, -1, -1):
+        met = open_.where(F.col("height") == h)
+        parent = F.col("_p")
+        if out is None:
+            met = met.withColumn("_p", reference)
+        else:
+            met = met.join(out.select("dag_id", F.col("node_id").alias("parent_id"), "pos", F.col("mask").alias("_p")), ["dag_id", "parent_id", "pos"], "left").withColumn("_p", F.coalesce("_p", reference))
+        level = met.select(*KEY, "pos", fitch_choice(F.col("mask"), parent).cast("int").alias("mask")).where(F.col("mask") != reference)
+        level = persisted(level, "sparse-states")
+        out = level if out is None else out.unionByName(level)
+    return sets.select(*KEY, "pos", "mask").limit(0) if out is None else out
+
+
+def variant_genomes(dag: Dag, variants: DataFrame, resolved: bool = False) -> tuple[Dag, DataFrame]:
+    """The trees with the genomes of variants (sample_id, pos, base) at their leaves and the fewest mutations above; and dag_id, pos, steps of every site with changes.
+
+    resolved: leaves of ambiguous bases take the base that fits their parent, if any does, instead of keeping theirs.
+    """
+    from arbora.functions import genomes as G
+
+    heights = persisted(graph.heights(dag), "heights")
+    sets = persisted(sparse_sets(dag, variants, heights), "sparse")
+    states = sparse_states(dag, sets)
+    own = variants.select("sample_id", "pos", F.upper("base").alias("base")).where(F.upper("base") != F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
+    leaf = graph.leaves(dag).select(*KEY, "sample_id")
+    if not resolved:
+        inner = states.join(leaf.select(*KEY), KEY, "left_anti").select(*KEY, "pos", B.letter(F.col("mask")).alias("base"))
+        found = inner.unionByName(leaf.join(own, "sample_id").select(*KEY, "pos", "base"))
+    else:
+        found = states.select(*KEY, "pos", B.letter(F.col("mask")).alias("base"))
+    genomes = found.groupBy(*KEY).agg(F.array_sort(F.collect_list(G.entry(F.col("pos"), F.col("base")))).alias("_g"))
+    nodes = dag.nodes.join(genomes, KEY, "left").select("dag_id", "node_id", "sample_id", F.coalesce("_g", G.empty()).alias("genome"))
+    reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
+    top = graph.roots(dag).select(*KEY, F.lit(True).alias("_top"))
+    changes = sets.join(top, KEY, "left").withColumn("n", F.col("steps") + F.when(F.col("_top") & (F.col("mask").bitwiseAND(reference) == 0), 1).otherwise(0))
+    return dag.replace(nodes), changes.groupBy("dag_id", "pos").agg(F.sum("n").alias("steps")).where("steps > 0")

@@ -6,6 +6,7 @@ those that do not touch one another are made together, as deltas of the edge tab
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -205,14 +206,15 @@ def scored_moves(dag: Dag, moves: DataFrame, known: DataFrame | None = None, sco
     return persisted(out.select("dag_id", "src", "dst", "distance", F.col("_id").alias("moved_id"), "change", "novel"), "scored"), trees
 
 
-def optimise(dag: Dag, rounds: int = 3, radius: int = 4, seed: int = 0, policy: Policy | None = None, moves_for_each: int | None = 4, patience: int = 2, trim_at_end: bool = False, on_round: Callable[[dict], None] | None = None, copies: int = 4) -> tuple[merge.Merged, list[dict]]:
+def optimise(dag: Dag, rounds: int = 3, radius: int = 4, seed: int = 0, policy: Policy | None = None, moves_for_each: int | None = 4, patience: int = 2, trim_at_end: bool = False, on_round: Callable[[dict], None] | None = None, copies: int = 4, statistics: Callable[[Dag], dict] | None = None) -> tuple[merge.Merged, list[dict]]:
     """Sample a best tree, propose and score moves, merge trees with those accepted, again and again. Returns the DAG and a row of statistics for each round.
 
     Moves are scored in tables, without moved trees. Those accepted are made together, best first, in `copies` trees, each with moves that
     do not touch one another; these trees are given their best genomes, collapsed and merged.
-    dag: a collection of trees (merged first). on_round sees each row as it is made.
+    dag: a collection of trees (merged first). on_round sees each row as it is made. statistics: more of a row, from the merged DAG.
     """
     policy = policy or Policy()
+    began = time.time()
     have = merge.merge(dag)
     log, still, best = [], 0, None
     for k in range(rounds):
@@ -231,7 +233,7 @@ def optimise(dag: Dag, rounds: int = 3, radius: int = 4, seed: int = 0, policy:
         if chosen.take(1):
             have = merge.add(have, collapsed(rescored(applied(tree, chosen)).persisted("applied")).persisted("chosen"))
         low = graph.roots(have.dag).select(*KEY).join(optimum(have.dag, persisted(parsimony_weights(have.dag), "weights")), KEY).first()["weight"]
-        row = {"iteration": k + 1, "nodes": have.dag.nodes.count(), "edges": have.dag.edges.count(), "moves": scored.count(), "accepted": accepted.count(), "applied": chosen.count(), "parsimony": int(low)}
+        row = {"iteration": k + 1, "nodes": have.dag.nodes.count(), "edges": have.dag.edges.count(), "moves": scored.count(), "accepted": accepted.count(), "applied": chosen.count(), "parsimony": int(low), **(statistics(have.dag) if statistics else {}), "seconds": round(time.time() - began, 1)}
         log.append(row)
         if on_round:
             on_round(row)

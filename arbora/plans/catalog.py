@@ -304,20 +304,31 @@ def fasta_records(spark, d):
 
 
 def newick_nodes(spark, d):
-    c = adapter.customers(spark, d)
-    cells = c.groupBy("n", "s").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("l"), F.col("ck"), F.lit(":0.5")))), ",").alias("t"))
-    texts = cells.groupBy("n").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("("), "t", F.lit(")'"), "s", F.lit("':1e-1")))), ",").alias("t"))
-    rows = newick.read(texts.select(F.col("n").alias("dag_id"), F.concat(F.lit("("), "t", F.lit(")root;")).alias("newick")))
+    rows = newick.read(_newicks(spark, d))
     return rows.groupBy("dag_id").agg(F.count("*").alias("nodes"), F.sum(F.col("label").startswith("l").cast("bigint")).alias("leaves"), F.round(F.sum("length"), 6).alias("length"))
 
 
 def base_operations(spark, d):
-    m = spark.range(1, 16).select(F.col("id").cast("int").alias("a")).crossJoin(spark.range(1, 16).select(F.col("id").cast("int").alias("b")))
+    """Operations on the sets of bases that two customers' numbers stand for, and how many customers have each pair."""
+    k = load(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    m = k.select((F.col("k") % 15 + 1).cast("int").alias("a"), (F.floor(F.col("k") / 15) % 15 + 1).cast("int").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     a, b = F.col("a"), F.col("b")
-    out = m.select("a", "b", B.is_compatible(a, b).alias("compatible"), B.is_ambiguous(a).alias("ambiguous"), B.first_base(a).alias("first"), B.common_bases(a, b).alias("common"), B.complement(a).alias("complement"), B.shown(a).alias("shown"), B.mask(B.letter(a)).alias("again"))
+    out = m.select("a", "b", "n", B.is_compatible(a, b).alias("compatible"), B.is_ambiguous(a).alias("ambiguous"), B.first_base(a).alias("first"), B.common_bases(a, b).alias("common"), B.complement(a).alias("complement"), B.shown(a).alias("shown"), B.mask(B.letter(a)).alias("again"))
     return out.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
 
 
+def node_neighbours(spark, d):
+    """How many parents and clades the nodes of the tree of nations have, and alternatives in a clade at most."""
+    near = graph.neighbours(_tree_c(spark, d))
+    widest = F.coalesce(F.array_max(F.transform("clades", F.size)), F.lit(0))
+    return near.groupBy(F.size("parents").cast("bigint").alias("parents"), F.size("clades").cast("bigint").alias("clades"), widest.cast("bigint").alias("widest")).agg(F.count("*").alias("nodes"))
+
+
+def nodes_of_leafsets(spark, d):
+    """Of the merged DAG: how many leaf sets have one, two or more nodes."""
+    return labels.leafset_nodes(Case(spark, d).sets).groupBy(F.size("nodes").cast("bigint").alias("nodes")).agg(F.count("*").alias("n_sets"))
+
+
 def kmer_counts(spark, d):
     s = adapter.customers(spark, d).select(adapter.sequence(F.col("ck")).alias("s"))
     return s.select(F.explode(J.encoded(F.col("s"), 3)).alias("k")).groupBy(F.col("k").cast("bigint").alias("kmer")).agg(F.count("*").alias("n"), F.first(J.kmer_text(F.col("k"), 3)).alias("text"))
@@ -347,6 +358,49 @@ def variant_overlay(spark, d):
     return before.crossJoin(after).crossJoin(sequences.unmatched(t, v).agg(F.count("*").alias("unmatched")))
 
 
+def _calls(spark, d) -> DataFrame:
+    """The customers' bases as variants; every seventh is not known."""
+    each = adapter.customers(spark, d).select("ck", F.posexplode(F.split(adapter.sequence(F.col("ck")), "")).alias("at", "base")).where("base <> ''").withColumn("pos", F.col("at") + 1)
+    base = F.when((F.col("ck") + F.col("pos")) % 7 == 0, "N").otherwise(F.col("base"))
+    return each.select(F.col("ck").cast("string").alias("sample_id"), "pos", base.alias("base")).where(F.col("base") != F.substring(F.lit(adapter.REFERENCE), F.col("pos"), F.lit(1)))
+
+
+def vcf_fitch_sankoff(spark, d):
+    """Genomes of a whole tree from calls with unknown bases: by site the changes of the sets, the mutations of the genomes, and those of inner nodes below the root."""
+    t = _tree_c(spark, d)
+    made, steps = sankoff.variant_genomes(t, _calls(spark, d))
+    rows = W.mutation_rows(made.persisted("variant-genomes"))
+    inner = graph.kinds(t).where("not is_leaf and not is_tree_root and not is_ua").select("dag_id", F.col("node_id").alias("child_id"), F.lit(1).alias("_inner"))
+    own = rows.join(t.edges.select("dag_id", "edge_id", "child_id"), ["dag_id", "edge_id"]).join(inner, ["dag_id", "child_id"], "left")
+    found = own.groupBy("pos").agg(F.count("*").alias("mutations"), F.count("_inner").alias("inner_mutations"))
+    return steps.select(F.col("pos").cast("bigint").alias("pos"), "steps").join(found.withColumn("pos", F.col("pos").cast("bigint")), "pos")
+
+
+def merge_below(spark, d):
+    """The tree of nations, with one nation's subtree of the tree of nations and segments merged in below."""
+    trees = adapter.all_trees(spark, d)
+    cells = adapter.customers(spark, d).groupBy("n").agg(F.countDistinct("c").alias("m"), F.count("*").alias("k")).where("m > 1 and m < k")
+    one = cells.agg(F.min("n").alias("n")).select(F.lit("A").alias("dag_id"), F.xxhash64(F.lit("A"), "n").alias("node_id"))
+    have = M.add_below(M.merge(trees.only("C")), trees.only("A"), persisted(one, "one"))
+    n = W.at_root(have.dag, W.tree_counts(have.dag)).select(F.col("weight").cast("bigint").alias("trees"))
+    return have.dag.nodes.agg(F.count("*").alias("nodes")).crossJoin(have.dag.edges.agg(F.count("*").alias("edges"))).crossJoin(n)
+
+
+def _newicks(spark, d) -> DataFrame:
+    c = adapter.customers(spark, d)
+    cells = c.groupBy("n", "s").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("l"), F.col("ck"), F.lit(":0.5")))), ",").alias("t"))
+    texts = cells.groupBy("n").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("("), "t", F.lit(")'"), "s", F.lit("':1e-1")))), ",").alias("t"))
+    return texts.select(F.col("n").alias("dag_id"), F.concat(F.lit("("), "t", F.lit(")root;")).alias("newick"))
+
+
+def rerooted_newick(spark, d):
+    """Each nation's tree hung up at its first customer."""
+    first = adapter.customers(spark, d).groupBy(F.col("n").alias("dag_id")).agg(F.concat(F.lit("l"), F.min("ck")).alias("label"))
+    rows = newick.rerooted(persisted(newick.read(_newicks(spark, d)), "newicks"), persisted(first, "outgroups"))
+    top = F.max(F.when(F.col("parent_id").isNull(), F.col("label"))).alias("root")
+    return rows.groupBy("dag_id").agg(F.count("*").alias("nodes"), F.sum(F.col("label").startswith("l").cast("bigint")).alias("leaves"), top, F.round(F.sum("length"), 6).alias("length"))
+
+
 def condensed_leaves(spark, d):
     """Leaves with equal genomes stand for one another: parts by their name's words."""
     p = load(spark, d, "part")
@@ -444,6 +498,27 @@ RF_SUM = "CAST(CAST({f}({c}) + (SELECT sum(cnt) FROM sets) - (SELECT (t1 + t2) *
 
 
 
+def _variants_sql() -> str:
+    """Sets of nations and of the root over calls of which every seventh is any base; states from the root down."""
+    has = lambda mask, b: f"(({mask} >> {b}) & 1)"
+    counts = lambda mask, x: ", ".join(f"CAST(sum({has(mask, b)}) AS INT) AS {x}{b}" for b in range(4))
+    most = lambda x: f"greatest({x}0, {x}1, {x}2, {x}3)"
+    majority = lambda x: " + ".join(f"{1 << b} * CAST({x}{b} = {most(x)} AS INT)" for b in range(4))
+    chosen = lambda mask, parent: f"CASE WHEN {mask} & {parent} <> 0 THEN {parent} ELSE {mask} & -{mask} END"
+    parts = f"""
+    call AS (SELECT n, ck, pos, CAST(CASE WHEN (ck + pos) % 7 = 0 THEN 15 ELSE 1 << (instr('ACGT', substr(g, CAST(pos AS INT), 1)) - 1) END AS INT) AS x FROM cu, (SELECT unnest(range(1, 33)) AS pos)),
+    lowc AS (SELECT n, pos, {counts('x', 'c')}, CAST(count(*) AS INT) AS k FROM call GROUP BY n, pos),
+    lows AS (SELECT n, pos, k, {majority('c')} AS m, k - {most('c')} AS steps FROM lowc),
+    topc AS (SELECT pos, {counts('m', 'r')}, CAST(count(*) AS INT) AS k, sum(steps) AS below FROM lows GROUP BY pos),
+    tops AS (SELECT pos, below + k - {most('r')} AS steps, {majority('r')} AS m, CAST(1 << (instr('ACGT', substr(r, CAST(pos AS INT), 1)) - 1) AS INT) AS ref FROM topc, ref),
+    root AS (SELECT pos, steps + CAST(m & ref = 0 AS INT) AS steps, ref, {chosen('m', 'ref')} AS st FROM tops),
+    nation AS (SELECT n, pos, k, st AS up, CASE WHEN k = 1 THEN st ELSE {chosen('m', 'st')} END AS st FROM lows JOIN root USING (pos)),
+    tips AS (SELECT pos, sum(CAST(x & st = 0 AS INT)) AS n FROM call JOIN nation USING (n, pos) GROUP BY pos),
+    inn AS (SELECT pos, sum(CAST(st <> up AS INT)) AS n FROM nation GROUP BY pos),
+    """
+    return _sql("SELECT CAST(pos AS BIGINT) AS pos, CAST(steps AS BIGINT) AS steps, CAST(tips.n + inn.n + CAST(st <> ref AS INT) AS BIGINT) AS mutations, CAST(inn.n AS BIGINT) AS inner_mutations FROM root JOIN tips USING (pos) JOIN inn USING (pos) WHERE steps > 0", parts)
+
+
 def _moves_sql() -> str:
     """Moves of the tree of segments by their five kinds: a leaf to a sibling, to the root, to another segment; a segment to another, to a leaf of another.
 
@@ -552,13 +627,18 @@ QUERIES = {
     "vcf_unpivot": (_vcf_unpivot("true"), "SELECT 'S' || i AS sample_id, p_partkey AS pos, CASE WHEN p_partkey * i % 4 = 3 THEN 'N' ELSE substr('ACGT', CAST((p_partkey + p_partkey * i % 4 % 3) % 4 + 1 AS INTEGER), 1) END AS base FROM part, (SELECT unnest(range(1, 6)) AS i) WHERE p_partkey * i % 4 <> 0"),
     "fasta_records": (fasta_records, "SELECT 'supplier' || s_suppkey AS sample_id, translate(md5(CAST(s_suppkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM supplier"),
     "newick_nodes": (newick_nodes, _sql("SELECT n AS dag_id, 1 + count(DISTINCT s) + count(*) AS nodes, count(*) AS leaves, round(0.5 * count(*) + 0.1 * count(DISTINCT s), 6)::DOUBLE AS length FROM cu GROUP BY n")),
-    "base_operations": (base_operations, "SELECT a, b, a & b <> 0 AS compatible, bit_count(a) <> 1 AS ambiguous, a & -a AS first, CASE WHEN a & b <> 0 THEN a & b END AS common, ((a & 1) << 3) | ((a & 2) << 1) | ((a & 4) >> 1) | ((a & 8) >> 3) AS complement, CASE a WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE 'N' END AS shown, a AS again FROM (SELECT unnest(range(1, 16)) AS a), (SELECT unnest(range(1, 16)) AS b)"),
+    "base_operations": (base_operations, "SELECT a, b, count(*) AS n, a & b <> 0 AS compatible, bit_count(a) <> 1 AS ambiguous, a & -a AS first, CASE WHEN a & b <> 0 THEN a & b END AS common, ((a & 1) << 3) | ((a & 2) << 1) | ((a & 4) >> 1) | ((a & 8) >> 3) AS complement, CASE a WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE 'N' END AS shown, a AS again FROM (SELECT CAST(c_custkey % 15 + 1 AS BIGINT) AS a, CAST(c_custkey // 15 % 15 + 1 AS BIGINT) AS b FROM customer) GROUP BY a, b"),
+    "node_neighbours": (node_neighbours, _sql("SELECT CAST(p AS BIGINT) AS parents, CAST(c AS BIGINT) AS clades, CAST(c > 0 AS BIGINT) AS widest, count(*) AS nodes FROM (SELECT 0 AS p, 1 AS c UNION ALL SELECT 1, count(*) FROM nat UNION ALL SELECT 1, k FROM nat WHERE k > 1 UNION ALL SELECT 1, 0 FROM cu) GROUP BY ALL")),
+    "nodes_of_leafsets": (nodes_of_leafsets, _sql("SELECT CAST(x AS BIGINT) AS nodes, count(*) AS n_sets FROM (SELECT 1 AS x FROM cu UNION ALL SELECT 3 FROM top UNION ALL SELECT 1 FROM cell WHERE kc > 1 UNION ALL SELECT alt FROM grp WHERE m > 1) GROUP BY x")),
     "kmer_counts": (kmer_counts, _sql("SELECT CAST(CASE WHEN k LIKE '%N%' THEN 64 ELSE 16 * (instr('ACGT', k[1]) - 1) + 4 * (instr('ACGT', k[2]) - 1) + instr('ACGT', k[3]) - 1 END AS BIGINT) AS kmer, count(*) AS n, min(CASE WHEN k LIKE '%N%' THEN 'N' ELSE k END) AS text FROM (SELECT substr('N' || g || 'N', CAST(i AS INTEGER), 3) AS k FROM cu, (SELECT unnest(range(1, 33)) AS i)) GROUP BY 1")),
     "edge_likelihood": (edge_likelihood, _sql("SELECT ck, round(CASE WHEN n = 0 THEN 0 ELSE s + n * ln(n / r) - n END, 6) AS log_likelihood FROM (SELECT ck, sum(CASE WHEN x <> y THEN ln(q / 3) END) AS s, CAST(count(*) FILTER (WHERE x <> y) AS DOUBLE) AS n, sum(q) AS r FROM (SELECT a.ck, 1.0::DOUBLE + (i - 1) % 3 AS q, substr(a.g, CAST(i AS INTEGER), 1) AS x, substr(b.g, CAST(i AS INTEGER), 1) AS y FROM cu a JOIN cu b ON b.ck = a.ck + 1, (SELECT unnest(range(1, 33)) AS i)) GROUP BY ck)")),
     "consensus": (consensus, _sql("SELECT string_agg(b, '' ORDER BY i) AS sequence FROM (SELECT i, arg_max(b, k * 1000 - ascii(b)) AS b FROM (SELECT i, substr(g, CAST(i AS INTEGER), 1) AS b, count(*) AS k FROM cu, (SELECT unnest(range(1, 33)) AS i) GROUP BY ALL) GROUP BY i)")),
     "variant_overlay": (variant_overlay, _sql("SELECT (SELECT count(*) FROM cu JOIN nat ON q = n, top WHERE substr(g, 1, 1) <> substr(CASE WHEN k > 1 THEN gq ELSE gr END, 1, 1)) AS before, 0::BIGINT AS after, 0::BIGINT AS unmatched")),
     "condensed_leaves": (condensed_leaves, "SELECT min(p_partkey) AS stands_for, count(*) AS members FROM part GROUP BY translate(substr(md5(p_brand), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"),
     "first_of_each": (first_of_each, "SELECT event_type, count(*) AS users FROM (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id) GROUP BY event_type"),
+    "vcf_fitch_sankoff": (vcf_fitch_sankoff, _variants_sql()),
+    "merge_below": (merge_below, _sql("SELECT CAST(3 + (SELECT count(*) FROM nat WHERE k > 1) + (SELECT count(*) FROM cu) + (SELECT count(*) FROM cell WHERE cell.n = one.q AND kc > 1) AS BIGINT) AS nodes, CAST(2 + (SELECT count(*) FROM nat) + (SELECT sum(k) FROM nat WHERE k > 1) + (SELECT sum(1 + CASE WHEN kc > 1 THEN kc ELSE 0 END) FROM cell WHERE cell.n = one.q) AS BIGINT) AS edges, 2::BIGINT AS trees FROM one", "one AS (SELECT min(q) AS q FROM nat WHERE m > 1 AND m < k),")),
+    "rerooted_newick": (rerooted_newick, _sql("SELECT n AS dag_id, 1 + count(DISTINCT s) + count(*) - 1 - CASE WHEN count(DISTINCT s) < 3 THEN 1 ELSE 0 END AS nodes, count(*) AS leaves, 'l' || min(ck) AS root, round(0.5 * count(*) + 0.1 * (count(DISTINCT s) - CASE WHEN count(DISTINCT s) = 1 THEN 1 ELSE 0 END), 6)::DOUBLE AS length FROM cu GROUP BY n")),
     "spr_moves": (spr_moves, _moves_sql()),
 }
 

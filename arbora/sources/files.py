@@ -96,6 +96,18 @@ def dot(dag: Dag) -> DataFrame:
     return ends.select("dag_id", F.struct(F.col("x.a").alias("a"), F.lit(0).cast("bigint").alias("b")).alias("at"), F.col("x.v").alias("value")).unionByName(nodes).unionByName(edges)
 
 
+#: The columns of a search's log, and where a row of statistics has them.
+LOG = {
+    "Iteration": "iteration", "NTrees": "trees", "NNodes": "nodes", "NEdges": "edges", "MaxParsimony": "least_parsimony", "NTreesMaxParsimony": "least_parsimony_trees", "WorstParsimony": "most_parsimony",
+    "MinSumRFDistance": "least_sum_rf", "MaxSumRFDistance": "most_sum_rf", "MinSumRFCount": "least_sum_rf_trees", "MaxSumRFCount": "most_sum_rf_trees", "SecondsElapsed": "seconds",
+}
+
+
 def append_log(spark: SparkSession, rows: list[dict], path: str) -> None:
-    """A search's statistics, tab-separated, one row for each iteration."""
-    spark.createDataFrame(rows).coalesce(1).write.mode("append").option("sep", "\t").option("header", True).csv(path)
+    """A search's statistics, tab-separated, one row for each iteration: the columns of LOG if the rows hold them all, else what they hold."""
+    if rows and all(k in rows[0] for k in LOG.values()):
+        rows = [{name: str(r[k]) for name, k in LOG.items()} for r in rows]
+        frame = spark.createDataFrame(rows, ", ".join(f"{name} string" for name in LOG))
+    else:
+        frame = spark.createDataFrame(rows)
+    frame.coalesce(1).write.mode("append").option("sep", "\t").option("header", True).csv(path)

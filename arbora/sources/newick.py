@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.session import persisted
+
 NODES = "dag_id string, node_id bigint, parent_id bigint, clade int, label string, length double"
 TOKEN = re.compile(r"\s*(?:([(),;])|'((?:[^']|'')*)'|(\[[^\]]*\])|([^\s(),;:\[\]']+)|(:\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?))")
 
@@ -127,3 +129,40 @@ def read_files(spark, path: str) -> DataFrame:
     """One tree for each file, named by its path."""
     files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("dag_id"), F.col("value").alias("newick"))
     return read(files)
+
+
+def rerooted(trees: DataFrame, outgroup: DataFrame) -> DataFrame:
+    """trees: NODES. outgroup: dag_id, label of one leaf of each. The trees hung up at that leaf, which names the root above its old neighbour and is no leaf any more.
+
+    The edges from there up to the old root are turned round, with their lengths; the leaf's own length is the root's. An old root that is left with one
+    child goes, and the lengths beside it are added; left with none, it goes with its edge. All trees at once. Raises ValueError if a tree has no such leaf.
+    """
+    from arbora.functions import genomes as G
+    from arbora.model import Dag
+    from arbora.operators import index
+
+    nodes = trees.select("dag_id", "node_id", F.lit(None).cast("string").alias("sample_id"), G.empty().alias("genome"))
+    edges = trees.where("parent_id is not null").select("dag_id", F.col("node_id").alias("edge_id"), "parent_id", F.col("node_id").alias("child_id"), "clade")
+    found = index.build(Dag(persisted(nodes, "nodes"), persisted(edges, "edges"), "")).nodes.select("dag_id", "node_id", "enter", "leave")
+    inner = trees.select("dag_id", F.col("parent_id").alias("node_id")).distinct()
+    out = trees.join(outgroup, ["dag_id", "label"]).join(inner, ["dag_id", "node_id"], "left_anti").where("parent_id is not null")
+    out = persisted(out.join(found, ["dag_id", "node_id"]).select("dag_id", F.col("node_id").alias("_leaf"), F.col("parent_id").alias("_top"), F.col("enter").alias("_at"), F.col("label").alias("_name"), F.col("length").alias("_length")), "outgroup")
+    if outgroup.select("dag_id").join(out, "dag_id", "left_anti").take(1):
+        raise ValueError("a tree lacks its outgroup")
+    rows = trees.join(found, ["dag_id", "node_id"]).join(out, "dag_id").where(F.col("node_id") != F.col("_leaf"))
+    rows = persisted(rows.withColumn("_turns", F.col("_at").between(F.col("enter"), F.col("leave"))), "turned")
+    lower = rows.where("_turns").select("dag_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("_child"), F.col("length").alias("_up"))
+    rows = rows.join(lower.where("node_id is not null"), ["dag_id", "node_id"], "left")
+    top = F.col("node_id") == F.col("_top")
+    rows = rows.select(
+        "dag_id", "node_id", F.when(top, None).when(F.col("_turns"), F.col("_child")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(F.col("_turns"), F.lit(1 << 30)).otherwise(F.col("clade")).alias("clade"),
+        F.when(top, F.col("_name")).otherwise(F.col("label")).alias("label"), F.when(top, F.col("_length")).when(F.col("_turns"), F.col("_up")).otherwise(F.col("length")).alias("length"), (F.col("parent_id").isNull() & ~top).alias("_old"),
+    )
+    rows = persisted(rows, "turned")
+    kids = rows.groupBy("dag_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_k"))
+    goes = rows.where("_old").join(kids, ["dag_id", "node_id"], "left").where("coalesce(_k, 0) < 2").select("dag_id", F.col("node_id").alias("_gone"), F.col("parent_id").alias("_to"), F.col("length").alias("_more"))
+    met = rows.join(goes, "dag_id", "left").where(F.col("_gone").isNull() | (F.col("node_id") != F.col("_gone")))
+    child = F.col("parent_id").eqNullSafe(F.col("_gone")) & F.col("_gone").isNotNull()
+    met = met.select("dag_id", "node_id", F.when(child, F.col("_to")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(child, F.lit(1 << 30)).otherwise(F.col("clade")).alias("clade"), "label", F.when(child, F.col("length") + F.col("_more")).otherwise(F.col("length")).alias("length"))
+    order = Window.partitionBy("dag_id", "parent_id").orderBy("clade", "node_id")
+    return met.withColumn("clade", (F.row_number().over(order) - 1).cast("int")).select("dag_id", "node_id", "parent_id", "clade", "label", "length")
