@@ -167,3 +167,39 @@ def test_doubles_repeated_ids_and_other_columns(spark):
     df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label bigint, same string, copies int")
     got = sorted((r.vec_id, r.n_links) for r in embeddings.near_vectors(spark, df).collect())
     assert got == [(1, 1), (2, 1), (2, 1), (3, 1)]
+
+
+def _low_rank(draw, directions: int, width: int, n: int) -> np.ndarray:
+    """Groups of four near vectors that lie near few directions."""
+    basis = np.linalg.qr(draw.normal(size=(width, directions)))[0].T
+    base = np.repeat(draw.normal(size=(n // 4, directions)), 4, 0)
+    return embeddings._unit((base + 0.18 * draw.normal(size=base.shape)) @ basis + 1e-3 * draw.normal(size=(n, width)))
+
+
+@pytest.mark.parametrize("directions, width, lists", [(4, 64, 200), (8, 256, 20), (12, 256, 200), (8, 768, 200)])
+def test_no_link_is_lost_near_few_directions(directions, width, lists):
+    x = _low_rank(np.random.default_rng(directions), directions, width, 4000)
+    index = embeddings.Index.fit(x, lists)
+    at = index.coded(x)[0]
+    row, tried = index.probes(x, at, np.sqrt(2 - 2 * embeddings.COSINE))
+    probed = np.zeros((len(x), len(index.lists)), bool)
+    probed[row, tried] = True
+    i, j = np.nonzero((x @ x.T >= embeddings.COSINE) & ~np.eye(len(x), dtype=bool))
+    assert (probed[i, at[j]] | probed[j, at[i]]).mean() > 0.999 and (at[i] != at[j]).any()
+
+
+@pytest.mark.parametrize("spread", [None, 0.05])
+def test_degrees_are_equal_at_both_ends(spark, monkeypatch, spread):
+    """spread=None loses nothing; where a narrow one lets one side alone find a link, it counts at both ends."""
+    monkeypatch.setattr(embeddings, "LIST_SIZE", 30)
+    x = _low_rank(np.random.default_rng(3), 6, 32, 900)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark, df, spread=spread).collect()}
+    near = (x @ x.T >= embeddings.COSINE) & ~np.eye(len(x), dtype=bool)
+    links = np.array([got[i].n_links for i in range(len(x))])
+    if spread is None:
+        assert (links == near.sum(1)).all()
+    else:
+        index = embeddings.Index.fit(x, 30, spread=spread)
+        assert links.sum() % 2 == 0 and (links <= near.sum(1)).all() and 0 < links.sum() < near.sum() and len(index.lists) == 30
