@@ -1,25 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks of text at the tags that break lines. First pass: a block that is mostly links is bad; of the
-others a long one is good, near-good or bad by its length and the density of stop words, and a short one is ambiguous. What the page says itself is further
-evidence: a block inside navigation, headers, footers, sidebars, forms, notices, adverts or comments, by its tags, classes, ids or roles, is
-bad, and one of few stop words within the article proper is ambiguous (a table, code or a quotation) instead of bad. Second pass: ambiguous and
-near-good blocks take the label of the nearest decided neighbours: good if both agree on it, and where they
-differ, good for near-good blocks and for all within the article proper. The good blocks are the text. Neighbours
-within the article proper are those of the article proper, whose edges count as good.
+A page is cut into blocks of text at the tags that break lines. The first pass looks at text alone: a block that is mostly links, or a line
+that begins with a copyright sign, is bad; of the others a long one of many stop words is good, one of medium length or density near-good, and a short
+one, one of many links or one of few stop words is ambiguous. The second pass decides the rest. Near-good blocks are good unless the nearest decided
+neighbours on both sides are bad; where a page has no good block they are good anyway. Ambiguous blocks take the label of the nearest decided neighbours; where
+these differ, that of the neighbour with which they share the innermost element. If that is the same, long blocks of few stop words, which are decided first, are
+bad; of the others a heading takes the label of the text behind it, the rest that of the nearer neighbour.
+
+Markup speaks in the second pass only. Blocks inside navigation, headers, footers, sidebars, forms, notices, adverts or reader comments, by their tags, classes, ids or
+roles, are bad neighbours and bad, however good their text: no rule on text tells a reader's comment from an article. Near-good blocks within an article
+element are good; its ambiguous blocks have their neighbours in it, and its edges count as good ones.
 
 Stop words come in lists for some languages; a page uses the list of its lang attribute, and all lists together if it has
-none of them. A tag whose quotes never close ends at its first `>`; of open elements the outermost MOST_OPEN are kept track of, so
-a page takes time in proportion to its length. Defined cases: null and empty pages, and pages without a good block, have empty texts; unclosed and
+none of them. A tag whose quotes never close ends at its first `>`. A page takes time in proportion to its length, however deep it nests. Defined cases: null and empty pages, and pages without a good block, have empty texts; unclosed and
 misnested tags close with their parents; repeated rows are extracted each; other columns are kept apart in a struct.
 """
 
 from __future__ import annotations
 
 import html
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -48,17 +51,29 @@ STOP_WORDS = {
     "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich wenn kann".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien".split(),
 }
-LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.12, 0.20, 0.4
-#: Within the article proper only what is mostly links is bad by them.
-LINKS_INNER = 0.8
-MOST_OPEN = 512
+#: Headings: they belong to what follows.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH = 70, 200, 0.12, 0.20
+#: Shares of a block's characters in links, from which on it is ambiguous and bad.
+LINKS_SOME, LINKS_MOST = 0.4, 0.8
 
 NAME = regex.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
 STOPS = regex.compile(r"[>\"']")
 NAMES = regex.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.IGNORECASE)
 LANG = regex.compile(r"(?:^|\s)lang\s*=\s*[\"']?([A-Za-z]+)", regex.IGNORECASE)
 SPACES, WORDS = regex.compile(r"\s+"), regex.compile(r"\p{L}+")
-GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
+GOOD, NEAR, OPEN, FEW, BAD = "good", "near", "open", "few", "bad"
+
+
+class Block(NamedTuple):
+    """A block of text; linked: its characters in links; marked: inside boilerplate by markup; inner: inside the article proper; shared: elements open around it and the block before."""
+
+    text: str
+    linked: int
+    marked: bool
+    inner: bool
+    heading: bool
+    shared: int
 
 
 @lru_cache(maxsize=4096)
@@ -107,49 +122,51 @@ def tags(page: str) -> Iterator[tuple[str, str, str, bool]]:
     yield "".join(text) + page[begin:], "", "", False
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], str]:
-    """(text, characters of it in links, inside boilerplate, inside the article proper) of each block with text; and the page's language.
+def blocks(page: str) -> tuple[list[Block], str]:
+    """The blocks with text, and the page's language.
 
     What an inline element that is marked as boilerplate holds is a block of its own, before that of the text around it.
     """
     stack: list[tuple[str, bool, bool, bool]] = []  # name, in boilerplate, in the article, in a link
-    names: Counter[str] = Counter()
-    out: list[tuple[str, int, bool, bool]] = []
-    lang = ""
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each name in the stack; of those that break lines by ""
+    out: list[Block] = []
+    lang, inside, heading, shared = "", False, False, 0
     pieces: dict[bool, tuple[list[str], list[str]]] = {True: ([], []), False: ([], [])}  # by boilerplate: all, and those in links
-    inside = False
 
     def close() -> None:
-        for outer, (text, linked) in pieces.items():
+        nonlocal shared, heading
+        for marked, (text, linked) in pieces.items():
             if text:
                 whole = SPACES.sub(" ", html.unescape("".join(text))).strip()
                 if whole:
-                    out.append((whole, len(SPACES.sub(" ", html.unescape("".join(linked))).strip()), outer, inside))
+                    out.append(Block(whole, len(SPACES.sub(" ", html.unescape("".join(linked))).strip()), marked, inside, heading, shared))
+                    shared = len(stack)
                 text.clear()
                 linked.clear()
+        heading = False
 
     def pop(k: int) -> None:
+        nonlocal shared
         for gone in stack[k:]:
-            names[gone[0]] -= 1
+            places[gone[0]].pop()
+            if gone[0] not in INLINE:
+                places[""].pop()
         del stack[k:]
+        shared = min(shared, k)
 
     for text, name, attributes, ends in tags(page):
         _, outer, inner, link = stack[-1] if stack else ("", False, False, False)
         if text:
             inside = inner
+            heading = heading or bool(places[""]) and stack[places[""][-1]][0] in HEADINGS
             pieces[outer][0].append(text)
             if link:
                 pieces[outer][1].append(text)
         if name not in INLINE:
             close()
         if ends:
-            if names[name]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        break
-                    if name in INLINE and stack[i][0] not in INLINE:
-                        break  # an inline end tag closes nothing beyond its block
+            if places[name] and (name not in INLINE or not places[""] or places[""][-1] < places[name][-1]):  # an inline end tag closes nothing beyond its block
+                pop(places[name][-1])
         elif name and name not in RAW and name not in VOID and not attributes.endswith("/"):
             if name == "html" and not lang and (told := LANG.search(attributes)):
                 lang = told[1].lower()
@@ -159,54 +176,90 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], str]:
                 if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
                     while stack and stack[-1][0] == name:
                         pop(len(stack) - 1)
-            if len(stack) < MOST_OPEN:
-                above = stack[-1] if stack else ("", False, False, False)
-                bad = above[1] or name in OUTER or (name not in ("html", "body", "article", "main") and _boilerplate(attributes))
-                stack.append((name, bad, above[2] or name in INNER, above[3] or name == "a"))
-                names[name] += 1
+            above = stack[-1] if stack else ("", False, False, False)
+            marked = above[1] or name in OUTER or (name not in ("html", "body", "article", "main") and _boilerplate(attributes))
+            if name not in INLINE:
+                places[""].append(len(stack))
+            places[name].append(len(stack))
+            stack.append((name, marked, above[2] or name in INNER, above[3] or name == "a"))
     return out, lang
 
 
-def labels(found: list[tuple[str, int, bool, bool]], stop: frozenset[str]) -> list[str]:
-    first: list[str] = []
-    for text, linked, outer, inner in found:
-        n, links = len(text), linked / len(text)
-        if outer or "\N{COPYRIGHT SIGN}" in text[:2] or links > (LINKS_INNER if inner else LINKS):
-            first.append(BAD)
-        elif n < LENGTH_LOW:
-            first.append(SHORT)
-        else:
-            words = WORDS.findall(text.lower())
-            density = sum(w in stop for w in words) / max(1, len(words))
-            if density >= STOP_HIGH:
-                first.append(GOOD if n > LENGTH_HIGH else NEAR)
-            else:
-                first.append(NEAR if density >= STOP_LOW else SHORT if inner else BAD)
-
-    def nearest(order: range) -> dict[int, tuple[str, str]]:
-        """The last decided label before each block: of all blocks, and of those of the article proper (none: good)."""
-        told, last, within = {}, BAD, GOOD
-        for i in order:
-            told[i] = last, within
-            if first[i] in (GOOD, BAD):
-                last = first[i]
-                if found[i][3] and not found[i][2]:
-                    within = last
-            elif not found[i][3]:
-                within = GOOD  # out of the article proper: its next block is at an edge
-        return told
-
-    before, after = nearest(range(len(first))), nearest(range(len(first) - 1, -1, -1))
-    out = []
-    for i, label in enumerate(first):
-        a, b = (side[i][found[i][3]] for side in (before, after))
-        if label not in (GOOD, BAD):
-            some = found[i][3] or label == NEAR
-            label = GOOD if (GOOD in (a, b) if some else a == b == GOOD) else BAD
-        out.append(label)
+def first_pass(block: Block, stop: frozenset[str]) -> str:
+    """The label that a block's text gives it."""
+    links = block.linked / len(block.text)
+    if links > LINKS_MOST or "\N{COPYRIGHT SIGN}" in block.text[:2]:
+        return BAD
+    if links > LINKS_SOME or len(block.text) < LENGTH_LOW:
+        return OPEN
+    words = WORDS.findall(block.text.lower())
+    density = sum(w in stop for w in words) / max(1, len(words))
+    if density >= STOP_HIGH and len(block.text) > LENGTH_HIGH:
+        return GOOD
+    return NEAR if density >= STOP_LOW else FEW
+
+
+#: A decided neighbour: its label, the elements open all the way from it, and how many blocks away it is.
+Neighbour = tuple[str, int, int]
+
+
+def _neighbours(found: list[Block], told: list[str], order: range) -> list[Neighbour]:
+    """The nearest decided block of the page on one side of each block; the page's edges are bad."""
+    out: list[Neighbour] = [(BAD, 0, 0)] * len(found)
+    label, shared, away = BAD, 0, 0
+    for i in order:
+        if order.step > 0:
+            shared = min(shared, found[i].shared)
+        elif i + 1 < len(found):
+            shared = min(shared, found[i + 1].shared)
+        away += 1
+        out[i] = label, shared, away
+        if told[i] in (GOOD, BAD):
+            label, shared, away = told[i], 1 << 30, 0
     return out
 
 
+def _within(found: list[Block], told: list[str], order: range) -> list[str]:
+    """The label of the nearest decided block of the article proper on one side of each block of it; its edges are good."""
+    out, label = [GOOD] * len(found), GOOD
+    for i in order:
+        out[i] = label
+        if not found[i].inner:
+            label = GOOD
+        elif told[i] in (GOOD, BAD) and not found[i].marked:
+            label = told[i]
+    return out
+
+
+def _inherited(block: Block, label: str, before: Neighbour, after: Neighbour) -> str:
+    if before[0] == after[0]:
+        return before[0]
+    if before[1] != after[1]:
+        return max(before, after, key=lambda n: n[1])[0]
+    if label == OPEN and block.heading:
+        return after[0]
+    return BAD if label == FEW or before[2] == after[2] else min(before, after, key=lambda n: n[2])[0]
+
+
+def labels(found: list[Block], stop: frozenset[str]) -> list[str]:
+    told = [BAD if b.marked else first_pass(b, stop) for b in found]
+    alone = GOOD not in told
+    ways = range(len(found)), range(len(found) - 1, -1, -1)
+    for label in (NEAR, FEW, OPEN):
+        before, after = (_neighbours(found, told, way) for way in ways)
+        left, right = (_within(found, told, way) for way in ways)
+        now = list(told)
+        for i, b in enumerate(found):
+            if label == NEAR == told[i]:
+                now[i] = GOOD if alone or b.inner or GOOD in (before[i][0], after[i][0]) else BAD
+            elif b.inner and label == OPEN and told[i] in (OPEN, FEW):
+                now[i] = GOOD if GOOD in (left[i], right[i]) else BAD
+            elif not b.inner and told[i] == label:
+                now[i] = _inherited(b, label, before[i], after[i])
+        told = now
+    return told
+
+
 ALL_STOP = frozenset(w for words in STOP_WORDS.values() for w in words)
 
 
@@ -215,7 +268,7 @@ def main_text(page: str | None) -> str:
         return ""
     found, lang = blocks(page)
     stop = frozenset(STOP_WORDS.get(lang, ())) or ALL_STOP
-    return "\n".join(b[0] for b, label in zip(found, labels(found, stop), strict=True) if label == GOOD)
+    return "\n".join(b.text for b, label in zip(found, labels(found, stop), strict=True) if label == GOOD)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
