@@ -6,6 +6,7 @@ n-gram hashes come out as numpy arrays, so no Python object is made per word. Nu
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -64,6 +65,21 @@ class Texts:
         return self.hi - self.lo
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """What gives freed memory of the C library back to the system, where there is such a call."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give back what Arrow and numpy have freed: a worker that lives on for later tasks shouldn't keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
     """Cut a string column into runs of whole texts of about `most` bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,6 +98,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
         yield Texts(lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         lo = hi
+    release()
 
 
 @dataclass
