@@ -14,6 +14,7 @@ apart in a struct, so their names cannot clash.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -101,6 +102,15 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
     return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, pattern)
 
 
+def _forget() -> None:
+    """Drop the codecs and the pre-tokens they remember: the workers live on for other operators' tasks."""
+    if _codec.cache_info().currsize:
+        _codec.cache_clear()
+        gc.collect()
+
+
+T.REMEMBERED.append(_forget)
+
 OUT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 

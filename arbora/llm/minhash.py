@@ -36,7 +36,9 @@ BANDS, ROWS = 24, 5
 #: A band key of more classes than these is compared in blocks, of so many classes and shingles at most on average.
 ALL_PAIRS, BLOCK, BLOCK_SHINGLES = 24, 1_024, 4 << 20
 #: Columns of the matrices that are multiplied at once.
-COLUMNS = 8_192
+COLUMNS = 2_048
+#: Linked pairs whose bands are compared at once.
+PAIRS = 1 << 15
 
 
 def weighted(texts: T.Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,16 +215,19 @@ def _blocks(threshold: float):
                 i, j = i[a[i] < b[j]], j[a[i] < b[j]]
             keys, okeys = (np.stack(_cells(x, "bands")[0]) for x in (left, right))
             large = (left["large"].to_numpy()[:, None] >> np.arange(keys.shape[1])) & 1 == 1
-            for lo in range(0, max(1, len(i)), 1 << 18):
-                ii, jj = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+            # Counted here unless in an earlier band, or among the pairs of a smaller meeting.
+            ok = [np.zeros(0, bool)]
+            for lo in range(0, len(i), PAIRS):
+                ii, jj = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
                 shared = keys[ii] == okeys[jj]
-                # Counted here unless in an earlier band, or among the pairs of a smaller meeting.
-                ok = ~(shared & ~large[ii]).any(1) & (shared.argmax(1) == band)
-                ids, which = np.unique(np.concatenate([a[ii[ok]], b[jj[ok]]]), return_inverse=True)
-                node, low = forest(a[ii[ok]], b[jj[ok]])
-                more = ids, np.bincount(which, minlength=len(ids)).astype(np.int64), ids
-                tree = node, np.zeros(len(node), np.int64), low
-                out = [np.concatenate(x) for x in zip(out, more, tree, strict=True)]
+                ok.append(~(shared & ~large[ii]).any(1) & (shared.argmax(1) == band))
+            ok = np.concatenate(ok)
+            x, y = a[i[ok]], b[j[ok]]
+            ids, which = np.unique(np.concatenate([x, y]), return_inverse=True)
+            node, low = forest(x, y)
+            more = ids, np.bincount(which, minlength=len(ids)).astype(np.int64), ids
+            tree = node, np.zeros(len(node), np.int64), low
+            out = [np.concatenate(z) for z in zip(more, tree, strict=True)]
         return pa.table(dict(zip(("node", "links", "low"), map(pa.array, out), strict=True)))
 
     return run

@@ -3,12 +3,14 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arbora.llm import bpe
+from arbora.llm import textops as T
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 with open(PATH, "rb") as f:
@@ -42,3 +44,11 @@ def test_rows_agree_with_the_library(spark, odd, chunk, overlap):
 
 def test_empty_table(spark, none):
     assert bpe.encode(spark, none, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_a_worker_forgets_pretokens_when_other_texts_are_read():
+    with open(PATH, "rb") as f:
+        codec = bpe._codec(f.read(), public_tokenizers.PATTERN)
+    assert codec.encoded(["some", " words"])[1] == b"some words" and bpe._codec.cache_info().currsize == 1
+    list(T.slices(pa.array(["a text", None])))
+    assert bpe._codec.cache_info().currsize == 0
