@@ -31,39 +31,37 @@ from arbora.llm import textops as T
 from arbora.session import persisted
 
 CHUNK, OVERLAP = 32_768, 1_024
-#: Pre-tokens that a worker remembers at most; then it starts anew.
-REMEMBERED = 400_000
+#: Bytes of a pre-token up to which merges are found without a heap.
+SHORT = 32
+#: Pre-tokens that a worker remembers at most, of at most so many bytes each: the half that came last, and the half before.
+REMEMBERED, LONGEST = 100_000, 64
+#: Documents that are encoded, and chunks that are pre-tokenised, before they are handed on; ids that are decoded at once.
+ROWS, CHUNKS, IDS = 128, 16, 1 << 16
 
 
 class Ids(dict):
     """Pre-token -> its ids as decimal text."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.before = codec, {}
 
     def __missing__(self, piece: str) -> str:
-        if len(self) >= REMEMBERED:
+        if (out := self.before.get(piece)) is None:
+            raw = piece.encode()
+            out = " ".join(map(str, self.codec.merge(raw)))
+            if len(raw) > LONGEST:
+                return out
+        if len(self) >= REMEMBERED // 2:
+            self.before = dict(self)
             self.clear()
-            self.codec.raw.clear()
-        self[piece] = out = " ".join(map(str, self.codec.merge(piece.encode())))
-        return out
-
-
-class Raw(dict):
-    """Pre-token -> the bytes its ids decode to."""
-
-    def __init__(self, codec: Codec):
-        self.codec = codec
-
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = self.codec.decode(map(int, self.codec.ids[piece].split()))
+        self[piece] = out
         return out
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.vocabulary = ranks, {i: b for b, i in ranks.items()}
-        self.pattern, self.ids, self.raw = regex.compile(pattern), Ids(self), Raw(self)
+        self.pattern, self.ids = regex.compile(pattern), Ids(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Join the neighbours of lowest rank, the leftmost first, until no two neighbours have a rank."""
@@ -71,6 +69,8 @@ class Codec:
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         n = len(piece)
+        if n <= SHORT:
+            return self._short(piece)
         part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -90,11 +90,29 @@ class Codec:
                 heapq.heappush(heap, (r, k, len(both)))
         return [ranks[p] for p in part if p is not None]
 
+    def _short(self, piece: bytes) -> list[int]:
+        """The same by looking at all neighbours each time, which is faster for few."""
+        ranks, none = self.ranks, 1 << 62
+        part = [piece[i : i + 1] for i in range(len(piece))]
+        joined = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while joined and (least := min(joined)) < none:
+            i = joined.index(least)
+            part[i] += part.pop(i + 1)
+            joined.pop(i)
+            if i < len(joined):
+                joined[i] = ranks.get(part[i] + part[i + 1], none)
+            if i:
+                joined[i - 1] = ranks.get(part[i - 1] + part[i], none)
+        return [ranks[p] for p in part]
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
-    def encoded(self, pieces: list[str]) -> tuple[str, bytes]:
-        return " ".join(map(self.ids.__getitem__, pieces)), b"".join(map(self.raw.__getitem__, pieces))
+    def encoded(self, pieces: list[str]) -> tuple[str, bytes, np.ndarray]:
+        """The ids as decimal text, the bytes they decode to, and the ids."""
+        text = " ".join(map(self.ids.__getitem__, pieces))
+        ids = np.fromstring(text, np.int32, sep=" ") if text else np.zeros(0, np.int32)
+        return text, b"".join(self.decode(ids[i : i + IDS].tolist()) for i in range(0, len(ids), IDS)), ids
 
 
 @lru_cache(maxsize=4)
@@ -115,21 +133,23 @@ OUT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>
 
 
 def _row(codec: Codec, pieces: list[str], with_ids: bool):
-    ids, raw = codec.encoded(pieces)
-    return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), np.array(ids.split(), np.int32) if with_ids else None
+    text, raw, ids = codec.encoded(pieces)
+    return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), ids if with_ids else None
 
 
 def _whole(ranks, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
                 rows = [_row(codec, codec.pattern.findall(text or ""), with_ids) for text in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("rest"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())), strict=True))],
                     names=["doc_id", "rest", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
                 )
+                del rows
+            T.give_back()
 
     return run
 
@@ -188,8 +208,11 @@ def _boundaries(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
         for batch in batches:
-            found = [starts(codec, t) for t in batch.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), batch.column("part"), pa.array(found, pa.list_(pa.int64()))], names=["key", "k", "part", "begins"])
+            for lo in range(0, len(batch), CHUNKS):
+                part = batch.slice(lo, CHUNKS)
+                found = [starts(codec, t) for t in part.column("part").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("k"), part.column("part"), pa.array(found, pa.list_(pa.int64()))], names=["key", "k", "part", "begins"])
+            T.give_back()
 
     return run
 
