@@ -34,7 +34,7 @@ CHUNK, OVERLAP = 32_768, 1_024
 #: Bytes of a pre-token up to which merges are found without a heap.
 SHORT = 32
 #: Pre-tokens that a worker remembers at most, of at most so many bytes each: the half that came last, and the half before.
-REMEMBERED, LONGEST = 100_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Documents that are encoded, and chunks that are pre-tokenised, before they are handed on; ids that are decoded at once.
 ROWS, CHUNKS, IDS = 128, 16, 1 << 16
 
