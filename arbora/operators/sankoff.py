@@ -100,21 +100,24 @@ def reconstruction(dag: Dag, below: DataFrame, table: DataFrame) -> DataFrame:
     return out.select(*KEY, "pos", B.decode(F.col("state")).alias("base"))
 
 
-def fitch_sets(dag: Dag, sites: DataFrame) -> DataFrame:
+def fitch_sets(dag: Dag, sites: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """dag_id, node_id, pos, mask, steps: the bases that most children's sets hold (all of them: the intersection), and the changes below.
 
     For two children this is the intersection, or the union where there is none; for more the majority rule.
+    states: dag_id, node_id, pos, mask, n of the leaves, if known; a row stands for n leaves, and so the result has n too.
     """
     high = persisted(graph.heights(dag), "heights")
     edges = persisted(dag.edges.select("dag_id", "parent_id", "child_id").join(high.select("dag_id", F.col("node_id").alias("parent_id"), "height"), ["dag_id", "parent_id"]), "by-height")
-    done = persisted(_leaf_states(dag, sites).withColumn("steps", F.lit(0).cast("bigint")), "fitch0")
+    leaf = _leaf_states(dag, sites) if states is None else states
+    done = persisted(leaf.withColumn("steps", F.lit(0).cast("bigint")), "fitch0")
+    one, own = (F.lit(1), []) if states is None else (F.col("n"), [F.lit(1).cast("bigint").alias("n")])
     for h in range(1, (high.agg(F.max("height")).first()[0] or 0) + 1):
         met = edges.where(F.col("height") == h).join(done.withColumnRenamed("node_id", "child_id"), ["dag_id", "child_id"])
-        n = [F.sum((F.col("mask").bitwiseAND(1 << b) != 0).cast("bigint")).alias(f"n{b}") for b in range(4)]
-        counted = met.groupBy("dag_id", F.col("parent_id").alias("node_id"), "pos").agg(*n, F.count("*").alias("k"), F.sum("steps").alias("steps"))
+        n = [F.sum((F.col("mask").bitwiseAND(1 << b) != 0).cast("bigint") * one).alias(f"n{b}") for b in range(4)]
+        counted = met.groupBy("dag_id", F.col("parent_id").alias("node_id"), "pos").agg(*n, F.sum(one).alias("k"), F.sum("steps").alias("steps"))
         most = F.greatest(*[F.col(f"n{b}") for b in range(4)])
         bits = reduce(lambda a, b: a + b, [F.when(F.col(f"n{b}") == most, 1 << b).otherwise(0) for b in range(4)])
-        done = done.unionByName(persisted(counted.select(*KEY, "pos", bits.cast("int").alias("mask"), (F.col("steps") + F.col("k") - most).alias("steps")), f"fitch{h}"))
+        done = done.unionByName(persisted(counted.select(*KEY, "pos", bits.cast("int").alias("mask"), *own, (F.col("steps") + F.col("k") - most).alias("steps")), f"fitch{h}"))
     return done
 
 

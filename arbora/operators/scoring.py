@@ -4,6 +4,9 @@ Of every inner node and site it is known how many children hold each base. A mov
 signed differences of these counts. Where they change a node's set of bases, the difference of its own set goes on to its parent, and so on. The
 two ways up meet where they reach the same node: differences are keyed by (move, node, site) and summed, and a move's rows are dealt with in order of their
 distance from its lowest changed node, so that both have arrived. Most sites stop after a step or two; no tree is ever copied or held in one place.
+
+What a site adds to a move depends on where the move's ends hang and on their bases there. So the leaves of a node are scored as one (move_ranges): once for
+each site and base that they have, whatever their number.
 """
 
 from __future__ import annotations
@@ -57,10 +60,13 @@ def _apart(a: Column, b: Column) -> Column:
 
 
 def site_counts(dag: Dag, sets: DataFrame) -> DataFrame:
-    """dag_id, node_id, pos, n0..n3 (children that hold each base), k (children), mask, and ref, the reference's base, at the UA alone."""
-    child = sets.select("dag_id", F.col("node_id").alias("child_id"), "pos", "mask")
-    n = [F.sum(_bit(F.col("mask"), b)).cast("int").alias(f"n{b}") for b in range(4)]
-    counted = dag.edges.join(child, ["dag_id", "child_id"]).groupBy("dag_id", F.col("parent_id").alias("node_id"), "pos").agg(*n, F.count("*").cast("int").alias("k"))
+    """dag_id, node_id, pos, n0..n3 (children that hold each base), k (children), mask, and ref, the reference's base, at the UA alone.
+
+    A row of sets stands for n children, if it has that column.
+    """
+    child = sets.select("dag_id", F.col("node_id").alias("child_id"), "pos", "mask", (F.col("n") if "n" in sets.columns else F.lit(1)).alias("n"))
+    n = [F.sum(_bit(F.col("mask"), b) * F.col("n")).cast("int").alias(f"n{b}") for b in range(4)]
+    counted = dag.edges.join(child, ["dag_id", "child_id"]).groupBy("dag_id", F.col("parent_id").alias("node_id"), "pos").agg(*n, F.sum("n").cast("int").alias("k"))
     top = graph.roots(dag).select(*KEY, F.lit(True).alias("_top"))
     reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
     return counted.join(sets.select(*KEY, "pos", "mask"), [*KEY, "pos"]).join(top, KEY, "left").withColumn("ref", F.when(F.col("_top"), reference)).drop("_top")
@@ -79,8 +85,11 @@ def _profile(rows: DataFrame, node: str, fields: list[str]) -> DataFrame:
     return rows.groupBy("dag_id", *by).agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias(f"{node}_sites"))
 
 
-def _met(index: I.TreeIndex, moves: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """A row for each move and block of sites: how src, dst and their parents p and q lie to each other, and what these four are at each site.
+HEAD = [*MOVE, "p", "q", "p_up", "q_up", "p_depth", "q_depth", "dst_depth", "above", "same", "p_waits", "q_waits", "low"]
+
+
+def _placed(index: I.TreeIndex, moves: DataFrame) -> DataFrame:
+    """A row for each move: how src, dst and their parents p and q lie to each other.
 
     above: dst is above src. p_waits (q_waits): p (q) is above the other parent, whose change may reach it. low: the depth of the lower parent.
     """
@@ -89,10 +98,15 @@ def _met(index: I.TreeIndex, moves: DataFrame, sets: DataFrame, counts: DataFram
     for side in "pq":
         m = m.join(index.side(side, "parent_id", "enter", "leave", "depth"), ["dag_id", side])
     above = I.over("dst", "src")
-    m = m.select(
+    return m.select(
         *MOVE, "p", "q", F.col("p_parent_id").alias("p_up"), F.col("q_parent_id").alias("q_up"), "p_depth", "q_depth", "dst_depth", above.alias("above"), (F.col("p") == F.col("q")).alias("same"),
         (~above & I.over("p", "q")).alias("p_waits"), (~above & I.over("q", "p")).alias("q_waits"), F.when(above, F.col("p_depth")).otherwise(F.greatest("p_depth", "q_depth")).alias("low"),
     )
+
+
+def _met(index: I.TreeIndex, moves: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """A row for each move and block of sites: _placed(), and what the four nodes are at each site."""
+    m = _placed(index, moves)
     m = m.join(_profile(sets, "src", ["mask"]), ["dag_id", "src"])
     for node, table, fields in (("dst", sets, ["mask"]), ("p", counts, ["mask", "k", *COUNTS]), ("q", counts, ["mask", "k", *COUNTS])):
         m = m.join(_profile(table, node, fields), ["dag_id", node, "block"])
@@ -103,13 +117,16 @@ def _row(node: Column, deltas: list[Column], gone: int, moving: Column, rel: Col
     return F.struct(node.alias("node_id"), *[d.cast("int").alias(f"d{b}") for b, d in enumerate(deltas)], F.lit(gone).alias("dk"), moving.cast("int").alias("moving"), rel.cast("int").alias("rel"))
 
 
-def _first(met: DataFrame) -> DataFrame:
-    """MOVE, pos, delta (of the score, at this site, as far as it is certain), up: the differences that arrive at further nodes."""
+def _by_site(met: DataFrame) -> DataFrame:
+    """_met() by site: HEAD, pos, and the masks and counts of the four nodes there."""
     sides = ["src", "dst", "p", "q"]
-    head = [*MOVE, "p", "q", "p_up", "q_up", "p_depth", "q_depth", "dst_depth", "above", "same", "p_waits", "q_waits", "low"]
-    s = met.select(*head, F.inline(F.arrays_zip(*[f"{x}_sites" for x in sides])))
+    s = met.select(*HEAD, F.inline(F.arrays_zip(*[f"{x}_sites" for x in sides])))
     fields = {f"{x}_mask": F.col(f"{x}_sites.mask") for x in sides} | {f"{x}_{f}": F.col(f"{x}_sites.{f}") for x in "pq" for f in ("k", *COUNTS)}
-    s = s.select(*head, F.col("src_sites.pos").alias("pos"), *[c.alias(n) for n, c in fields.items()])
+    return s.select(*HEAD, F.col("src_sites.pos").alias("pos"), *[c.alias(n) for n, c in fields.items()])
+
+
+def _first(s: DataFrame, key: list[str]) -> DataFrame:
+    """key, pos, delta (of the score, at this site, as far as it is certain), up: the differences that arrive at further nodes. s: as _by_site() makes it."""
     col, none = F.col, F.lit(None).cast("int")
     s = s.withColumn("pair", _pair(col("src_mask"), col("dst_mask")))
     swap = [_bit(col("pair"), b) - _bit(col("dst_mask"), b) for b in range(4)]
@@ -132,13 +149,13 @@ def _first(met: DataFrame) -> DataFrame:
         .when(col("q_waits"), F.when(col("pair") != col("dst_mask"), _row(col("q"), swap, 0, none, col("low") - col("q_depth"))))
         .when(changes["q"] & col("q_up").isNotNull(), _row(col("q_up"), onward["q"], 0, none, col("low") - col("q_depth") + 1))
     )
-    return s.select(*MOVE, "pos", delta.alias("delta"), F.array_compact(F.array(of_p, of_q)).alias("up"))
+    return s.select(*key, "pos", delta.alias("delta"), F.array_compact(F.array(of_p, of_q)).alias("up"))
 
 
-def _next(rows: DataFrame, counts: DataFrame, rel: int) -> DataFrame:
-    """One step up: rows of one move, node and site are summed. MOVE, delta, and the row for the parent: node_id (null where nothing changes further), pos, d0..d3, dk, moving, rel."""
+def _next(rows: DataFrame, counts: DataFrame, rel: int, key: list[str]) -> DataFrame:
+    """One step up: rows of one key (a move), node and site are summed. key, delta, and the row for the parent: node_id (null where nothing changes further), pos, d0..d3, dk, moving, rel."""
     col = F.col
-    arrived = rows.groupBy(*MOVE, "node_id", "pos").agg(*[F.sum(d).alias(d) for d in (*DELTAS, "dk")], F.max("moving").alias("moving"))
+    arrived = rows.groupBy(*key, "node_id", "pos").agg(*[F.sum(d).alias(d) for d in (*DELTAS, "dk")], F.max("moving").alias("moving"))
     met = arrived.join(counts, [*KEY, "pos"]).withColumns({f"m{b}": col(f"n{b}") + col(f"d{b}") for b in range(4)})
     new, old = [col(f"m{b}") for b in range(4)], [col(f"n{b}") for b in range(4)]
     met = met.withColumns({"set": _majority(new), "delta": col("dk") + _most(old) - _most(new)})
@@ -148,7 +165,23 @@ def _next(rows: DataFrame, counts: DataFrame, rel: int) -> DataFrame:
     first = F.when(col("ref").isNull(), 0).otherwise(_apart(col("set"), col("ref")) - _apart(col("mask"), col("ref")))
     onward = [(_bit(col("out"), b) - _bit(col("mask"), b)).cast("int").alias(f"d{b}") for b in range(4)]
     node = F.when(col("out") != col("mask"), col("parent_id")).alias("node_id")
-    return met.select(*MOVE, (col("delta") + joined + first).alias("delta"), node, "pos", *onward, F.lit(0).alias("dk"), F.lit(None).cast("int").alias("moving"), F.lit(rel + 1).alias("rel"))
+    return met.select(*key, (col("delta") + joined + first).alias("delta"), node, "pos", *onward, F.lit(0).alias("dk"), F.lit(None).cast("int").alias("moving"), F.lit(rel + 1).alias("rel"))
+
+
+def _followed(first: DataFrame, counts: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """by, delta: what is certain at first, and what the differences add on their ways up."""
+    total = lambda df: df.groupBy(*by).agg(F.sum("delta").alias("delta"))
+    deltas = persisted(total(first), "delta")
+    start = persisted(first.select(*key, "pos", F.explode("up").alias("u")).select(*key, "pos", "u.*"), "differences")
+    last, rel, carried = start.agg(F.max("rel")).first()[0] or 0, 1, None
+    while rel <= last or (carried is not None and carried.take(1)):
+        rows = start.where(F.col("rel") == rel)
+        if carried is not None:
+            rows = rows.unionByName(carried)
+        done = persisted(_next(rows, counts, rel, key), "differences")
+        deltas = deltas.unionByName(total(done))
+        carried, rel = done.where("node_id is not null").drop("delta"), rel + 1
+    return total(deltas)
 
 
 def move_changes(dag: Dag, moves: DataFrame, index: I.TreeIndex | None = None) -> DataFrame:
@@ -161,17 +194,7 @@ def move_changes(dag: Dag, moves: DataFrame, index: I.TreeIndex | None = None) -
     parents = index.nodes.select(*KEY, "parent_id")
     counts = persisted(site_counts(dag, sets).join(parents, KEY), "site-counts")
     met = persisted(_met(index, moves, sets, counts), "met")
-    total = lambda df: df.groupBy(*MOVE).agg(F.sum("delta").alias("delta"))
-    deltas = persisted(total(_first(met)), "delta")
-    start = persisted(_first(met).select(*MOVE, "pos", F.explode("up").alias("u")).select(*MOVE, "pos", "u.*"), "differences")
-    last, rel, carried = start.agg(F.max("rel")).first()[0] or 0, 1, None
-    while rel <= last or (carried is not None and carried.take(1)):
-        rows = start.where(F.col("rel") == rel)
-        if carried is not None:
-            rows = rows.unionByName(carried)
-        done = persisted(_next(rows, counts, rel), "differences")
-        deltas = deltas.unionByName(total(done))
-        carried, rel = done.where("node_id is not null").drop("delta"), rel + 1
+    deltas = _followed(_first(_by_site(met), MOVE), counts, MOVE, MOVE)
     base = fitch_scores(dag, sets).join(scores(dag), "dag_id").select("dag_id", (F.col("fitch") - F.col("score")).alias("base"))
-    out = moves.select(*MOVE, "distance").join(total(deltas), MOVE, "left").join(F.broadcast(base) if base.count() <= 100_000 else base, "dag_id")
+    out = moves.select(*MOVE, "distance").join(deltas, MOVE, "left").join(F.broadcast(base) if base.count() <= 100_000 else base, "dag_id")
     return persisted(out.select(*MOVE, "distance", (F.col("base") + F.coalesce("delta", F.lit(0))).cast("bigint").alias("change")), "changes")

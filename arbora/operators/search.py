@@ -25,12 +25,13 @@ from arbora.session import persisted
 KEY = graph.KEY
 
 
-def proposals(dag: Dag, radius: int, index: I.TreeIndex | None = None, most_for_each: int | None = None, seed: int = 0) -> DataFrame:
+def proposals(dag: Dag, radius: int, index: I.TreeIndex | None = None, most_for_each: int | None = None, seed: int = 0, children: DataFrame | None = None) -> DataFrame:
     """dag_id, src, dst, distance: moves that change the tree, between nodes at most `radius` edges apart.
 
     Left out: src or dst the UA, src the tree's root, dst below src, src = dst, dst the parent of src, siblings of a binary node. Pairs meet at their
     common ancestors, at most `radius` above both, so the pairs are those within the radius, not all.
     most_for_each: a random choice of that many targets for each src, as the random proposer makes.
+    children: dag_id, node_id, n (children), where edges hold a part of them only.
     """
     index = I.build(dag) if index is None else index
     near = persisted(graph.ancestors(dag, radius), "near")
@@ -38,7 +39,9 @@ def proposals(dag: Dag, radius: int, index: I.TreeIndex | None = None, most_for_
     b = near.select("dag_id", F.col("node_id").alias("dst"), "ancestor_id", F.col("distance").alias("e"))
     pairs = a.where("d > 0").join(b, ["dag_id", "ancestor_id"]).where((F.col("d") + F.col("e") <= radius) & (F.col("src") != F.col("dst")))
     pairs = pairs.groupBy("dag_id", "src", "dst").agg(F.min(F.col("d") + F.col("e")).cast("int").alias("distance"))
-    n = dag.edges.groupBy("dag_id", F.col("parent_id").alias("src_parent_id")).agg(F.count("*").alias("_n"))
+    if children is None:
+        children = dag.edges.groupBy("dag_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
+    n = children.select("dag_id", F.col("node_id").alias("src_parent_id"), F.col("n").alias("_n"))
     out = pairs.join(index.side("src", "parent_id", "enter", "leave", "depth"), ["dag_id", "src"]).join(index.side("dst", "parent_id", "enter", "depth"), ["dag_id", "dst"])
     out = out.where((F.col("src_depth") > 1) & (F.col("dst_depth") > 0) & ~I.over("src", "dst") & (F.col("dst") != F.col("src_parent_id")))
     out = out.join(n, ["dag_id", "src_parent_id"]).where(~((F.col("src_parent_id") == F.col("dst_parent_id")) & (F.col("_n") == 2))).select("dag_id", "src", "dst", "distance")

@@ -10,7 +10,7 @@ from arbora.functions import genomes as G
 from arbora.functions import likelihood as J
 from arbora.functions import numbers as N
 from arbora.model import Dag
-from arbora.operators import distances, graph, index, labels, sampling, sankoff, search
+from arbora.operators import distances, graph, index, labels, ranges, sampling, sankoff, search
 from arbora.operators import merge as M
 from arbora.operators import weights as W
 from arbora.plans import adapter
@@ -410,8 +410,7 @@ def condensed_leaves(spark, d):
 
 def spr_moves(spark, d):
     t = adapter.trees(adapter.customers(spark, d), {"A": ("s",)})
-    scored = search.move_changes(t, search.proposals(t, 3))
-    return scored.groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count("*").alias("moves"), F.min("change").alias("best"), F.max("change").alias("worst"))
+    return ranges.move_ranges(t, 3).select(F.col("distance").cast("bigint").alias("distance"), "moves", "best", "worst")
 
 
 def first_of_each(spark, d):
