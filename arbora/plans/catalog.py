@@ -178,9 +178,12 @@ def leaf_sequence(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    rows = adapter.customers(spark, d)
-    g = rows.select("ck", G.from_sequence(adapter.sequence(F.col("ck")), F.lit(adapter.REFERENCE)).alias("g"))
-    return g.join(g.select((F.col("ck") - 1).alias("ck"), F.col("g").alias("h")), "ck")
+    """ck, g, h: the genomes of each customer and the next."""
+    rows = adapter.customers(spark, d).select("ck", adapter.sequence(F.col("ck")).alias("s"))
+    # Sequences meet, not genomes, and by a merge: Spark knows the size of the file alone, takes few MB of it for all rows made of it, and would send these through the driver.
+    both = rows.join(rows.select((F.col("ck") - 1).alias("ck"), F.col("s").alias("t")).hint("merge"), "ck")
+    genome = lambda x: G.from_sequence(F.col(x), F.lit(adapter.REFERENCE))
+    return both.select("ck", genome("s").alias("g"), genome("t").alias("h"))
 
 
 def genome_pairs(spark, d):
