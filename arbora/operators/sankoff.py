@@ -156,38 +156,50 @@ def with_states(dag: Dag, states: DataFrame) -> Dag:
 # Sparse: of sites at which most leaves have the reference's base only the nodes that differ are rows.
 
 
-def sparse_sets(dag: Dag, variants: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+def _above(dag: Dag, heights: DataFrame) -> DataFrame:
+    """dag_id, node_id, height; parent_id, its height (up) and number of children (k), of nodes that have a parent."""
+    k = dag.edges.groupBy("dag_id", "parent_id").agg(F.count("*").cast("int").alias("k"))
+    up = heights.where("height > 0").select("dag_id", F.col("node_id").alias("parent_id"), F.col("height").alias("up"))
+    own = dag.edges.select("dag_id", "parent_id", F.col("child_id").alias("node_id"))
+    return persisted(heights.hint("merge").join(own.join(k, ["dag_id", "parent_id"]).join(up, ["dag_id", "parent_id"]).hint("merge"), KEY, "left"), "above")
+
+
+def _called(dag: Dag, variants: DataFrame, above: DataFrame) -> DataFrame:
+    """The leaves' rows of above with pos and base, of the variants. By a merge: there are many rows a sample, which Spark takes for as few bytes as those that they were made of."""
+    leaf = dag.nodes.select(*KEY, "sample_id").join(above.where("height = 0").hint("merge"), KEY)
+    return persisted(leaf.join(variants.select("sample_id", "pos", F.upper("base").alias("base")).hint("merge"), "sample_id").drop("sample_id"), "called")
+
+
+def sparse_sets(dag: Dag, variants: DataFrame, heights: DataFrame | None = None, above: DataFrame | None = None, called: DataFrame | None = None) -> DataFrame:
     """dag_id, node_id, height, pos, mask, steps: Fitch sets of trees whose leaves have the reference's base but for variants (sample_id, pos, base, ambiguous ones too).
 
     A row is a node whose set is not the reference's base alone, or that has changes of its own (steps); the children of a node that have no row count as
-    so many with the reference's base. So a site costs the nodes above its variants, not the tree.
+    so many with the reference's base. So a site costs the nodes above its variants, not the tree. A row knows its parent, so that a level reads its children alone.
     """
     high = persisted(graph.heights(dag), "heights") if heights is None else heights
     reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
-    k = dag.edges.groupBy("dag_id", "parent_id").agg(F.count("*").cast("int").alias("k"))
-    up = high.select("dag_id", F.col("node_id").alias("parent_id"), F.col("height").alias("up"))
-    edges = persisted(dag.edges.select("dag_id", "parent_id", "child_id").join(k, ["dag_id", "parent_id"]).join(up, ["dag_id", "parent_id"]), "by-height")
-    own = variants.select("sample_id", "pos", B.mask(F.col("base")).alias("mask"))
-    leaf = graph.leaves(dag).join(own, "sample_id").select(*KEY, F.lit(0).alias("height"), "pos", "mask", F.lit(0).alias("steps")).where(F.col("mask") != reference)
-    done = persisted(leaf, "sparse0")
+    above = _above(dag, high) if above is None else above
+    called = _called(dag, variants, above) if called is None else called
+    own = ["parent_id", "up", "k"]
+    done = called.select(*KEY, "height", "pos", B.mask(F.col("base")).alias("mask"), F.lit(0).alias("steps"), *own).where(F.col("mask") != reference)
     for h in range(1, (high.agg(F.max("height")).first()[0] or 0) + 1):
-        met = edges.where(F.col("up") == h).join(done.where(F.col("mask") != reference).select("dag_id", F.col("node_id").alias("child_id"), "pos", "mask"), ["dag_id", "child_id"])
+        met = done.where((F.col("up") == h) & (F.col("mask") != reference))
         n = [F.sum((F.col("mask").bitwiseAND(1 << b) != 0).cast("int")).alias(f"n{b}") for b in range(4)]
-        counted = met.groupBy("dag_id", F.col("parent_id").alias("node_id"), "pos").agg(*n, F.count("*").alias("met"), F.first("k").alias("k"))
-        rest = F.col("k") - F.col("met")
+        counted = met.groupBy("dag_id", F.col("parent_id").alias("node_id"), "pos").agg(*n, F.count("*").alias("met"), F.first("k").alias("_k"))
+        rest = F.col("_k") - F.col("met")
         counted = counted.withColumns({f"n{b}": F.col(f"n{b}") + F.when(reference.bitwiseAND(1 << b) != 0, rest).otherwise(0) for b in range(4)})
         most = F.greatest(*[F.col(f"n{b}") for b in range(4)])
         bits = reduce(lambda a, b: a + b, [F.when(F.col(f"n{b}") == most, 1 << b).otherwise(0) for b in range(4)])
-        level = counted.select(*KEY, F.lit(h).alias("height"), "pos", bits.cast("int").alias("mask"), (F.col("k") - most).cast("int").alias("steps"))
-        done = done.unionByName(persisted(level.where((F.col("mask") != reference) | (F.col("steps") > 0)), f"sparse{h}"))
-    return done
+        level = counted.select(*KEY, "pos", bits.cast("int").alias("mask"), (F.col("_k") - most).cast("int").alias("steps")).where((F.col("mask") != reference) | (F.col("steps") > 0))
+        done = done.unionByName(persisted(level.join(above.where(F.col("height") == h), KEY), f"sparse{h}"))
+    return done.drop(*own)
 
 
 def sparse_states(dag: Dag, sets: DataFrame) -> DataFrame:
     """dag_id, node_id, pos, mask: the base of each node that is not the reference's, top-down by fitch_choice; leaves of ambiguous bases included."""
     reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
     ua = graph.roots(dag).select(*KEY)
-    open_ = persisted(sets.where(F.col("mask") != reference).join(ua, KEY, "left_anti").join(dag.edges.select("dag_id", F.col("child_id").alias("node_id"), "parent_id"), KEY), "open")
+    open_ = persisted(sets.where(F.col("mask") != reference).join(ua, KEY, "left_anti").join(dag.edges.select("dag_id", F.col("child_id").alias("node_id"), "parent_id").hint("merge"), KEY), "open")
     out = None
     for h in range(open_.agg(F.max("height")).first()[0] if open_.take(1) else -1, -1, -1):
         met = open_.where(F.col("height") == h)
@@ -210,18 +222,17 @@ def variant_genomes(dag: Dag, variants: DataFrame, resolved: bool = False) -> tu
     from arbora.functions import genomes as G
 
     heights = persisted(graph.heights(dag), "heights")
-    sets = persisted(sparse_sets(dag, variants, heights), "sparse")
-    states = sparse_states(dag, sets)
-    own = variants.select("sample_id", "pos", F.upper("base").alias("base")).where(F.upper("base") != F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
-    leaf = graph.leaves(dag).select(*KEY, "sample_id")
+    above = _above(dag, heights)
+    called = _called(dag, variants, above)
+    sets = sparse_sets(dag, variants, heights, above, called)
+    inner = sets.where("height > 0")
+    states = sparse_states(dag, sets if resolved else inner)
+    found = states.select(*KEY, "pos", B.letter(F.col("mask")).alias("base"))
     if not resolved:
-        inner = states.join(leaf.select(*KEY), KEY, "left_anti").select(*KEY, "pos", B.letter(F.col("mask")).alias("base"))
-        found = inner.unionByName(leaf.join(own, "sample_id").select(*KEY, "pos", "base"))
-    else:
-        found = states.select(*KEY, "pos", B.letter(F.col("mask")).alias("base"))
+        found = found.unionByName(called.select(*KEY, "pos", "base").where(F.col("base") != F.substring(dag.reference_column(), F.col("pos"), F.lit(1))))
     genomes = found.groupBy(*KEY).agg(F.array_sort(F.collect_list(G.entry(F.col("pos"), F.col("base")))).alias("_g"))
-    nodes = dag.nodes.join(genomes, KEY, "left").select("dag_id", "node_id", "sample_id", F.coalesce("_g", G.empty()).alias("genome"))
+    nodes = dag.nodes.join(genomes.hint("merge"), KEY, "left").select("dag_id", "node_id", "sample_id", F.coalesce("_g", G.empty()).alias("genome"))
     reference = B.mask(F.substring(dag.reference_column(), F.col("pos"), F.lit(1)))
     top = graph.roots(dag).select(*KEY, F.lit(True).alias("_top"))
-    changes = sets.join(top, KEY, "left").withColumn("n", F.col("steps") + F.when(F.col("_top") & (F.col("mask").bitwiseAND(reference) == 0), 1).otherwise(0))
+    changes = inner.join(top, KEY, "left").withColumn("n", F.col("steps") + F.when(F.col("_top") & (F.col("mask").bitwiseAND(reference) == 0), 1).otherwise(0))
     return dag.replace(nodes), changes.groupBy("dag_id", "pos").agg(F.sum("n").alias("steps")).where("steps > 0")

@@ -76,5 +76,12 @@ def all_trees(spark: SparkSession, sf_dir: str, where: str | None = None) -> Dag
     return _once(spark, ("trees", sf_dir, where), lambda: trees(customers(spark, sf_dir, where)))
 
 
+def tree(spark: SparkSession, sf_dir: str, kind: str) -> Dag:
+    """One of the trees; made alone where the others are not there yet."""
+    if (spark.sparkContext.applicationId, "trees", sf_dir, None) in _MADE:
+        return all_trees(spark, sf_dir).only(kind)
+    return _once(spark, ("tree", sf_dir, kind), lambda: trees(customers(spark, sf_dir), {kind: TREES[kind]}))
+
+
 def merged(spark: SparkSession, sf_dir: str, where: str | None = None) -> Merged:
     return _once(spark, ("merged", sf_dir, where), lambda: merge(all_trees(spark, sf_dir, where), order=list(TREES)))

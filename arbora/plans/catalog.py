@@ -209,7 +209,7 @@ def recomputed_genomes(spark, d):
 
 
 def _tree_c(spark, d) -> Dag:
-    return adapter.all_trees(spark, d).only("C")
+    return adapter.tree(spark, d, "C")
 
 
 def _site_costs(matrix):
@@ -372,10 +372,9 @@ def vcf_fitch_sankoff(spark, d):
     """Genomes of a whole tree from calls with unknown bases: by site the changes of the sets, the mutations of the genomes, and those of inner nodes below the root."""
     t = _tree_c(spark, d)
     made, steps = sankoff.variant_genomes(t, _calls(spark, d))
-    rows = W.mutation_rows(made.persisted("variant-genomes"))
     inner = graph.kinds(t).where("not is_leaf and not is_tree_root and not is_ua").select("dag_id", F.col("node_id").alias("child_id"), F.lit(1).alias("_inner"))
-    own = rows.join(t.edges.select("dag_id", "edge_id", "child_id"), ["dag_id", "edge_id"]).join(inner, ["dag_id", "child_id"], "left")
-    found = own.groupBy("pos").agg(F.count("*").alias("mutations"), F.count("_inner").alias("inner_mutations"))
+    each = W.mutations(made.persisted("variant-genomes")).join(inner, ["dag_id", "child_id"], "left").select("_inner", F.explode("muts.pos").alias("pos"))
+    found = each.groupBy("pos").agg(F.count("*").alias("mutations"), F.count("_inner").alias("inner_mutations"))
     return steps.select(F.col("pos").cast("bigint").alias("pos"), "steps").join(found.withColumn("pos", F.col("pos").cast("bigint")), "pos")
 
 
